@@ -37,18 +37,31 @@ def rows_of(columns, rows):
     return sorted(columns), Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
 def compare(df, con, sql):
-    """Empty string when both agree, else a short account of the difference."""
+    """Rows found and, where the two sides differ, a short account of it."""
     cur = con.execute(sql)
-    want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    types = {d[0]: str(d[1]) for d in cur.description}
+    want_cols, want = rows_of(list(types), cur.fetchall())
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    n = sum(got.values())
     if want_cols != got_cols:
-        return f"columns {got_cols} != {want_cols}"
+        return n, f"columns {got_cols} != {want_cols}"
+    odd = [(c, t, types[c]) for c, t in df.dtypes if TYPES.get(t) != types[c]]
+    if odd:
+        return n, f"types {odd}"
     if want == got:
-        types = [(type(a).__name__, type(b).__name__) for ra, rb in zip(want, want) for a, b in zip(ra, rb)][:0]
-        return "" if not types else str(types)
+        return n, "" if n else "no rows on either side"
     extra, missing = got - want, want - got
-    return (
-        f"rows {sum(got.values())} vs {sum(want.values())}; "
+    return n, (
+        f"rows {n} vs {sum(want.values())}; "
         f"extra {list(extra.items())[:2]}; missing {list(missing.items())[:2]}"
     )
