@@ -11,11 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_bucket(ts: str, width: str = "1 hour") -> Column:
-    """Start of the bucket a timestamp falls in."""
-    return F.window(F.col(ts), width)["start"]
-
-
 def carry_forward(
     rows: DataFrame,
     key: str,

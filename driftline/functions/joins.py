@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def salted_left_join(
-    rows: DataFrame, per_key: DataFrame, key: str, spread_by: list[str], salts: int = 16
+    rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], salts: int = 16
 ) -> DataFrame:
     """Left join ``rows`` to a table with one row per key.
 
@@ -17,4 +17,4 @@ def salted_left_join(
     """
     spread = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [key, "__salt"], "left").drop("__salt")
+    return spread.join(repeated, [*keys, "__salt"], "left").drop("__salt")

@@ -71,7 +71,7 @@ def without_ignored(changes: DataFrame, ignore_files: DataFrame) -> DataFrame:
     """Changes whose path no pattern of the repository's ignore file matches."""
     patterns = ignore_files.select("repo", ignore_regex(F.col("content")).alias("__ignored"))
     patterns = patterns.filter(F.col("__ignored").isNotNull())
-    joined = salted_left_join(changes, patterns, "repo", ["path"])
+    joined = salted_left_join(changes, patterns, ["repo"], ["path"])
     kept = F.col("__ignored").isNull() | ~F.regexp_like("path", F.col("__ignored"))
     return joined.filter(kept).drop("__ignored")
 
