@@ -22,19 +22,25 @@ VIEWS: dict[str, tuple[list[str], str]] = {
 }
 
 
-def with_views(names: list[str], body: str, recursive: bool = False) -> str:
-    """``body`` with the named views, and what they need, in a WITH clause."""
+def with_views(
+    names: list[str], body: str, recursive: bool = False, replaced: dict | None = None
+) -> str:
+    """``body`` with the named views, and what they need, in a WITH clause.
+
+    ``replaced`` holds other definitions for some of the views.
+    """
+    views = {**VIEWS, **(replaced or {})}
     ordered: list[str] = []
 
     def add(name: str) -> None:
-        for needed in VIEWS[name][0]:
+        for needed in views[name][0]:
             add(needed)
         if name not in ordered:
             ordered.append(name)
 
     for name in names:
         add(name)
-    ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
+    ctes = ", ".join(f"{n} AS ({views[n][1]})" for n in ordered)
     body = body.strip()
     if body.upper().startswith("WITH "):
         body = ", " + body[5:]
