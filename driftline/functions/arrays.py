@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,16 @@ def empty(element: str) -> Column:
     return F.array().cast(f"array<{element}>")
 
 
+def explode_rows(df: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """One row per array element, with its position as ``pos``.
+
+    A plain explode makes Spark filter on the array's size below the projection
+    that computes it, which runs that computation twice; the outer form does not.
+    """
+    rows = df.select(*keys, F.posexplode_outer(array).alias("pos", name))
+    return rows.filter(F.col("pos").isNotNull())
+
+
 def scan(
     values: Column,
     state: Column,

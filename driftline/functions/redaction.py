@@ -56,7 +56,7 @@ def numbered(kept: Column) -> Column:
 
     return let(
         kept,
-        lambda k: F.array_sort(
+        lambda k: F.sort_array(
             F.flatten(
                 F.transform(
                     F.array_distinct(F.transform(k, lambda s: s["type"])),
@@ -142,10 +142,13 @@ def sanitized(text: Column, patterns: list[Pattern], with_entropy: bool = True)
         words = high_entropy_words(redacted) if with_entropy else none
         return let(words, lambda w: result(items, redacted, w))
 
-    return let(
-        numbered(without_overlaps(spans(text, patterns))),
-        lambda items: let(replace_spans(text, items), lambda r: with_words(items, r)),
-    )
+    def of(t: Column) -> Column:
+        return let(
+            numbered(without_overlaps(spans(t, patterns))),
+            lambda items: let(replace_spans(t, items), lambda r: with_words(items, r)),
+        )
+
+    return let(text, of)
 
 
 # A word needs this many characters before its entropy can reach the threshold.

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Characters Python counts as whitespace in text patterns, without the newline.
 _BLANK = (
     r"\t\x0B\f\r\x1C-\x20\x85\xA0"
     r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-_WORD = r"[\p{L}\p{N}_]"
-_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+WORD = r"[\p{L}\p{N}_]"
+_EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 WHITESPACE = f"[\\n{_BLANK}]"
-NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def jvm(pattern: str, by_line: bool = False) -> str:
@@ -41,3 +43,12 @@ def jvm(pattern: str, by_line: bool = False) -> str:
             in_class = part == "["
         out.append(part)
     return f"(?{flags})" + "".join(out)
+
+
+def folded(text: Column) -> Column:
+    """Lower-case text in which every letter that matches s, i or k without case does.
+
+    A literal that case-blind patterns need occurs in the folded text whenever
+    the pattern matches; a plain substring test is far cheaper than a regex.
+    """
+    return F.translate(F.lower(text), "\u017f\u0131\u0307", "si")

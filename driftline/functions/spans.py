@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftline.functions.arrays import let, scan
+from driftline.functions.regex import folded
 
 SPAN = (
     "struct<start:int,ordinal:int,end:int,type:string,value:string,severity:string,line_number:int>"
@@ -28,11 +29,19 @@ class Pattern:
     regex: str
     group: int = 0
     severity: str = ""
-    literal: str = ""  # text every match contains, tested before the regex
+    words: tuple[str, ...] = ()  # a match needs one of these in the folded text
+    shape: str = ""  # a match needs this cheaper regex to match, too
 
-    def found_in(self, text: Column) -> Column:
+    def found_in(self, text: Column, fold: Column) -> Column:
         found = F.regexp_like(text, F.lit(self.regex))
-        return F.contains(text, F.lit(self.literal)) & found if self.literal else found
+        if self.shape:
+            found = F.regexp_like(text, F.lit(self.shape)) & found
+        if self.words:
+            possible = F.contains(fold, F.lit(self.words[0]))
+            for word in self.words[1:]:
+                possible = possible | F.contains(fold, F.lit(word))
+            found = possible & found
+        return found
 
     def row(self) -> Column:
         return F.struct(
@@ -46,17 +55,26 @@ class Pattern:
 
 def any_found(text: Column, patterns: list[Pattern]) -> Column:
     """True where at least one pattern matches."""
-    found = patterns[0].found_in(text)
-    for p in patterns[1:]:
-        found = found | p.found_in(text)
-    return found
 
+    def either(fold: Column) -> Column:
+        found = patterns[0].found_in(text, fold)
+        for p in patterns[1:]:
+            found = found | p.found_in(text, fold)
+        return found
 
-def patterns_found(text: Column, patterns: list[Pattern]) -> Column:
+    return let(folded(text), either)
+
+
+def _patterns_found(text: Column, patterns: list[Pattern]) -> Column:
     """The pattern rows that match at all; empty for most texts."""
-    return F.filter(
-        F.array(*[F.when(p.found_in(text), p.row()) for p in patterns]), lambda p: p.isNotNull()
-    )
+
+    def rows(fold: Column) -> Column:
+        return F.filter(
+            F.array(*[F.when(p.found_in(text, fold), p.row()) for p in patterns]),
+            lambda p: p.isNotNull(),
+        )
+
+    return let(folded(text), rows)
 
 
 def _newlines(text: Column) -> Column:
@@ -106,12 +124,12 @@ def _matches(text: Column, p: Column) -> Column:
 def spans(text: Column, patterns: list[Pattern]) -> Column:
     """Every match of every pattern, ordered by (start, ordinal).
 
-    Each pattern is first tested with one compiled regex; only the few that hit
-    pay for offsets.
+    Cheap tests rule out most patterns, one compiled regex most of the rest; only
+    the few patterns that hit pay for offsets.
     """
     return let(
         text,
-        lambda t: F.array_sort(
-            F.flatten(F.transform(patterns_found(t, patterns), lambda p: _matches(t, p)))
+        lambda t: F.sort_array(
+            F.flatten(F.transform(_patterns_found(t, patterns), lambda p: _matches(t, p)))
         ),
     )

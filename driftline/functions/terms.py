@@ -2,52 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.arrays import let
-from driftline.functions.regex import jvm
+from driftline.functions.regex import WORD
+
+VECTOR = "array<struct<idx:int,weight:double>>"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of 2 to 21 ASCII letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(jvm(fv.TOKEN)), F.lit(0))
+    """Lower-case words of 2 to 21 ASCII letters, digits and underscores.
 
+    A token is a whole word, so words that are longer or hold other letters
+    give none; the token starts and ends inside the word, which makes a plain
+    look to either side enough.
+    """
+    whole = f"(?<!{WORD}){fv.TOKEN}+(?!{WORD})"
+    return F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0))
+
+
+def _runs(s: Column, same: Column, entry) -> Column:
+    """One entry per run of a sorted array; ``same`` says where two neighbours agree."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~same(i))
+    return let(
+        starts,
+        lambda f: F.transform(
+            f, lambda b, j: entry(F.get(s, b), b, F.coalesce(F.get(f, j + 1), F.size(s)))
+        ),
+    )
 
-def term_groups(words: Column) -> Column:
-    """Distinct terms as (term, positions), sorted by term, positions ascending.
 
-    Sorting puts equal terms side by side, so counting needs one pass over the
-    sorted words rather than one pass per term.
+def term_counts(words: Column) -> Column:
+    """Distinct terms as (term, n), sorted by term.
+
+    Sorting puts equal words side by side, so counting takes one pass over the
+    sorted words rather than one per term.
     """
+    none = F.array().cast("array<struct<term:string,n:int>>")
 
-    def groups(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]),
+    def runs(s: Column) -> Column:
+        return _runs(
+            s,
+            lambda i: F.get(s, i) == F.get(s, i - 1),
+            lambda term, b, end: F.struct(term.alias("term"), (end - b).alias("n")),
         )
 
-        def group(b: Column, j: Column, firsts: Column) -> Column:
-            end = F.coalesce(F.get(firsts, j + 1), F.size(s))
-            return F.struct(
-                F.get(s, b)["term"].alias("term"),
-                F.transform(F.slice(s, b + 1, end - b), lambda x: x["pos"]).alias("positions"),
-            )
+    return let(F.sort_array(words), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
 
-        return let(starts, lambda f: F.transform(f, lambda b, j: group(b, j, f)))
 
-    tagged = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
-    return let(F.array_sort(tagged), lambda s: F.when(F.size(s) > 0, groups(s)).otherwise(none))
+def term_places(words: Column) -> Column:
+    """Distinct terms as (term, places), the places of each term ascending."""
+    none = F.array().cast("array<struct<term:string,places:array<int>>>")
 
+    def runs(s: Column) -> Column:
+        return _runs(
+            s,
+            lambda i: F.get(s, i)["term"] == F.get(s, i - 1)["term"],
+            lambda first, b, end: F.struct(
+                first["term"].alias("term"),
+                F.transform(F.slice(s, b + 1, end - b), lambda x: x["place"]).alias("places"),
+            ),
+        )
 
-def term_counts(words: Column) -> Column:
-    """Distinct terms as (term, n)."""
-    return F.transform(
-        term_groups(words),
-        lambda g: F.struct(g["term"].alias("term"), F.size(g["positions"]).alias("n")),
-    )
+    tagged = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place")))
+    return let(F.sort_array(tagged), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
 
 
 def idf(docs: Column, df: Column) -> Column:
@@ -74,6 +97,41 @@ def unit(vector: Column) -> Column:
     return let(vector, scaled)
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """A fitted vocabulary: terms in index order with their weights.
+
+    It has a bounded number of terms, so it travels as literals inside
+    expressions, and texts become vectors without a join or a shuffle.
+    """
+
+    terms: Sequence[str]
+    idfs: Sequence[float]
+
+    def vector(self, text: Column) -> Column:
+        """Unit vector of a text as (idx, weight) entries, ordered by idx."""
+        if not self.terms:
+            return F.array().cast(VECTOR)
+        known = F.filter(tokens(text), lambda w: w.isin(list(self.terms)))
+        places = F.lit(list(self.terms))
+        weights = F.lit([float(x) for x in self.idfs])
+
+        def entry(t: Column, idx: Column) -> Column:
+            weight = t["n"] * F.get(weights, idx)
+            return F.struct(idx.alias("idx"), weight.alias("weight"))
+
+        entries = F.transform(
+            term_counts(known),
+            lambda t: let(
+                (F.array_position(places, t["term"]) - 1).cast("int"), lambda idx: entry(t, idx)
+            ),
+        )
+        return unit(F.sort_array(entries))
+
+    def term(self, idx: Column) -> Column:
+        return F.get(F.lit(list(self.terms)), idx)
+
+
 def dot(vector: Column, weights: Column) -> Column:
     """Dot product of an (idx, weight) array with an idx -> weight map."""
     return F.aggregate(

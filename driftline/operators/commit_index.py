@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.regex import WHITESPACE
+from driftline.functions.terms import VECTOR, Vocabulary
 from driftline.operators import vocabulary as voc
 
-COMMIT = ["message", "author", "ts", "files", "diff_summary", "repo"]
 
 
 def projection(history: DataFrame) -> DataFrame:
@@ -58,22 +58,23 @@ def latest(rows: DataFrame, order: Column) -> DataFrame:
 def fit(commits: DataFrame, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
     """Vocabulary of a set of commits, newest commit first."""
     docs = commits.withColumn("text", index_text())
-    return voc.fit(docs, [-F.unix_micros("ts"), F.col("commit_hash")], size=size)
+    # commit time in seconds, then the hash, as one number
+    number = lambda c: c.cast("decimal(38,0)")
+    newest_first = number(-F.unix_timestamp("ts")) * number(F.lit(16**fv.HASH_CHARS))
+    rank = newest_first + number(F.conv("commit_hash", 16, 10))
+    return voc.fit(docs, rank, size=size)
 
 
-def vectorise(commits: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+def vectorise(commits: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
     """Add vectors; NULL vectors while no vocabulary has been fitted."""
     if vocabulary is None:
-        return commits.withColumn(
-            "vector", F.lit(None).cast("array<struct<idx:int,weight:double>>")
-        )
-    docs = commits.withColumn("text", index_text())
-    return voc.vectors(docs, "commit_hash", vocabulary, carry=COMMIT)
+        return commits.withColumn("vector", F.lit(None).cast(VECTOR))
+    return commits.withColumn("vector", vocabulary.vector(index_text()))
 
 
 def index_full(
     history: DataFrame,
-    vocabulary: DataFrame | None = None,
+    vocabulary: Vocabulary | None = None,
     existing: DataFrame | None = None,
     max_commits: int | None = fv.FULL_COMMITS,
 ) -> DataFrame:
@@ -85,7 +86,7 @@ def index_full(
     """
     batch = newest_per_repo(projection(history), max_commits)
     if vocabulary is None:
-        vocabulary = fit(batch)
+        vocabulary = voc.freeze(fit(batch))
     new = vectorise(latest(batch, F.struct("repo", "ts")), vocabulary)
     if existing is None:
         return new
@@ -96,7 +97,7 @@ def index_full(
 def index_incremental(
     history: DataFrame,
     existing: DataFrame,
-    vocabulary: DataFrame | None = None,
+    vocabulary: Vocabulary | None = None,
     max_commits: int | None = fv.INCREMENTAL_COMMITS,
 ) -> DataFrame:
     """The commits to append: newest ones that the index lacks."""

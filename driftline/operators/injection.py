@@ -11,18 +11,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
-from driftline.functions.arrays import let
+from driftline.functions.arrays import explode_rows, let
 from driftline.functions.regex import jvm
 from driftline.functions.spans import Pattern, any_found, spans
-from driftline.operators.sensitive import is_sensitive, sanitized_text
+from driftline.operators.sensitive import sanitized_text
+
+
+# What a match of each pattern needs: one of some words, or a cheaper regex.
+_NEEDS = [
+    (("ignore",), ""),
+    (("disregard",), ""),
+    (("forget",), ""),
+    (("override",), ""),
+    (("bypass",), ""),
+    (("instruction",), ""),
+    (("instruction",), ""),
+    (("now",), ""),
+    (("different", "unrestricted"), ""),
+    (("pretend",), ""),
+    (("roleplay",), ""),
+    (("switch",), ""),
+    (("enable",), ""),
+    (("system",), ""),
+    (("actually",), ""),
+    (("previous",), ""),
+    (("start",), ""),
+    (("reset",), ""),
+    (("clear",), ""),
+    (("```",), ""),
+    (("<|",), ""),
+    (("inst]",), ""),
+    (("sys>>",), ""),
+    (("### ",), ""),
+    (("human:", "assistant:", "system:"), ""),
+    (("decode",), ""),
+    (("execute",), ""),
+    ((), "[A-Za-z0-9+/]{50}"),
+]
 
 
 def patterns(sensitivity: str = "medium", by_line: bool = True) -> list[Pattern]:
     """Patterns in force at a sensitivity; an unknown name means medium."""
     levels = fv.SENSITIVITY_LEVELS.get(sensitivity, fv.SENSITIVITY_LEVELS["medium"])
     return [
-        Pattern(i, kind, jvm(regex, by_line), 0, severity)
-        for i, (kind, regex, severity) in enumerate(fv.INJECTION_PATTERNS)
+        Pattern(i, kind, jvm(regex, by_line), 0, severity, words, shape)
+        for i, ((kind, regex, severity), (words, shape)) in enumerate(
+            zip(fv.INJECTION_PATTERNS, _NEEDS, strict=True)
+        )
         if severity in levels
     ]
 
@@ -47,7 +82,7 @@ def findings(
     content: DataFrame, keys: list[str], text: str = "text", sensitivity: str = "medium"
 ) -> DataFrame:
     """One row per match."""
-    rows = content.select(*keys, F.explode(matches(F.col(text), sensitivity)).alias("m"))
+    rows = explode_rows(content, keys, matches(F.col(text), sensitivity), "m")
     return rows.select(
         *keys,
         F.col("m.ordinal").alias("ordinal"),
@@ -59,6 +94,27 @@ def findings(
     )
 
 
+def by_sensitivity(content: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """Match counts by group and type at every sensitivity.
+
+    The texts are scanned once, with all patterns; counts per severity are then
+    added up for the levels that include it.
+    """
+    counts = (
+        findings(content, [group], text, "high")
+        .groupBy(group, "type", "severity")
+        .agg(F.count("*").alias("n"))
+    )
+    levels = F.array(
+        *[
+            F.when(F.col("severity").isin(severities), F.lit(level))
+            for level, severities in fv.SENSITIVITY_LEVELS.items()
+        ]
+    )
+    spread = counts.select(group, "type", "n", F.explode(F.array_compact(levels)).alias("sensitivity"))
+    return spread.groupBy("sensitivity", group, "type").agg(F.sum("n").alias("findings"))
+
+
 def risk_score(found: Column) -> Column:
     """Severity weights added up, a third each, at most 1."""
     total = F.aggregate(
@@ -107,7 +163,7 @@ def flags(text: Column, sensitivity: str = "medium") -> Column:
             lambda kind: describe(F.filter(found, lambda m: m["type"] == kind)[0]),
         )
 
-    by_pattern = F.array_sort(
+    by_pattern = F.sort_array(
         F.transform(
             matches(text, sensitivity),
             lambda m: F.struct(m["ordinal"], m["start"], m["type"], m["severity"], m["line_number"]),
@@ -119,18 +175,20 @@ def flags(text: Column, sensitivity: str = "medium") -> Column:
 def with_security_flags(diffs: DataFrame, text: str = "text", into: str = "security_flags") -> DataFrame:
     """Add the combined flag list: secrets, personal data, then injection types.
 
-    The quick check stands in front of the full sanitizer, so a text whose only
-    secret is a high-entropy word gets no flag.
+    Only texts that some sensitive pattern matches get a secrets or personal-data
+    flag, so a text whose only secret is a high-entropy word gets none.
     """
-    t = F.col(text)
 
     def from_result(result: Column) -> Column:
+        # items beyond the entropy words are pattern hits
+        gate = F.size(result["items"]) > F.size(result["entropy_words"])
         return F.array_compact(
             F.array(
-                F.when(result["secrets_detected"], F.lit(fv.SECRETS_FLAG)),
-                F.when(result["pii_detected"], F.lit(fv.PII_FLAG)),
+                F.when(gate & result["secrets_detected"], F.lit(fv.SECRETS_FLAG)),
+                F.when(gate & result["pii_detected"], F.lit(fv.PII_FLAG)),
             )
         )
 
-    first = let(F.when(is_sensitive(t), sanitized_text(t)), from_result)
+    t = F.col(text)
+    first = let(sanitized_text(t), from_result)
     return diffs.withColumn(into, F.concat(first, flags(t)))

@@ -14,7 +14,7 @@ from driftline import fixed_values as fv
 from driftline.functions.arrays import let
 from driftline.functions.joins import salted_left_join
 from driftline.functions.regex import WHITESPACE, jvm
-from driftline.functions.terms import idf, term_groups, tokens
+from driftline.functions.terms import idf, term_counts, term_places, tokens
 from driftline.operators.sensitive import sanitized_text
 
 _STRINGS = "array<string>"
@@ -68,42 +68,66 @@ def lookup_outcome() -> dict[str, Column]:
     }
 
 
+def _cosine(terms: Column) -> Column:
+    """Cosine of (a, b) weight pairs; 0 when one side has no weight."""
+    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
+    return F.aggregate(
+        terms,
+        zero,
+        lambda s, t: F.struct(
+            (s["ab"] + t["a"] * t["b"]).alias("ab"),
+            (s["aa"] + t["a"] * t["a"]).alias("aa"),
+            (s["bb"] + t["b"] * t["b"]).alias("bb"),
+        ),
+        lambda s: F.when(
+            (s["aa"] > 0) & (s["bb"] > 0), s["ab"] / F.sqrt(s["aa"]) / F.sqrt(s["bb"])
+        ).otherwise(F.lit(0.0)),
+    )
+
+
+def _weights(in_first: Column, in_second: Column) -> Column:
+    """Weights of a term with the given counts in the two texts."""
+    texts = (in_first > 0).cast("int") + (in_second > 0).cast("int")
+    return let(
+        idf(F.lit(2), texts),
+        lambda scale: F.struct(
+            (in_first * scale).alias("a"), (in_second * scale).alias("b")
+        ),
+    )
+
+
 def alignment(first: Column, second: Column, size: int = fv.VOCABULARY_SIZE) -> Column:
     """Cosine similarity of two texts under a vocabulary fitted on just these two."""
 
-    def term(g: Column, boundary: Column) -> Column:
-        in_first = F.size(F.filter(g["positions"], lambda p: p < boundary))
-        in_second = F.size(g["positions"]) - in_first
-        texts = (in_first > 0).cast("int") + (in_second > 0).cast("int")
-        scale = idf(F.lit(2), texts)
-        return F.struct(
-            (~g["term"].isin(fv.TECH_TERMS)).alias("plain"),
-            (-F.size(g["positions"])).alias("minus_count"),
-            g["positions"][0].alias("place"),
-            (in_first * scale).alias("a"),
-            (in_second * scale).alias("b"),
-        )
-
-    def cosine(terms: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
-        return F.aggregate(
-            terms,
-            zero,
-            lambda s, t: F.struct(
-                (s["ab"] + t["a"] * t["b"]).alias("ab"),
-                (s["aa"] + t["a"] * t["a"]).alias("aa"),
-                (s["bb"] + t["b"] * t["b"]).alias("bb"),
-            ),
-            lambda s: F.when(
-                (s["aa"] > 0) & (s["bb"] > 0), s["ab"] / F.sqrt(s["aa"]) / F.sqrt(s["bb"])
-            ).otherwise(F.lit(0.0)),
-        )
+    def all_terms(a: Column, b: Column) -> Column:
+        # few terms: every one is in the vocabulary, so their order does not matter
+        def of_counts(ca: Column, cb: Column) -> Column:
+            count = lambda counts, term: F.coalesce(
+                F.try_element_at(counts, term), F.lit(0)
+            )
+            terms = F.array_union(F.map_keys(ca), F.map_keys(cb))
+            return F.transform(terms, lambda t: _weights(count(ca, t), count(cb, t)))
+
+        as_map = lambda words: F.map_from_entries(term_counts(words))
+        return let(as_map(a), lambda ca: let(as_map(b), lambda cb: of_counts(ca, cb)))
+
+    def leading_terms(a: Column, b: Column) -> Column:
+        # technical terms first, then by count, then by first place in both texts
+        def ranked(g: Column) -> Column:
+            in_first = F.size(F.filter(g["places"], lambda p: p < F.size(a)))
+            return F.struct(
+                (~g["term"].isin(fv.TECH_TERMS)).alias("plain"),
+                (-F.size(g["places"])).alias("minus_count"),
+                g["places"][0].alias("place"),
+                _weights(in_first, F.size(g["places"]) - in_first).alias("w"),
+            )
+
+        groups = F.sort_array(F.transform(term_places(F.concat(a, b)), ranked))
+        return F.transform(F.slice(groups, 1, size), lambda g: g["w"])
 
     def of_words(a: Column, b: Column) -> Column:
-        groups = term_groups(F.concat(a, b))
-        terms = F.transform(groups, lambda g: term(g, F.size(a)))
-        # leading terms of the pair: technical first, then by count, then by place
-        return cosine(F.slice(F.array_sort(terms), 1, size))
+        few = F.size(F.array_distinct(F.concat(a, b))) <= size
+        return _cosine(F.when(few, all_terms(a, b)).otherwise(leading_terms(a, b)))
 
     return let(tokens(first), lambda a: let(tokens(second), lambda b: of_words(a, b)))
 

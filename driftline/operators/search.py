@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
-from driftline.functions.regex import WHITESPACE
-from driftline.functions.terms import dot
+from driftline.functions.arrays import let
+from driftline.functions.terms import Vocabulary, dot
 from driftline.operators import commit_index
-from driftline.operators.vocabulary import query_weights
+from driftline.operators import vocabulary as voc
 
 RESULT = ["commit_hash", "message", "author", "ts", "files", "score", "matched_terms"]
 
@@ -31,18 +31,28 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(*order).limit(k).select(*RESULT)
 
 
+def _query_weights(spark, vocabulary: Vocabulary, query: str) -> Column:
+    """The query's vector as an idx -> weight map, computed once per search."""
+    vector = vocabulary.vector(F.lit(query))
+    return spark.range(1).select(F.map_from_entries(vector)).scalar()
+
+
 def matched_terms(query: str, text: Column) -> Column:
     """Query words over two characters that occur anywhere in the text."""
-    words = F.array_sort(
-        F.array_distinct(F.split(F.lower(F.lit(query)), f"{WHITESPACE}+", -1))
+    words = sorted({w for w in query.lower().split() if len(w) > 2})
+    if not words:
+        return F.array().cast("array<string>")
+    return let(
+        F.lower(text),
+        lambda t: F.slice(
+            F.filter(F.lit(words), lambda w: F.contains(t, w)), 1, fv.MATCHED_TERMS
+        ),
     )
-    hits = F.filter(words, lambda w: (F.length(w) > 2) & F.contains(F.lower(text), w))
-    return F.slice(hits, 1, fv.MATCHED_TERMS)
 
 
 def search(
     index: DataFrame,
-    vocabulary: DataFrame,
+    vocabulary: Vocabulary,
     query: str,
     repo: str | None = None,
     top_k: int = 5,
@@ -53,7 +63,7 @@ def search(
     rows = _candidates(index, repo, candidates).filter(F.col("vector").isNotNull())
     rows = rows.withColumns(
         {
-            "weights": query_weights(vocabulary, query),
+            "weights": _query_weights(index.sparkSession, vocabulary, query),
             "matched_terms": matched_terms(query, commit_index.index_text()),
         }
     )
@@ -118,7 +128,7 @@ def search_by_files(
 def search_or_index(
     history: DataFrame,
     index: DataFrame | None,
-    vocabulary: DataFrame | None,
+    vocabulary: Vocabulary | None,
     query: str,
     repo: str,
     top_k: int = 5,
@@ -129,7 +139,7 @@ def search_or_index(
         batch = commit_index.newest_per_repo(
             commit_index.projection(own), fv.FIRST_SEARCH_COMMITS
         )
-        vocabulary = vocabulary or commit_index.fit(batch)
+        vocabulary = vocabulary or voc.freeze(commit_index.fit(batch))
         index = commit_index.index_full(
             own, vocabulary, max_commits=fv.FIRST_SEARCH_COMMITS
         )

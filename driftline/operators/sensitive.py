@@ -10,13 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
+from driftline.functions.arrays import explode_rows
 from driftline.functions.redaction import sanitized, without_overlaps
 from driftline.functions.regex import jvm
 from driftline.functions.spans import Pattern, any_found, spans
 
+_DIGITS = "[0-9]{3}"
+
+# What a match of each pattern needs: one of some words, or a cheaper regex.
+_NEEDS = [
+    (("key",), ""),
+    (("token", "bearer"), ""),
+    (("akia", "abia", "acca", "asia"), ""),
+    (("secret",), ""),
+    (("ghp_",), ""),
+    (("gho_",), ""),
+    (("ghu_",), ""),
+    (("ghs_",), ""),
+    (("ghr_",), ""),
+    (("private key",), ""),
+    (("private key",), ""),
+    (("secret", "passw", "pwd"), ""),
+    (("secret",), ""),
+    (("passw", "pwd"), ""),
+    (("@",), ""),
+    ((), _DIGITS),
+    (("+",), ""),
+    ((), _DIGITS),
+    ((), _DIGITS),
+    ((), r"[0-9]\.[0-9]"),
+]
 PATTERNS = [
-    Pattern(i, kind, jvm(regex), group, literal="@" if kind == "email" else "")
-    for i, (kind, regex, group) in enumerate(fv.SENSITIVE_PATTERNS)
+    Pattern(i, kind, jvm(regex), group, words=words, shape=shape)
+    for i, ((kind, regex, group), (words, shape)) in enumerate(
+        zip(fv.SENSITIVE_PATTERNS, _NEEDS, strict=True)
+    )
 ]
 
 
@@ -31,7 +59,7 @@ def quick_filter(content: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _span_rows(content: DataFrame, keys: list[str], found: Column) -> DataFrame:
-    return content.select(*keys, F.explode(found).alias("s")).select(
+    return explode_rows(content, keys, found, "s").select(
         *keys,
         F.col("s.ordinal").alias("ordinal"),
         F.col("s.type").alias("type"),
@@ -66,25 +94,25 @@ def sanitize(
 
 def redacted_items(content: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per redaction, pattern hits first, then high-entropy words."""
-    rows = sanitize(content, text).select(*keys, F.posexplode("sanitized.items").alias("n", "i"))
-    return rows.select(*keys, "n", "i.type", "i.line_number", "i.original_length", "i.token")
+    rows = explode_rows(sanitize(content, text), keys, F.col("sanitized.items"), "i")
+    return rows.select(
+        *keys, F.col("pos").alias("n"), "i.type", "i.line_number", "i.original_length", "i.token"
+    )
 
 
 def high_entropy_secrets(content: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Words flagged by entropy alone on the text that pattern redaction left."""
-    base = F.size("sanitized.items") - F.size("sanitized.entropy_words")
-    rows = sanitize(content, text).select(
-        *keys,
-        F.posexplode("sanitized.entropy_words").alias("n", "w"),
-        F.col("sanitized.items").alias("items"),
-        base.alias("base"),
+    s = F.col("sanitized")
+    tokens = F.slice(
+        s["items"], F.size(s["items"]) - F.size(s["entropy_words"]) + 1, F.size(s["entropy_words"])
     )
-    return rows.select(
+    pairs = F.arrays_zip(s["entropy_words"].alias("w"), tokens.alias("t"))
+    return explode_rows(sanitize(content, text), keys, pairs, "p").select(
         *keys,
-        F.col("w.line_number").alias("line_number"),
-        F.length("w.value").alias("original_length"),
-        F.col("w.value").alias("value"),
-        F.get("items", F.col("base") + F.col("n"))["token"].alias("token"),
+        F.col("p.w.line_number").alias("line_number"),
+        F.length("p.w.value").alias("original_length"),
+        F.col("p.w.value").alias("value"),
+        F.col("p.t.token").alias("token"),
     )
 
 

@@ -6,116 +6,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
-from driftline.functions.terms import idf, term_counts, tokens, unit
+from driftline.functions.arrays import explode_rows
+from driftline.functions.terms import Vocabulary, idf, tokens
 
-VOCABULARY = "idx int, term string, n long, df long, idf double"
+SCHEMA = "idx int, term string, n bigint, df bigint, idf double"
+_PLACES = 2**31  # more places than a text can have tokens
 
 
 def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per token with its place among the text's tokens."""
-    return docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+    return explode_rows(docs, [key], tokens(F.col(text)), "term")
 
 
 def fit(
-    docs: DataFrame, order: list[Column], text: str = "text", size: int = fv.VOCABULARY_SIZE
+    docs: DataFrame, rank: Column, text: str = "text", size: int = fv.VOCABULARY_SIZE
 ) -> DataFrame:
     """The ``size`` leading terms: technical terms first, then by count.
 
-    Equal counts are ordered by first appearance, so ``order`` must rank the
-    texts totally. Counts, document counts and first places come from a single
-    pass combined map-side; only the top ``size`` terms leave the sort.
+    Equal counts are ordered by first appearance, so ``rank`` must number the
+    texts uniquely (a whole number of at most 82 bits). Counts, document counts
+    and first places come from a single pass. All three are plain numbers, which
+    lets Spark combine them in a hash table before the shuffle; only the top
+    ``size`` terms leave the sort.
     """
-    rows = docs.select(F.struct(*order).alias("at"), tokens(F.col(text)).alias("words"))
-    entry = lambda term, pos, n, df: F.struct(
-        term.alias("term"), pos.alias("pos"), F.lit(n).alias("n"), F.lit(df).alias("df")
-    )
-    nowhere = F.lit(None).cast("int")
-    entries = F.concat(
-        F.transform("words", lambda w, i: entry(w, i, 1, 0)),
-        F.transform(F.array_distinct("words"), lambda w: entry(w, nowhere, 0, 1)),
+    at = (rank.cast("decimal(25,0)") * F.lit(_PLACES)).cast("decimal(38,0)")
+    words = docs.select(at.alias("at"), tokens(F.col(text)).alias("words"))
+    both = F.array(F.col("words"), F.array_distinct("words"))
+    rows = words.select("at", F.posexplode_outer(both).alias("distinct", "words")).select(
+        "at", "distinct", F.posexplode_outer("words").alias("pos", "term")
     )
+    every = F.col("distinct") == 0
     stats = (
-        rows.select("at", F.explode(entries).alias("e"))
-        .groupBy(F.col("e.term").alias("term"))
+        rows.filter(F.col("term").isNotNull())
+        .groupBy("term")
         .agg(
-            F.sum("e.n").alias("n"),
-            F.sum("e.df").alias("df"),
-            F.min(F.when(F.col("e.pos").isNotNull(), F.struct("at", "e.pos"))).alias("first"),
+            F.count_if(every).alias("n"),
+            F.count_if(~every).alias("df"),
+            F.min(F.when(every, (F.col("at") + F.col("pos")).cast("decimal(38,0)"))).alias("first"),
         )
     )
     tech = F.col("term").isin(fv.TECH_TERMS)
     top = stats.orderBy(F.desc(tech), F.desc("n"), "first").limit(size)
     # at most ``size`` rows from here on
-    ranked = top.agg(
-        F.array_sort(
-            F.collect_list(F.struct((~tech).alias("t"), (-F.col("n")).alias("m"), "first", "term", "n", "df"))
-        ).alias("terms")
-    ).select(F.posexplode("terms").alias("idx", "v"))
+    entry = F.struct((~tech).alias("t"), (-F.col("n")).alias("m"), "first", "term", "n", "df")
+    ranked = top.agg(F.sort_array(F.collect_list(entry)).alias("terms")).select(
+        F.posexplode("terms").alias("idx", "v")
+    )
     corpus_size = docs.agg(F.count("*")).scalar()
     return ranked.select(
-        "idx",
-        "v.term",
-        "v.n",
-        "v.df",
-        idf(corpus_size, F.col("v.df")).alias("idf"),
+        "idx", "v.term", "v.n", "v.df", idf(corpus_size, F.col("v.df")).alias("idf")
     )
 
 
-def vectors(
-    docs: DataFrame, key: str, vocabulary: DataFrame, carry: list[str] = (), text: str = "text"
-) -> DataFrame:
-    """``key``, the carried columns and a unit vector of (idx, weight) per text.
+def freeze(vocabulary: DataFrame, size: int = fv.VOCABULARY_SIZE) -> Vocabulary:
+    """Bring a fitted vocabulary to the driver, after checking that it is small."""
+    rows = vocabulary.select("idx", "term", "idf").limit(size + 1).collect()
+    if len(rows) > size:
+        raise ValueError(f"the vocabulary has more than {size} terms")
+    rows.sort()
+    return Vocabulary([r.term for r in rows], [r.idf for r in rows])
 
-    Terms are counted inside each row, so the one shuffle moves only vocabulary
-    hits, and none happens when ``docs`` is already partitioned by ``key``. The
-    carried columns travel once per text, in a row of their own. The vocabulary
-    is bounded by its size, which makes it safe to broadcast.
-    """
-    payload = F.struct(F.lit(True).alias("here"), *carry)
-    none = F.lit(None)
-    entry = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n")))
-    rows = docs.select(
-        key,
-        payload.alias("payload"),
-        F.posexplode(F.concat(entry, term_counts(tokens(F.col(text))))).alias("pos", "t"),
-    ).select(
-        key,
-        F.when(F.col("pos") == 0, F.col("payload")).otherwise(none).alias("payload"),
-        F.col("t.term").alias("term"),
-        F.col("t.n").alias("n"),
-    )
-    known = F.broadcast(vocabulary.select("term", "idx", "idf"))
-    hits = rows.join(known, "term", "left").filter(
-        F.col("payload").isNotNull() | F.col("idx").isNotNull()
-    )
-    weight = F.struct("idx", (F.col("n") * F.col("idf")).alias("weight"))
-    return (
-        hits.groupBy(key)
-        .agg(
-            F.first("payload", ignorenulls=True).alias("payload"),
-            unit(
-                F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), weight)))
-            ).alias("vector"),
-        )
-        .select(key, *[f"payload.{c}" for c in carry], "vector")
-    )
 
+def save(vocabulary: DataFrame, path: str) -> None:
+    """Write a fitted vocabulary for later runs."""
+    vocabulary.coalesce(1).write.mode("overwrite").parquet(path)
 
-def postings(vectors_: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """Vectors in long form: key, term, weight."""
-    rows = vectors_.select(key, F.explode("vector").alias("v")).select(key, "v.idx", "v.weight")
-    return rows.join(F.broadcast(vocabulary.select("idx", "term")), "idx").select(
-        key, "term", "weight"
-    )
 
+def load(spark, path: str, size: int = fv.VOCABULARY_SIZE) -> Vocabulary:
+    """Read a vocabulary written by :func:`save`."""
+    return freeze(spark.read.schema(SCHEMA).parquet(path), size)
 
-def query_weights(vocabulary: DataFrame, query: str) -> Column:
-    """The query's unit vector as an idx -> weight map, a scalar subquery.
 
-    Its size is bounded by the query's own words.
-    """
-    spark = vocabulary.sparkSession
-    words = spark.range(1).select(F.explode(term_counts(tokens(F.lit(query)))).alias("t"))
-    hits = words.join(F.broadcast(vocabulary), F.col("t.term") == F.col("term"))
-    entry = F.struct("idx", (F.col("t.n") * F.col("idf")).alias("weight"))
-    return hits.agg(F.map_from_entries(unit(F.array_sort(F.collect_list(entry))))).scalar()
+def vectors(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """Add every text's unit vector; no row leaves its partition."""
+    return docs.withColumn("vector", vocabulary.vector(F.col(text)))
+
+
+def postings(vectors_: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
+    """Vectors in long form: key, term, weight."""
+    rows = explode_rows(vectors_, [key], F.col("vector"), "v")
+    return rows.select(key, vocabulary.term(F.col("v.idx")).alias("term"), "v.weight")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
+from driftline.functions.arrays import explode_rows
 from driftline.operators import injection, sensitive
 from driftline.plans.views import VIEWS, quote, with_views
 from driftline.sources.derived import content
@@ -50,18 +51,7 @@ def injection_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def injection_by_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    texts = content(spark, sf)
-    parts = [
-        injection.findings(texts, ["source"], sensitivity=level)
-        .groupBy("source", "type")
-        .agg(F.count("*").alias("findings"))
-        .select(F.lit(level).alias("sensitivity"), "source", "type", "findings")
-        for level in ("low", "medium", "high", "unknown")
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return injection.by_sensitivity(content(spark, sf), "source")
 
 
 def injection_risk(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,8 +64,8 @@ def injection_quick_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def injection_flags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = content(spark, sf).select("doc_id", F.posexplode(injection.flags(F.col("text"))))
-    return rows.select("doc_id", F.col("pos").alias("n"), F.col("col").alias("flag"))
+    rows = explode_rows(content(spark, sf), KEY, injection.flags(F.col("text")), "flag")
+    return rows.select("doc_id", F.col("pos").alias("n"), "flag")
 
 
 def security_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,8 +253,8 @@ def _any_sql(patterns: list[str]) -> str:
 _MEDIUM = [p for _, p, s in fv.INJECTION_PATTERNS if s != "low"]
 _LEVELS = " UNION ALL ".join(
     f"SELECT '{level}' AS sensitivity, '{s}' AS severity"
-    for level in ("low", "medium", "high", "unknown")
-    for s in fv.SENSITIVITY_LEVELS.get(level, fv.SENSITIVITY_LEVELS["medium"])
+    for level, severities in fv.SENSITIVITY_LEVELS.items()
+    for s in severities
 )
 VIEWS["gate"] = (["hits"], "SELECT DISTINCT doc_id FROM hits")
 VIEWS["scan_flags"] = (

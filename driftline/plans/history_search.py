@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
+from driftline.functions.terms import Vocabulary
 from driftline.operators import commit_index, search, vocabulary
 from driftline.plans.views import VIEWS, quote, with_views
-from driftline.session import materialise
 from driftline.sources.derived import labelled_ids, raw_commits
-from driftline.sources.tables import table
+from driftline.sources.tables import text_table
 
 QUERY = "Fix login bug in the thion tests"
 FILE_PATTERNS = ["SRC1", "tests/3"]
@@ -21,11 +21,11 @@ REPO = "src3"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return text_table(spark, sf, "documents")
 
 
 def _doc_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.fit(_docs(spark, sf), [F.col("doc_id")])
+    return vocabulary.fit(_docs(spark, sf), F.col("doc_id"))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,8 +41,8 @@ def idf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_postings(spark: SparkSession, sf: str) -> DataFrame:
-    words = materialise(_doc_vocabulary(spark, sf), "vocabulary")
-    vectors = vocabulary.vectors(_docs(spark, sf), "doc_id", words)
+    words = vocabulary.freeze(_doc_vocabulary(spark, sf))
+    vectors = vocabulary.vectors(_docs(spark, sf), words)
     rows = vocabulary.postings(vectors, "doc_id", words)
     return rows.withColumn("weight", F.round("weight", 6))
 
@@ -69,12 +69,12 @@ def _indexed_history(spark: SparkSession, sf: str) -> DataFrame:
     return known.withColumn("repo", F.concat(F.lit("fork/"), "repo"))
 
 
-def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+def _vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
     commits = commit_index.projection(raw_commits(spark, sf))
-    return materialise(commit_index.fit(commits), "vocabulary")
+    return vocabulary.freeze(commit_index.fit(commits))
 
 
-def _index(spark: SparkSession, sf: str, words: DataFrame) -> DataFrame:
+def _index(spark: SparkSession, sf: str, words: Vocabulary) -> DataFrame:
     return commit_index.index_full(raw_commits(spark, sf), words, max_commits=None)
 
 
