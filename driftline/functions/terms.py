@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -108,13 +109,17 @@ class Vocabulary:
     terms: Sequence[str]
     idfs: Sequence[float]
 
+    def _places(self) -> Column:
+        # one literal, folded to an array at planning time
+        return F.split(F.lit(" ".join(self.terms)), " ")
+
     def vector(self, text: Column) -> Column:
         """Unit vector of a text as (idx, weight) entries, ordered by idx."""
         if not self.terms:
             return F.array().cast(VECTOR)
         known = F.filter(tokens(text), lambda w: w.isin(list(self.terms)))
-        places = F.lit(list(self.terms))
-        weights = F.lit([float(x) for x in self.idfs])
+        places = self._places()
+        weights = F.from_json(F.lit(json.dumps(list(self.idfs))), "array<double>")
 
         def entry(t: Column, idx: Column) -> Column:
             weight = t["n"] * F.get(weights, idx)
@@ -129,7 +134,7 @@ class Vocabulary:
         return unit(F.sort_array(entries))
 
     def term(self, idx: Column) -> Column:
-        return F.get(F.lit(list(self.terms)), idx)
+        return F.get(self._places(), idx)
 
 
 def dot(vector: Column, weights: Column) -> Column:
