@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.plans import activity, alignment, fleet, guardian, history_search
+from driftline.plans import activity, alignment, fleet, guardian, history_search, live
 from driftline.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
-_AREAS = (guardian, history_search, fleet, alignment, activity)
+_AREAS = (guardian, history_search, fleet, alignment, activity, live)
 
 
 def _prepared(query: Query) -> Query:
