@@ -12,9 +12,17 @@ def salted_left_join(
     """Left join ``rows`` to a table with one row per key.
 
     Rows of a key are spread over ``salts`` join keys by a hash of ``spread_by``
-    and the one-row side is repeated per salt, so no task gets a whole hot key.
-    A small ``per_key`` is broadcast by Spark after checking its size.
+    and the one-row side is repeated per salt, so no task gets a whole hot key;
+    what is still too large for one task is split further by the adaptive skew
+    join. Rows without a key match nothing and are spread without limit. A small
+    ``per_key`` is broadcast by Spark after checking its size.
     """
-    spread = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    anywhere = F.xxhash64(*spread_by)
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    salt = F.when(no_key, anywhere).otherwise(F.pmod(anywhere, F.lit(salts).cast("bigint")))
+    spread = rows.withColumn("__salt", salt)
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    repeated = per_key.withColumn("__salt", F.explode(every))
     return spread.join(repeated, [*keys, "__salt"], "left").drop("__salt")

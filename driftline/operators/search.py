@@ -85,15 +85,14 @@ def similar_commits(
     rows = _candidates(index, repo, candidates)
     named = rows.filter(F.col("commit_hash").startswith(commit_hash[: fv.HASH_PREFIX]))
     source = named.orderBy(F.desc("ts"), "commit_hash").limit(1)
-    found = rows.withColumns(
-        {
-            "weights": source.select(F.map_from_entries("vector")).scalar(),
-            "source_hash": source.select("commit_hash").scalar(),
-        }
-    ).filter((F.col("commit_hash") != F.col("source_hash")) & F.col("vector").isNotNull())
-    scored = found.withColumns(
+    weights = F.map_from_entries("vector").alias("weights")
+    found = rows.withColumn("source", source.select(F.struct("commit_hash", weights)).scalar())
+    others = found.filter(
+        (F.col("commit_hash") != F.col("source.commit_hash")) & F.col("vector").isNotNull()
+    )
+    scored = others.withColumns(
         {
-            "score": dot(F.col("vector"), F.col("weights")),
+            "score": dot(F.col("vector"), F.col("source.weights")),
             "matched_terms": F.array().cast("array<string>"),
         }
     ).filter(F.col("score") > fv.MIN_SCORE)

@@ -7,7 +7,7 @@ carried forward in time buckets, so one very busy agent is spread over many task
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
@@ -16,24 +16,24 @@ from driftline.functions.carry import carry_forward
 ORDER = ["ts", "event_id"]
 
 
-def _bucket() -> Column:
-    return F.date_trunc("hour", "ts")
-
-
-def session_stamp(events: DataFrame, auto_create: bool = False) -> DataFrame:
+def session_stamp(
+    events: DataFrame, auto_create: bool = False, bucket: str = "hour"
+) -> DataFrame:
     """Add session_id: the session open at each event, NULL outside of sessions.
 
     Starts get the session they open, ends the one they close. ``events`` has
     agent_id, event_id, ts and kind (start, end or call). With ``auto_create`` a
-    call outside of a session opens one.
+    call outside of a session opens one. ``bucket`` is the time span of one agent
+    that a single task may work on.
     """
+    span = F.date_trunc(bucket, "ts")
     agent = F.coalesce(F.nullif("agent_id", F.lit("")), F.lit("auto" if auto_create else "anonymous"))
     rows = events.withColumn("agent_id", agent)
     opens = F.col("kind") == "start"
     if auto_create:
         # any event but an end leaves a session open behind it
         rows = carry_forward(
-            rows, "agent_id", ORDER, _bucket(), {"__before": F.col("kind")}, including_self=False
+            rows, "agent_id", ORDER, span, {"__before": F.col("kind")}, including_self=False
         )
         idle = F.coalesce(F.col("__before"), F.lit("end")) == "end"
         opens = opens | ((F.col("kind") == "call") & idle)
@@ -43,7 +43,7 @@ def session_stamp(events: DataFrame, auto_create: bool = False) -> DataFrame:
     )
     boundary = F.when(F.col("opens"), own).when(F.col("kind") == "end", "")
     rows = carry_forward(
-        rows, "agent_id", ORDER, _bucket(), {"__open": boundary}, including_self=False
+        rows, "agent_id", ORDER, span, {"__open": boundary}, including_self=False
     )
     stamp = F.when(F.col("opens"), own).otherwise(F.nullif("__open", F.lit("")))
     return rows.withColumn("session_id", stamp).drop("__open", "__before")

@@ -30,15 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     A temporary folder is made only in local mode, where one machine is the
     whole cluster; on a real cluster a missing setting is an error.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named and context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    if named or context.getCheckpointDir():
+        return named or context.getCheckpointDir()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -60,10 +60,11 @@ def advance(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # the newest session of an agent stays open unless it was ended
     newest = parts.groupBy("agent_id").agg(
-        F.max_by("session_id", F.struct("started_at", "event_id")).alias("newest")
+        F.max_by("session_id", F.struct("started_at", "event_id")).alias("session_id")
     )
-    known = merged.join(newest, "agent_id")
-    is_open = F.col("ended_at").isNull() & (F.col("session_id") == F.col("newest"))
+    marked = newest.withColumn("is_newest", F.lit(True))
+    known = merged.join(marked, ["agent_id", "session_id"], "left")
+    is_open = F.col("ended_at").isNull() & F.col("is_newest").isNotNull()
     last = F.coalesce("last_call", "started_at")
     seconds = (F.unix_micros(last) - F.unix_micros("started_at")) / 1_000_000
     closed = known.filter(~is_open).select(
