@@ -32,24 +32,33 @@ class Pattern:
     words: tuple[str, ...] = ()  # a match needs one of these in the folded text
     shape: str = ""  # a match needs this cheaper regex to match, too
 
-    def found_in(self, text: Column, fold: Column) -> Column:
-        found = F.regexp_like(text, F.lit(self.regex))
-        if self.shape:
-            found = F.regexp_like(text, F.lit(self.shape)) & found
+    def possible_in(self, text: Column, fold: Column) -> Column:
+        """False where cheap tests rule a match out."""
+        tests = []
         if self.words:
-            possible = F.contains(fold, F.lit(self.words[0]))
+            hit = F.contains(fold, F.lit(self.words[0]))
             for word in self.words[1:]:
-                possible = possible | F.contains(fold, F.lit(word))
-            found = possible & found
-        return found
-
-    def row(self) -> Column:
-        return F.struct(
-            F.lit(self.ordinal).alias("ordinal"),
-            F.lit(self.type).alias("type"),
-            F.lit(self.regex).alias("regex"),
-            F.lit(self.group).alias("group"),
-            F.lit(self.severity).alias("severity"),
+                hit = hit | F.contains(fold, F.lit(word))
+            tests.append(hit)
+        if self.shape:
+            tests.append(F.regexp_like(text, F.lit(self.shape)))
+        possible = tests[0] if tests else F.lit(True)
+        for test in tests[1:]:
+            possible = possible & test
+        return possible
+
+    def hits(self, text: Column, fold: Column) -> Column:
+        """The pattern's fields and all its matches, NULL where a match is ruled out."""
+        return F.when(
+            self.possible_in(text, fold),
+            F.struct(
+                F.lit(self.ordinal).alias("ordinal"),
+                F.lit(self.type).alias("type"),
+                F.lit(self.regex).alias("regex"),
+                F.lit(self.group).alias("group"),
+                F.lit(self.severity).alias("severity"),
+                F.regexp_extract_all(text, F.lit(self.regex), F.lit(0)).alias("whole"),
+            ),
         )
 
 
@@ -57,24 +66,22 @@ def any_found(text: Column, patterns: list[Pattern]) -> Column:
     """True where at least one pattern matches."""
 
     def either(fold: Column) -> Column:
-        found = patterns[0].found_in(text, fold)
-        for p in patterns[1:]:
-            found = found | p.found_in(text, fold)
+        found = F.lit(False)
+        for p in patterns:
+            found = found | (p.possible_in(text, fold) & F.regexp_like(text, F.lit(p.regex)))
         return found
 
     return let(folded(text), either)
 
 
 def _patterns_found(text: Column, patterns: list[Pattern]) -> Column:
-    """The pattern rows that match at all; empty for most texts."""
-
-    def rows(fold: Column) -> Column:
-        return F.filter(
-            F.array(*[F.when(p.found_in(text, fold), p.row()) for p in patterns]),
-            lambda p: p.isNotNull(),
-        )
-
-    return let(folded(text), rows)
+    """The patterns that match, with their matches; empty for most texts."""
+    return let(
+        folded(text),
+        lambda fold: F.filter(
+            F.array(*[p.hits(text, fold) for p in patterns]), lambda p: F.size(p["whole"]) > 0
+        ),
+    )
 
 
 def _newlines(text: Column) -> Column:
@@ -82,9 +89,11 @@ def _newlines(text: Column) -> Column:
 
 
 def _matches(text: Column, p: Column) -> Column:
-    """All matches of one pattern row, left to right."""
-    whole = F.regexp_extract_all(text, p["regex"], F.lit(0))
-    inner = F.regexp_extract_all(text, p["regex"], p["group"])
+    """The spans of one pattern's matches, left to right."""
+    whole = p["whole"]
+    inner = F.when(p["group"] > 0, F.regexp_extract_all(text, p["regex"], p["group"])).otherwise(
+        whole
+    )
     gaps = F.split(text, p["regex"], -1)
 
     def step(at: Column, m: Column) -> tuple[Column, Column]:
@@ -124,8 +133,7 @@ def _matches(text: Column, p: Column) -> Column:
 def spans(text: Column, patterns: list[Pattern]) -> Column:
     """Every match of every pattern, ordered by (start, ordinal).
 
-    Cheap tests rule out most patterns, one compiled regex most of the rest; only
-    the few patterns that hit pay for offsets.
+    Cheap tests rule out most patterns; only the few that hit pay for offsets.
     """
     return let(
         text,

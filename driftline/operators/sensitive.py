@@ -15,14 +15,12 @@ from driftline.functions.redaction import sanitized, without_overlaps
 from driftline.functions.regex import jvm
 from driftline.functions.spans import Pattern, any_found, spans
 
-_DIGITS = "[0-9]{3}"
-
-# What a match of each pattern needs: one of some words, or a cheaper regex.
+# What a match of each pattern needs: one of some words, and a cheaper regex.
 _NEEDS = [
-    (("key",), ""),
-    (("token", "bearer"), ""),
+    (("apikey", "api_key", "api-key"), ""),
+    (("authtoken", "auth_token", "auth-token", "bearer"), ""),
     (("akia", "abia", "acca", "asia"), ""),
-    (("secret",), ""),
+    (("secretaccess", "secret_access", "secret-access"), ""),
     (("ghp_",), ""),
     (("gho_",), ""),
     (("ghu_",), ""),
@@ -31,14 +29,14 @@ _NEEDS = [
     (("private key",), ""),
     (("private key",), ""),
     (("secret", "passw", "pwd"), ""),
-    (("secret",), ""),
+    (("clientsecret", "client_secret", "client-secret"), ""),
     (("passw", "pwd"), ""),
     (("@",), ""),
-    ((), _DIGITS),
-    (("+",), ""),
-    ((), _DIGITS),
-    ((), _DIGITS),
-    ((), r"[0-9]\.[0-9]"),
+    ((), "(?s)[0-9]{3}.{0,2}[0-9]{3}"),
+    (("+",), r"\+[0-9]"),
+    ((), "(?s)[0-9]{3}.?[0-9]{2}.?[0-9]{4}"),
+    ((), "[0-9]{13}"),
+    ((), r"[0-9]\.[0-9]{1,3}\.[0-9]"),
 ]
 PATTERNS = [
     Pattern(i, kind, jvm(regex), group, words=words, shape=shape)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.plans import activity, history_search
 from driftline.plans.views import with_views
 from driftline.session import scratch_path
-from driftline.sources import audit_log, derived
+from driftline.sources import audit_log, derived, index_store
 from driftline.sources.tables import table
 from driftline.streaming import live_index, live_sessions, scans
 
@@ -51,7 +51,7 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     history = derived.as_commits(_stream(spark, sf, "documents"))
     path = scratch_path(spark, "stream")
     live_index.index_stream(history, words, f"{path}/index", f"{path}/checkpoint").awaitTermination()
-    index = live_index.read_index(spark, f"{path}/index")
+    index = index_store.read(spark, f"{path}/index")
     return index.select("commit_hash", "repo", F.size("vector").alias("terms"))
 
 

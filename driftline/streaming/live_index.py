@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from driftline.functions.terms import VECTOR, Vocabulary
+from driftline.functions.terms import Vocabulary
 from driftline.operators import commit_index
-
-INDEX = (
-    "commit_hash string, message string, author string, ts timestamp, files array<string>, "
-    f"diff_summary string, repo string, vector {VECTOR}, batch bigint"
-)
-
-
-def read_index(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The index below ``path``; with ``before``, only what earlier batches wrote."""
-    rows = spark.read.schema(INDEX).parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+from driftline.sources import index_store
 
 
 def index_stream(
     history: DataFrame, vocabulary: Vocabulary, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append the commits of every batch that the index lacks.
-
-    A batch writes its own folder, so a batch that is run again after a failure
-    replaces what it wrote before.
-    """
+    """Append the commits of every batch that the index lacks."""
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], StructType.fromDDL(INDEX.rsplit(",", 1)[0])).write.mode(
-            "ignore"
-        ).parquet(f"{path}/batch=-1")
-        known = read_index(spark, path, before=number)
+        known = index_store.read_batches(batch.sparkSession, path, before=number)
         new = commit_index.index_incremental(batch, known, vocabulary, max_commits=None)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        index_store.write_batch(new, path, number)
 
     return (
         history.writeStream.foreachBatch(append)

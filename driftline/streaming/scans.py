@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -17,6 +18,11 @@ def text_stream(
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def line_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """New lines of text files in a folder as a stream."""
+    return spark.readStream.text(folder)
+
+
 def security_flags(stream: DataFrame, text: str = "text") -> DataFrame:
     """Security flags of every arriving text."""
     return injection.with_security_flags(stream, text)
@@ -40,3 +46,15 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
         .trigger(availableNow=True)
         .start(path)
     )
+
+
+def write_audit(entries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append audit entries to a JSON Lines log, one folder per day."""
+    lines = entries.select(audit_log.to_line().alias("value"), F.to_date("ts").alias("day"))
+    return (
+        lines.writeStream.format("text")
+        .partitionBy("day")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(path)
+    )

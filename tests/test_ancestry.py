@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from driftline.operators.ancestry import ancestors, commits_behind_main
 
 EDGE = "repo int, child long, parent long, parent_no int"

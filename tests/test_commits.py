@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftline.operators import commit_index as ci
 from driftline.operators import search
 from driftline.operators import vocabulary as voc
+from driftline.sources import index_store
 
 RAW = (
     "sha string, message string, author string, repo string, committed_at bigint, "
@@ -138,3 +139,17 @@ def test_search_or_index(history, built):
 
 def test_empty_index(spark, built):
     assert search.search(built[0].limit(0), built[1], "login").collect() == []
+
+
+def test_store_keeps_the_last_write(history, built, tmp_path, spark):
+    path = str(tmp_path / "index")
+    assert index_store.read(spark, path).count() == 0
+    index, words = built
+    index_store.write_batch(index, path, 0)
+    newer = ci.index_full(history.filter(F.col("repo") == "r1").withColumn("author", F.lit("New")), words)
+    for _ in range(2):  # a batch may be run again
+        index_store.write_batch(newer, path, 1)
+    rows = {r.commit_hash[0]: r.author for r in index_store.read(spark, path).collect()}
+    assert rows == {"a": "New", "b": "New", "c": "New", "d": "Dee"}
+    found = search.search(index_store.read(spark, path), words, "login bug").collect()
+    assert found[0].commit_hash == "a" * 12

@@ -9,6 +9,7 @@ from test_commits import RAW, ROWS
 
 from driftline.operators import commit_index as ci
 from driftline.operators import vocabulary as voc
+from driftline.sources import audit_log, index_store
 from driftline.streaming import live_index, live_sessions, scans
 
 
@@ -59,7 +60,7 @@ def test_live_index(spark, tmp_path):
     stream = in_files(spark, ROWS + ROWS[:2], RAW, tmp_path / "in", 3)
     path = str(tmp_path / "index")
     live_index.index_stream(stream, words, path, str(tmp_path / "cp")).awaitTermination()
-    rows = live_index.read_index(spark, path).collect()
+    rows = index_store.read(spark, path).collect()
     assert sorted(r.commit_hash[0] for r in rows) == ["a", "b", "c", "d"]
     batch = {r.commit_hash: r.vector for r in ci.index_full(history, words).collect()}
     for r in rows:
@@ -77,3 +78,26 @@ def test_stateless_scans(spark, tmp_path):
     scans.write_available(clean, str(tmp_path / "s"), str(tmp_path / "cp2")).awaitTermination()
     got = {r.id: r.sanitized_text for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert got[1] == "[REDACTED_EMAIL_1]"
+
+
+def test_incidents_from_lines(spark, tmp_path):
+    good = '{"timestamp": "2024-01-01T00:00:00+00:00", "trace_id": "%s", "action": "a", "agent_id": "g", "risk_score": %s}'
+    lines = [(good % ("t1", 0.9),), (good % ("t2", 0.1),), ("{broken",)]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(str(tmp_path / "log"))
+    found = scans.incidents(scans.line_stream(spark, str(tmp_path / "log"))).select("trace_id")
+    scans.write_available(found, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [r.trace_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["t1"]
+
+
+def test_audit_stream(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 1, 1), "tool:a"), (2, dt.datetime(2024, 1, 2, 1), "tool:b")]
+    stream = in_files(spark, rows, "n int, ts timestamp, action string", tmp_path / "in", 2)
+    entries = stream.selectExpr(
+        "ts", "'t' AS trace_id", "action", "'g' AS agent_id", "0.0D AS risk_score", "false AS pii_detected",
+        "false AS injection_detected", "'ok' AS status", "CAST(NULL AS string) AS repo_path",
+        "map('n', string(n)) AS metadata", "CAST(NULL AS string) AS session_id", "CAST(NULL AS int) AS duration_ms",
+    )
+    out = str(tmp_path / "log")
+    scans.write_audit(entries, out, str(tmp_path / "cp")).awaitTermination()
+    got = {r.action: r.metadata["n"] for r in audit_log.read(spark, out).collect()}
+    assert got == {"tool:a": "1", "tool:b": "2"}
