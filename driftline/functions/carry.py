@@ -21,8 +21,9 @@ def carry_forward(
 ) -> DataFrame:
     """Add, per name in ``values``, the last non-null value up to each row.
 
-    ``order`` must be a total order within a key whose buckets follow it. With
-    ``including_self`` false a row sees earlier rows only.
+    ``order`` must be a total order within a key whose buckets follow it; key and
+    bucket must not be null. With ``including_self`` false a row sees earlier rows
+    only. Rows are shuffled once, by (key, bucket), for window and join alike.
     """
     tmp = {name: f"__{name}" for name in values}
     rows = rows.withColumns({"__bucket": bucket, **{tmp[n]: v for n, v in values.items()}})

@@ -114,9 +114,12 @@ class Vocabulary:
         return F.split(F.lit(" ".join(self.terms)), " ")
 
     def vector(self, text: Column) -> Column:
-        """Unit vector of a text as (idx, weight) entries, ordered by idx."""
+        """Unit vector of a text as (idx, weight) entries, ordered by idx.
+
+        NULL under a vocabulary without terms, as for a missing vocabulary.
+        """
         if not self.terms:
-            return F.array().cast(VECTOR)
+            return F.lit(None).cast(VECTOR)
         known = F.filter(tokens(text), lambda w: w.isin(list(self.terms)))
         places = self._places()
         weights = F.from_json(F.lit(json.dumps(list(self.idfs))), "array<double>")

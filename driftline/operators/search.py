@@ -107,7 +107,7 @@ def search_by_files(
     candidates: int | None = None,
 ) -> DataFrame:
     """Commits touching files whose names contain the patterns, most hits first."""
-    wanted = F.array(*[F.lit(p.lower()) for p in file_patterns])
+    wanted = F.array(*[F.lit(p.lower()) for p in file_patterns]).cast("array<string>")
     hits = F.flatten(
         F.transform(
             wanted,

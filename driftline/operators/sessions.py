@@ -26,7 +26,8 @@ def session_stamp(
     call outside of a session opens one. ``bucket`` is the time span of one agent
     that a single task may work on.
     """
-    span = F.date_trunc(bucket, "ts")
+    # events without a time come first in order, so they share the earliest bucket
+    span = F.coalesce(F.date_trunc(bucket, "ts"), F.timestamp_seconds(F.lit(-62135596800)))
     agent = F.coalesce(F.nullif("agent_id", F.lit("")), F.lit("auto" if auto_create else "anonymous"))
     rows = events.withColumn("agent_id", agent)
     opens = F.col("kind") == "start"

@@ -164,6 +164,12 @@ def test_sessions(spark, counted):
     assert got == want and len(rows) == len(found)
 
 
+def test_events_without_a_time_are_kept(spark):
+    rows = [("a", 1, None, "call", "t"), ("a", 2, NOON, "start", "t"), ("a", 3, NOON, "call", "t")]
+    out = ses.session_stamp(spark.createDataFrame(rows, EVENT)).collect()
+    assert {r.event_id: r.session_id is not None for r in out} == {1: False, 2: True, 3: True}
+
+
 def test_info_and_end_report(spark):
     events = random_events(300, 3) + [("solo", 9000, NOON, "call", "tool:p"), ("", 9001, NOON, "start", "tool:p")]
     stamped = ses.session_stamp(spark.createDataFrame(events, EVENT))

@@ -153,3 +153,15 @@ def test_store_keeps_the_last_write(history, built, tmp_path, spark):
     assert rows == {"a": "New", "b": "New", "c": "New", "d": "Dee"}
     found = search.search(index_store.read(spark, path), words, "login bug").collect()
     assert found[0].commit_hash == "a" * 12
+
+
+def test_odd_inputs(history, built, spark):
+    commits = ci.projection(history)
+    assert search.search_by_files(commits, []).collect() == []
+    assert search.search(*built, "").collect() == []
+    nothing = voc.freeze(ci.fit(commits.limit(0)))
+    assert nothing.terms == []
+    bare = ci.index_full(history, nothing)
+    assert {r.vector for r in bare.collect()} == {None}
+    assert search.search(bare, nothing, "login").collect() == []
+    assert search.similar_commits(bare, "a" * 12).collect() == []
