@@ -125,17 +125,17 @@ def span_attributes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _session_rows(rows: DataFrame) -> DataFrame:
+def session_rows(rows: DataFrame) -> DataFrame:
     times = [c for c in ("started_at", "ended_at", "last_activity", "ts") if c in rows.columns]
     return rows.withColumns({c: audit_log.iso(F.col(c)) for c in times})
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return _session_rows(ses.sessions(_entries(spark, sf)))
+    return session_rows(ses.sessions(_entries(spark, sf)))
 
 
 def sessions_counted(spark: SparkSession, sf: str) -> DataFrame:
-    return _session_rows(ses.sessions(_entries(spark, sf), COUNTED))
+    return session_rows(ses.sessions(_entries(spark, sf), COUNTED))
 
 
 def session_stamp(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,12 +149,12 @@ def session_stamp_auto(spark: SparkSession, sf: str) -> DataFrame:
 
 def session_info(spark: SparkSession, sf: str) -> DataFrame:
     stamped = _entries(spark, sf)
-    return _session_rows(ses.session_info(stamped, ses.sessions(stamped)))
+    return session_rows(ses.session_info(stamped, ses.sessions(stamped)))
 
 
 def session_end_report(spark: SparkSession, sf: str) -> DataFrame:
     stamped = _entries(spark, sf)
-    return _session_rows(ses.session_end_report(stamped, ses.sessions(stamped)))
+    return session_rows(ses.session_end_report(stamped, ses.sessions(stamped)))
 
 
 QUERIES = {
@@ -235,7 +235,7 @@ def _sessions_view(counted: str) -> str:
 
 
 VIEWS["all_sessions"] = (["stamped"], _sessions_view("kind = 'call'"))
-_SESSION_COLUMNS = f"""agent_id, session_id, {_iso('started_at')} AS started_at,
+SESSION_COLUMNS = f"""agent_id, session_id, {_iso('started_at')} AS started_at,
   {_iso('ended_at')} AS ended_at, tool_calls, {_iso('last_activity')} AS last_activity,
   duration_seconds"""
 _FIELDS = f"""{_iso('ts')} AS ts, trace_id, action, agent_id, session_id, risk_score, pii_detected,
@@ -304,10 +304,10 @@ ORACLE = {
               CASE status WHEN 'error' THEN 'ERROR' ELSE 'OK' END AS span_status, attribute, value
             FROM ({_ATTRIBUTES}) WHERE value IS NOT NULL""",
     ),
-    "sessions": with_views(["all_sessions"], f"SELECT {_SESSION_COLUMNS} FROM all_sessions"),
+    "sessions": with_views(["all_sessions"], f"SELECT {SESSION_COLUMNS} FROM all_sessions"),
     "sessions_counted": with_views(
         ["stamped"],
-        f"""SELECT {_SESSION_COLUMNS} FROM ({_sessions_view("kind = 'call' AND action IN ("
+        f"""SELECT {SESSION_COLUMNS} FROM ({_sessions_view("kind = 'call' AND action IN ("
             + ", ".join(quote(c) for c in COUNTED) + ")")})""",
     ),
     "session_stamp": with_views(["stamped"], "SELECT event_id, agent_id, session_id FROM stamped"),

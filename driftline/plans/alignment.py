@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline import fixed_values as fv
 from driftline.operators import intent
 from driftline.plans.guardian import ORACLE as _  # noqa: F401  registers the redaction views
-from driftline.plans.history_search import _TECH, _token_list
+from driftline.plans.history_search import TECH, token_list
 from driftline.plans.views import VIEWS, quote, with_views
 from driftline.sources.derived import diffs, judge_replies, tickets
 
@@ -111,9 +111,9 @@ VIEWS["pairs"] = (
 VIEWS["pair_tokens"] = (
     ["pairs"],
     f"""SELECT doc_id, side, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (
-          SELECT doc_id, 0 AS side, {_token_list('ticket')} AS w FROM pairs WHERE found
+          SELECT doc_id, 0 AS side, {token_list('ticket')} AS w FROM pairs WHERE found
           UNION ALL
-          SELECT doc_id, 1, {_token_list('diff')} FROM pairs WHERE found)""",
+          SELECT doc_id, 1, {token_list('diff')} FROM pairs WHERE found)""",
 )
 VIEWS["pair_terms"] = (
     ["pair_tokens"],
@@ -121,7 +121,7 @@ VIEWS["pair_terms"] = (
           SELECT doc_id, term, count(*) FILTER (WHERE side = 0) AS na,
             count(*) FILTER (WHERE side = 1) AS nb, count(DISTINCT side) AS df
           FROM pair_tokens GROUP BY doc_id, term
-          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY term IN ({_TECH}) DESC,
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY term IN ({TECH}) DESC,
             count(*) DESC, min((side, pos))) <= {fv.VOCABULARY_SIZE})""",
 )
 VIEWS["pair_scores"] = (

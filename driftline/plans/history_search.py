@@ -69,7 +69,7 @@ def _indexed_history(spark: SparkSession, sf: str) -> DataFrame:
     return known.withColumn("repo", F.concat(F.lit("fork/"), "repo"))
 
 
-def _vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
+def commit_vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
     commits = commit_index.projection(raw_commits(spark, sf))
     return vocabulary.freeze(commit_index.fit(commits))
 
@@ -79,7 +79,7 @@ def _index(spark: SparkSession, sf: str, words: Vocabulary) -> DataFrame:
 
 
 def index_full(spark: SparkSession, sf: str) -> DataFrame:
-    words = _vocabulary(spark, sf)
+    words = commit_vocabulary(spark, sf)
     old = commit_index.index_full(_indexed_history(spark, sf), words, max_commits=None)
     index = commit_index.index_full(raw_commits(spark, sf), words, old)
     total = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v["weight"] * (v["idx"] + 1))
@@ -101,7 +101,7 @@ def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_incremental_rows(spark: SparkSession, sf: str) -> DataFrame:
-    words = _vocabulary(spark, sf)
+    words = commit_vocabulary(spark, sf)
     known = commit_index.projection(_indexed_history(spark, sf))
     new = commit_index.index_incremental(raw_commits(spark, sf), known, words, max_commits=None)
     return new.select("commit_hash", "repo", F.size("vector").alias("terms"))
@@ -137,17 +137,17 @@ def matched_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_history(spark: SparkSession, sf: str) -> DataFrame:
-    words = _vocabulary(spark, sf)
+    words = commit_vocabulary(spark, sf)
     return _flat(search.search(_index(spark, sf, words), words, QUERY))
 
 
 def search_history_in_repo(spark: SparkSession, sf: str) -> DataFrame:
-    words = _vocabulary(spark, sf)
+    words = commit_vocabulary(spark, sf)
     return _flat(search.search(_index(spark, sf, words), words, QUERY, repo=REPO, top_k=20))
 
 
 def similar_commits(spark: SparkSession, sf: str) -> DataFrame:
-    words = _vocabulary(spark, sf)
+    words = commit_vocabulary(spark, sf)
     return _flat(search.similar_commits(_index(spark, sf, words), SOURCE_HASH, top_k=10))
 
 
@@ -189,7 +189,7 @@ QUERIES = {
 
 # --- SQL checks -----------------------------------------------------------------
 
-_TECH = ", ".join(quote(t) for t in fv.TECH_TERMS)
+TECH = ", ".join(quote(t) for t in fv.TECH_TERMS)
 VIEWS["raw_commits"] = (
     [],
     """SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS sha,
@@ -208,7 +208,7 @@ VIEWS["commits"] = (
 )
 
 
-def _token_list(text: str) -> str:
+def token_list(text: str) -> str:
     return (
         f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), "
         "lambda x: regexp_matches(x, '^[a-z][a-z0-9_]{1,20}$'))"
@@ -217,7 +217,7 @@ def _token_list(text: str) -> str:
 
 def _token_view(source: str, key: str, text: str) -> str:
     return f"""SELECT {key}, unnest(w) AS term, unnest(range(len(w))) AS pos
-               FROM (SELECT {key}, {_token_list(text)} AS w FROM {source})"""
+               FROM (SELECT {key}, {token_list(text)} AS w FROM {source})"""
 
 
 def _vocabulary_view(toks: str, source: str, order: str) -> str:
@@ -225,7 +225,7 @@ def _vocabulary_view(toks: str, source: str, order: str) -> str:
     return f"""SELECT term, n, df, row_number() OVER (ORDER BY tech DESC, n DESC, first) - 1 AS idx,
                  ln((docs + 1) / (df + 1)) + 1 AS idf
                FROM (SELECT term, count(*) AS n, count(DISTINCT key) AS df,
-                       min(({order}, pos)) AS first, term IN ({_TECH}) AS tech
+                       min(({order}, pos)) AS first, term IN ({TECH}) AS tech
                      FROM {toks} GROUP BY term),
                     (SELECT count(*) AS docs FROM {source})
                QUALIFY idx < {fv.VOCABULARY_SIZE}"""
@@ -249,7 +249,7 @@ VIEWS["commit_texts"] = (
 VIEWS["commit_tokens"] = (
     ["commit_texts"],
     f"""SELECT key, rank, unnest(w) AS term, unnest(range(len(w))) AS pos
-        FROM (SELECT key, -doc_id AS rank, {_token_list('text')} AS w FROM commit_texts)""",
+        FROM (SELECT key, -doc_id AS rank, {token_list('text')} AS w FROM commit_texts)""",
 )
 VIEWS["words"] = (["commit_tokens"], _vocabulary_view("commit_tokens", "commits", "rank"))
 VIEWS["weights"] = (["commit_tokens", "words"], _weights_view("commit_tokens", "words"))
@@ -259,7 +259,7 @@ _QUERY_WORDS = quote(QUERY.lower())
 def _query_weights(words: str) -> str:
     return f"""SELECT idx, w / sqrt(sum(w * w) OVER ()) AS weight FROM (
                  SELECT idx, count(*) * idf AS w
-                 FROM (SELECT unnest({_token_list(quote(QUERY))}) AS term)
+                 FROM (SELECT unnest({token_list(quote(QUERY))}) AS term)
                  JOIN {words} USING (term) GROUP BY idx, idf)"""
 
 

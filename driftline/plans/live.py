@@ -43,11 +43,11 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     live_sessions.session_stream(events, path, f"{path}/checkpoint").awaitTermination()
     closed = spark.read.schema(live_sessions.CLOSED).parquet(f"{path}/closed").drop("batch")
-    return activity._session_rows(closed)
+    return activity.session_rows(closed)
 
 
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
-    words = history_search._vocabulary(spark, sf)
+    words = history_search.commit_vocabulary(spark, sf)
     history = derived.as_commits(_stream(spark, sf, "documents"))
     path = scratch_path(spark, "stream")
     live_index.index_stream(history, words, f"{path}/index", f"{path}/checkpoint").awaitTermination()
@@ -71,7 +71,7 @@ ORACLE = {
     ),
     "stream_sessions": with_views(
         ["all_sessions"],
-        f"""SELECT {activity._SESSION_COLUMNS} FROM (
+        f"""SELECT {activity.SESSION_COLUMNS} FROM (
               SELECT *, max((started_at, ended_at IS NULL)) OVER (PARTITION BY agent_id) AS newest
               FROM all_sessions)
             WHERE ended_at IS NOT NULL OR started_at < newest[1]""",

@@ -20,8 +20,13 @@ COMMIT = (
 
 
 def write_batch(index: DataFrame, path: str, batch: int) -> None:
-    """Write the rows of one batch."""
-    index.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """Write the rows of one batch.
+
+    Files hold ranges of (repo, ts), so that a search in one repository skips
+    most of them, and a large repository is spread over many.
+    """
+    ranged = index.repartitionByRange("repo", "ts").sortWithinPartitions("repo", "ts")
+    ranged.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
