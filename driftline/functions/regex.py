@@ -12,7 +12,9 @@ _BLANK = (
     r"\t\x0B\f\r\x1C-\x20\x85\xA0"
     r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WORD = r"[\p{L}\p{N}_]"
+# A word character. U+10000 is a letter anyway; naming it makes the JVM look behind by
+# whole code points, where it would else see half of a surrogate pair.
+WORD = r"[\p{L}\p{N}_" + "\U00010000]"
 _EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 WHITESPACE = f"[\\n{_BLANK}]"
 
