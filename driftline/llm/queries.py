@@ -8,11 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, token_counts
+from driftline.llm import bpe, columns, exact_dedup, license_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(columns.documents(spark, sf_dir))
+    base = F.array_sort(F.array_distinct("base_places.label"))
+    every = F.array_sort(F.array_distinct(F.concat("base_places.label", "places.label")))
+    confidence = F.array_max(F.concat("base_places.confidence", "places.confidence"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("bigint").alias("n_base"),
+        F.array_min("base_places.first").alias("first_word"),
+        F.array_max("base_places.first").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.coalesce(confidence, F.lit(0.0)).alias("score"),
+        "places",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.round_trip(
         columns.documents(spark, sf_dir),
@@ -53,6 +71,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
