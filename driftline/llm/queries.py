@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, license_scan, token_counts
+from driftline.llm import bpe, columns, exact_dedup, license_scan, mixing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,10 +70,75 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that come before the models.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+#: The weights of the sources in their order, again and again.
+SOURCE_WEIGHTS = [3, 1, 2]
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(columns.documents(spark, sf_dir), SOURCE_WEIGHTS)
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) >> 30 AS bucket
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS lim FROM s),
+r AS (
+  SELECT lim / weight AS ratio,
+         (1.5::DOUBLE * (SELECT sum(source_size) FROM w)
+          - coalesce((SELECT sum(x.lim) FROM w x WHERE x.lim / x.weight < w.lim / w.weight), 0))
+         / (SELECT sum(x.weight) FROM w x WHERE x.lim / x.weight >= w.lim / w.weight) AS level
+  FROM w),
+t AS (
+  SELECT source, source_size,
+         least(lim, weight * (SELECT arg_min(level, ratio) FROM r WHERE level <= ratio)) AS target
+  FROM w),
+c AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
+b AS (
+  SELECT source, bucket, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket) AS upto
+  FROM d GROUP BY source, bucket),
+e AS (
+  SELECT c.source, min_by(b.bucket, b.bucket) AS last_bucket,
+         min_by(b.upto - (c.target - c.copies * c.source_size)
+                < (c.target - c.copies * c.source_size) - (b.upto - b.n), b.bucket) AS with_last
+  FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
+  WHERE b.upto > c.target - c.copies * c.source_size
+  GROUP BY c.source)
+SELECT d.doc_id, d.size, c.source_size, c.target,
+       CAST(d.size * (c.copies + CASE WHEN d.bucket < e.last_bucket OR (d.bucket = e.last_bucket AND e.with_last)
+                                      THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
 }
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
