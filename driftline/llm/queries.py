@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, license_scan, mixing, token_counts, url_filter
+from driftline.llm import bpe, columns, exact_dedup, language_id, license_scan, mixing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +133,18 @@ LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
 
+def held_out(key: Column) -> Column:
+    """A fifth of the documents, from which nothing is learned."""
+    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns.documents(spark, sf_dir)
+    labelled = docs.filter(~held_out(F.col("doc_id")))
+    found = language_id.identify(docs, language_id.learn(labelled))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+
+
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op4_bpe": op4_bpe,
@@ -140,5 +152,6 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": op6_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
