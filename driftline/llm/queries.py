@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, language_id, license_scan, mixing, token_counts, url_filter
+from driftline.llm import bpe, columns, exact_dedup, fingerprints, language_id, license_scan, mixing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns.documents(spark, sf_dir)
+    return fingerprints.compare_with_next(docs, fingerprints.lexicon(docs))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.license_scan(columns.documents(spark, sf_dir))
     base = F.array_sort(F.array_distinct("base_places.label"))
@@ -146,6 +151,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_license_scan": op2_license_scan,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
