@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, fingerprints, language_id, license_scan, mixing, token_counts, url_filter
+from driftline.llm import bpe, columns, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(columns.documents(spark, sf_dir)).drop("row")
+
+
 #: The rules that come before the models.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -156,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
