@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, token_counts, url_filter
+from driftline.llm import bpe, columns, exact_dedup, fingerprints, language_id, license_scan, line_dedup, mixing, near_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,58 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(columns.documents(spark, sf_dir))
+    text = F.coalesce("text", F.lit(""))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.col("n_removed").cast("bigint").alias("n_removed"),
+        F.length(text).cast("bigint").alias("n_chars_kept"),
+        F.sha2(text, 256).alias("kept_sha256"),
+    )
+
+
+OP3_SQL = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM documents),
+w AS (
+  SELECT DISTINCT doc_id, line_no, word
+  FROM (SELECT doc_id, line_no, unnest(string_split_regex(lower(line), '[ 	-]+')) AS word FROM l)
+  WHERE word <> ''),
+t AS MATERIALIZED (SELECT doc_id, line_no, list(word ORDER BY word) AS words FROM w GROUP BY doc_id, line_no),
+c AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY min((doc_id, line_no))) AS class, words, len(words) AS n FROM t GROUP BY words),
+e AS (SELECT class, n, unnest(words) AS word FROM c),
+r AS (SELECT *, count(*) OVER (PARTITION BY word) AS freq FROM e),
+i AS MATERIALIZED (
+  SELECT class, n, word FROM r
+  QUALIFY row_number() OVER (PARTITION BY class ORDER BY freq, word) <= n - (4 * n + 4) // 5 + 1),
+p AS (
+  SELECT DISTINCT a.class AS late, b.class AS early
+  FROM i a JOIN i b ON a.word = b.word AND b.class < a.class
+  WHERE least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4),
+g AS (
+  SELECT DISTINCT late
+  FROM (SELECT late, len(list_intersect(a.words, b.words)) AS common, a.n + b.n AS n_both
+        FROM p JOIN c a ON a.class = late JOIN c b ON b.class = early)
+  WHERE common * 5 >= (n_both - common) * 4),
+k AS (
+  SELECT t.doc_id, t.line_no,
+         c.class IN (SELECT late FROM g)
+         OR row_number() OVER (PARTITION BY c.class ORDER BY t.doc_id, t.line_no) > 1 AS gone
+  FROM t JOIN c ON t.words = c.words),
+o AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (k.gone) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (NOT coalesce(k.gone, FALSE)), '') AS kept
+  FROM l LEFT JOIN k ON l.doc_id = k.doc_id AND l.line_no = k.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       length(coalesce(kept, '')) AS n_chars_kept, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.round_trip(
         columns.documents(spark, sf_dir),
@@ -157,6 +209,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_license_scan": op2_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
@@ -165,4 +218,4 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
