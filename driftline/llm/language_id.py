@@ -13,6 +13,7 @@ few thousand characters each, so a huge text takes no more steps than a block.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ from driftline.llm.columns import arrow_type, map_texts, pick
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, ALL_CHARS = 100, 20_000, 2_000, 1_000_000
 #: Different characters that the automata know, besides "another one", and characters in a block.
 ALPHABET, BLOCK = 127, 2_048
+#: From so many letters on, a text that needs as many bits as random letters is in no known language.
+ENOUGH_LETTERS = 200
 #: What a text without letters is.
 UNDETERMINED = "und"
 
@@ -207,3 +210,32 @@ def identify(docs: DataFrame, languages: Languages, key: str = "doc_id", text: s
         pa.schema([(key, arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())]),
         text,
     )
+
+
+def keep_known(docs: DataFrame, languages: Languages, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a known language.
+
+    Texts without letters go, and texts of ENOUGH_LETTERS or more that parse no
+    better than random letters do in any language. Shorter texts stay. Without a
+    single language to compare with, nothing can be told and only texts without
+    letters go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(languages)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        random = np.log2(max(2, len(known.alphabet)))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            mask = []
+            for at in range(0, len(texts), 2_000):
+                some = texts[at : at + 2_000]
+                for t, (name, _, bits) in zip(some, known.judge(some), strict=True):
+                    if known.names:
+                        strange = bits >= random and sum(map(str.isalpha, t)) >= ENOUGH_LETTERS
+                        mask.append(name != UNDETERMINED and not strange)
+                    else:
+                        mask.append(any(map(str.isalpha, t)))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

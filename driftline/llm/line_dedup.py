@@ -17,6 +17,8 @@ Everything is a DataFrame operation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,9 +92,9 @@ class Similarity:
         return common * self.bottom >= (n + m - common) * self.top
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = pick(docs, key, text).toDF("doc_id", "text")
-    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+def _keyed(docs: DataFrame, key: str, text: str, others: Sequence[str]) -> DataFrame:
+    rows = pick(docs, key, text, *others).toDF("doc_id", "text", *[f"other_{i}" for i in range(len(others))])
+    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -202,8 +204,10 @@ def removed_lines(rows: DataFrame, alike: Similarity) -> DataFrame:
     return placed.filter(F.col("gone") | (F.col("first") != _order())).select(*_LINE)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", alike: Similarity | None = None) -> DataFrame:
-    """``doc_id``, ``row``, ``text`` without superfluous lines, ``n_lines`` and ``n_removed``, for every row of ``docs``.
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", others: Sequence[str] = (), alike: Similarity | None = None
+) -> DataFrame:
+    """``doc_id``, ``row``, ``text`` without superfluous lines, ``n_lines``, ``n_removed`` and ``others``, for every row of ``docs``.
 
     Lines end at line feeds; their words are what white space separates, in
     lower case, each counted once. A line goes if a line before it, in the same
@@ -215,15 +219,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", alike:
     ``row`` is a hash of key and text.
     """
     alike = alike or Similarity(4, 5)
-    rows = _keyed(docs, key, text)
-    gone = removed_lines(rows, alike).distinct().groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
+    rows = _keyed(docs, key, text, others)
+    named = [F.col(f"other_{i}").alias(name) for i, name in enumerate(others)]
+    gone = removed_lines(rows.select("doc_id", "text", "row"), alike).distinct().groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
     gone = materialise(gone, "line-removed")
     table = marks(gone.select(F.col("row").alias("h")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     maybe = marked(table, F.col("row"))
-    whole = rows.filter(~maybe).select("doc_id", "row", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_removed"))
+    whole = rows.filter(~maybe).select("doc_id", "row", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_removed"), *named)
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row"))
-    cut = rows.filter(maybe).alias("x").join(gone.alias("y"), same, "left").select("x.doc_id", "x.row", "x.text", "gone")
+    cut = rows.filter(maybe).alias("x").join(gone.alias("y"), same, "left").select("x.*", "gone")
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
@@ -233,5 +238,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", alike:
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         n_lines.alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"),
+        *named,
     )
     return whole.unionByName(cut)

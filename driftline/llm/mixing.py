@@ -90,6 +90,28 @@ def thresholds(sized: DataFrame, aimed: DataFrame) -> DataFrame:
     return edge.select(*_SOURCE, F.col("bucket").alias("last_bucket"), nearer.alias("with_last"))
 
 
+def _plan(sized: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
+    """For each source and first bucket with documents: size, target, copies and the threshold of the source."""
+    # by bucket first, so that a source that is everywhere is spread, and its documents can be joined by bucket
+    spread = sized.groupBy(*_SOURCE, _bucket(0).alias("bucket")).agg(F.sum("size").alias("n"))
+    aimed = targets(spread.groupBy(*_SOURCE).agg(F.sum("n").alias("source_size")), weights, share, most)
+    aimed = materialise(aimed, "mix-targets")
+    plan = aimed.join(thresholds(sized, aimed), _SOURCE, "left")
+    joined = spread.select(*_SOURCE, "bucket").join(plan, _SOURCE)
+    return materialise(joined.select(*_SOURCE, "bucket", F.struct(*plan.columns[2:]).alias("plan")), "mix-plan")
+
+
+def _copies(hashed: Column) -> Column:
+    """How often a document is taken, from its hash and the ``plan`` of its source."""
+    last = F.shiftright(hashed, HASH_BITS - LEVEL_BITS * LEVELS)
+    extra = (last < F.col("plan.last_bucket")) | ((last == F.col("plan.last_bucket")) & F.col("plan.with_last"))
+    return F.col("plan.copies") + F.when(F.coalesce(extra, F.lit(False)), F.lit(1)).otherwise(0)
+
+
+def _named(source: Column) -> list[Column]:
+    return [F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("unnamed")]
+
+
 def mix(
     docs: DataFrame,
     weights: list[int],
@@ -110,25 +132,31 @@ def mix(
     what shares the last bucket of 30 bits at most: mostly half a document.
     """
     rows = pick(docs, key, text, source).toDF("doc_id", "text", "source")
-    sized = rows.select(
-        "doc_id",
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.col("source").isNull().alias("unnamed"),
-        word_count(F.col("text")).alias("size"),
-        document_hash(F.col("doc_id")).alias("hash"),
-    )
+    sized = rows.select("doc_id", *_named(F.col("source")), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"))
     sized = materialise(sized, "mix-sizes")
-    # by bucket first, so that a source that is everywhere is spread, and its documents can be joined by bucket
-    spread = sized.groupBy(*_SOURCE, _bucket(0).alias("bucket")).agg(F.sum("size").alias("n"))
-    aimed = targets(spread.groupBy(*_SOURCE).agg(F.sum("n").alias("source_size")), weights, share, most)
-    aimed = materialise(aimed, "mix-targets")
-    plan = aimed.join(thresholds(sized, aimed), _SOURCE, "left")
-    by_bucket = spread.select(*_SOURCE, "bucket").join(plan, _SOURCE)
-    last = _bucket(LEVELS - 1)
-    extra = (last < F.col("last_bucket")) | ((last == F.col("last_bucket")) & F.col("with_last"))
-    copies = F.col("copies") + F.when(F.coalesce(extra, F.lit(False)), F.lit(1)).otherwise(0)
-    return (
-        sized.withColumn("bucket", _bucket(0))
-        .join(by_bucket, [*_SOURCE, "bucket"])
-        .select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"))
-    )
+    joined = sized.withColumn("bucket", _bucket(0)).join(_plan(sized, weights, share, most), [*_SOURCE, "bucket"])
+    taken = (_copies(F.col("hash")) * F.col("size")).cast("bigint")
+    return joined.select("doc_id", "size", "plan.source_size", "plan.target", taken.alias("taken"))
+
+
+def take_mix(
+    docs: DataFrame,
+    weights: list[int],
+    share: float = 1.5,
+    most: float = 2.0,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it; texts without words go."""
+    sized = pick(docs, key, text, source).toDF("doc_id", "text", "source")
+    sized = sized.select(*_named(F.col("source")), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"))
+    sized = materialise(sized, "mix-sizes")
+    hashed = document_hash(F.col(key))
+    place = F.struct(*_named(F.col(source)), F.shiftright(hashed, HASH_BITS - LEVEL_BITS).alias("bucket"))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(f"[^{BLANK[1:-1]}]")
+    marked = docs.filter(worded).select(F.struct(*docs.columns).alias("doc"), hashed.alias("hash"), place.alias("place"))
+    plan = _plan(sized, weights, share, most).select(F.struct(*_SOURCE, "bucket").alias("place"), "plan")
+    joined = marked.join(plan, "place")
+    copies = joined.select("doc", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")).cast("int"))))
+    return copies.select("doc.*")

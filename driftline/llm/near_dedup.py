@@ -209,6 +209,15 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     return found.unionByName(alone)
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_dedup`` keeps; rows that repeat key and text count once."""
+    kept = near_dedup(docs, key, text, least).filter("kept").select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"))
+    kept = materialise(kept, "kept")
+    marked = docs.withColumn("_row", row_of(F.col(key), F.col(text)))
+    same = (marked["_row"] == kept["_row"]) & marked[key].eqNullSafe(kept["_key"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([key, "_row"]).drop("_row")
+
+
 def _links(rows: DataFrame, nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """All verified links, and the root of every node that has one."""
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
