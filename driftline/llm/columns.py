@@ -30,6 +30,20 @@ def arrow_type(kind: DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+#: A table of so many rows at most goes to every executor; a row of a few numbers takes about 100 bytes there.
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", size: int | None = None) -> DataFrame:
+    """A join that sends ``small`` to every executor if it has BROADCAST_ROWS rows or fewer, else by a shuffle.
+
+    ``size`` is what bounds the small side, by default its rows, which are
+    counted; so ``small`` should be a written table.
+    """
+    size = small.count() if size is None else size
+    return large.join(F.broadcast(small) if size <= BROADCAST_ROWS else small, on, how)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

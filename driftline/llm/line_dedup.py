@@ -22,14 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.columns import BLANK, pick
+from driftline.llm.columns import BLANK, join_checked, pick
 from driftline.llm.tables import byte_at, byte_table
 from driftline.session import materialise
 
-#: Entries of the word-count table and of the tables that say which lines or documents to read again.
-COUNTS, MARKS = 2**20, 2**18
-#: Bits of a mark in one entry.
-_MARK_BITS = 7
+#: Entries of the word-count table.
+COUNTS = 2**20
 #: Bits of a word's hash in the index.
 _HASH_BITS = 24
 #: Minima by which groups of copies are settled, in so many rounds.
@@ -49,25 +47,12 @@ def _place(h: Column, size: int) -> Column:
 
 def word_counts(docs: DataFrame) -> bytes:
     """For each hash of words, how often they occur, as 4 x log2 of the count plus 1."""
-    places = F.transform(_words(F.col("text")), lambda w: _place(F.xxhash64(w), COUNTS).cast("int"))
-    counted = docs.select(F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(F.split(F.lower("text"), f"{BLANK}+")).alias("word")).filter("word != ''")
+    counted = words.groupBy(_place(F.xxhash64("word"), COUNTS).alias("place")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(127), F.floor(4 * F.log2("n")) + 1)
     return byte_table(counted.select("place", level.alias("value")), COUNTS)
 
 
-def marks(keys: DataFrame, size: int = MARKS) -> bytes:
-    """A table that tells most keys (column ``h``, a hash) that are not in ``keys`` from those that are."""
-    at = _place(F.col("h"), size * _MARK_BITS)
-    bit = F.call_function("shiftleft", F.lit(1), (at % _MARK_BITS).cast("int"))
-    return byte_table(keys.groupBy(F.floor(at / _MARK_BITS).alias("place")).agg(F.bit_or(bit).alias("value")), size)
-
-
-def marked(table: bytes, h: Column) -> Column:
-    at = _place(h, len(table) * _MARK_BITS)
-    entry = byte_at(table, F.floor(at / _MARK_BITS))
-    return F.call_function("getbit", entry, (at % _MARK_BITS).cast("int")) == 1
-
-
 class Similarity:
     """A Jaccard similarity as a fraction, and what it asks of two lines of n and m words."""
 
@@ -109,17 +94,18 @@ def _lines(rows: DataFrame, counts: bytes, alike: Similarity) -> DataFrame:
         return F.call_function("shiftleft", rank, F.lit(56)) + F.shiftrightunsigned(h, 8)
 
     words = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: ranked(F.xxhash64(w)))))
-    lines = _exploded(rows).select(*_LINE, words.alias("words")).filter(F.size("words") > 0)
+    # the test on the text keeps the costly words from being made a second time for a filter on them
+    lines = _exploded(rows).filter(F.col("line").rlike(f"[^{BLANK[1:-1]}]")).select(*_LINE, words.alias("words"))
     one = F.lit(1).cast("bigint")
     parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
-    entries = F.transform("words", lambda w: F.shiftright(w, 56 - _HASH_BITS).cast("int"))
     n = F.size("words")
+    entries = F.transform(F.slice("words", F.lit(1), alike.prefix(n)), lambda w: F.shiftright(w, 56 - _HASH_BITS).cast("int"))
     return lines.select(
         *_LINE,
         F.xxhash64("words").alias("c1"),
         parity.alias("c2"),
         n.alias("n"),
-        F.slice(entries, F.lit(1), alike.prefix(n)).alias("prefix"),
+        entries.alias("prefix"),
     )
 
 
@@ -128,31 +114,40 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "line_no")
 
 
+def _low(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(2**32 - 1))
+
+
 def _index(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select(*_CLASS, "n", *more, F.posexplode("prefix").alias("at", "entry"))
+    """A row for each entry: half of the class's hash, the number of words and the entry's place share a number."""
+    return classes.select(
+        "c2", _low(F.col("c1")).alias("low"), F.col("n").alias("n"), *more, F.posexplode("prefix").alias("at", "entry")
+    ).select("entry", "c2", (F.call_function("shiftleft", "low", F.lit(32)) + F.col("n")).alias("low_n"), "at", *more)
 
 
 def _may_match(a: str, b: str, alike: Similarity) -> Column:
-    """What two index rows with the same entry must fulfil if their lines are similar."""
-    n, m, i, j = (F.col(f"{s}.{c}") for c, s in (("n", a), ("n", b), ("at", a), ("at", b)))
+    """What two index rows with the same entry must fulfil if their lines are similar but not the same."""
+    n, m = (F.col(f"{s}.low_n").bitwiseAND(F.lit(2**32 - 1)).cast("int") for s in (a, b))
     common = alike.common(n, m)
     odd = F.bit_count(F.col(f"{a}.c2").bitwiseXOR(F.col(f"{b}.c2")))
-    return alike.lengths(n, m) & (F.least(n - i, m - j) >= common) & (odd <= n + m - 2 * common)
+    other = (F.col(f"{a}.c2") != F.col(f"{b}.c2")) | (F.col(f"{a}.low_n") != F.col(f"{b}.low_n"))
+    reach = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return (F.col(f"{a}.entry") == F.col(f"{b}.entry")) & other & alike.lengths(n, m) & (reach >= common) & (odd <= n + m - 2 * common)
 
 
 def _candidates(classes: DataFrame, alike: Similarity) -> DataFrame:
-    """Classes that share an entry with another one that may be similar."""
+    """``c2`` and ``low`` of the classes that share an entry with another one that may be similar."""
     index = _index(classes)
-    other = (F.col("a.c1") != F.col("b.c1")) | (F.col("a.c2") != F.col("b.c2"))
-    found = index.alias("a").join(index.alias("b"), (F.col("a.entry") == F.col("b.entry")) & other & _may_match("a", "b", alike), "left_semi")
-    return found.select(*_CLASS).distinct()
+    found = index.alias("a").join(index.alias("b"), _may_match("a", "b", alike), "left_semi")
+    return found.select("c2", F.shiftrightunsigned("low_n", 32).alias("low")).distinct()
 
 
 def _verified(pairs: DataFrame, words: DataFrame, alike: Similarity) -> DataFrame:
     """The later class of each pair (``c1``, ``c2`` and the earlier ``e1``, ``e2``) that is similar."""
-    sides = pairs.join(words.select(*_CLASS, F.col("words").alias("late")), _CLASS)
-    early = words.select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("words").alias("early"))
-    sides = sides.join(early, ["e1", "e2"])
+    ends = pairs.select(*_CLASS).union(pairs.select("e1", "e2")).distinct()
+    words = join_checked(words, materialise(ends, "line-ends"), _CLASS, "left_semi").select(*_CLASS, "words")
+    sides = pairs.join(words.withColumnRenamed("words", "late"), _CLASS)
+    sides = sides.join(words.toDF("e1", "e2", "early"), ["e1", "e2"])
     common = F.size(F.array_intersect("early", "late"))
     return sides.filter(alike.reached(common, F.size("early"), F.size("late"))).select(*_CLASS).distinct()
 
@@ -174,33 +169,36 @@ def _settled(words: DataFrame, gone: DataFrame | None, alike: Similarity, turn:
 def removed_lines(rows: DataFrame, alike: Similarity) -> DataFrame:
     """``doc_id``, ``row``, ``line_no`` of every line that an earlier line makes superfluous."""
     lines = materialise(_lines(rows, word_counts(rows), alike), "lines")
-    first = F.min(_order()).alias("first")
     indexed = lines.filter(F.size("prefix") > 0)
-    classes = indexed.groupBy(*_CLASS).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    candidates = materialise(_candidates(classes, alike), "line-candidates")
-    firsts = materialise(lines.groupBy(*_CLASS).agg(first), "line-classes")
-    known = firsts.join(candidates, _CLASS).select(*_CLASS, "first", "first.*")
-    known = materialise(known.select(*_CLASS, "first", *_LINE), "line-origins")
-    table = marks(known.select(F.xxhash64(*_LINE).alias("h")))
-    again = _exploded(rows).filter(marked(table, F.xxhash64(*_LINE)))
+    contents = [F.first("n").alias("n"), F.first("prefix").alias("prefix")]
+    candidates = materialise(_candidates(indexed.groupBy(*_CLASS).agg(*contents), alike), "line-candidates")
+
+    # only classes of several lines and candidates are of interest from here on
+    counted = lines.groupBy(*_CLASS).agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("size"))
+    counted = join_checked(
+        counted.withColumn("low", _low(F.col("c1"))), candidates.withColumn("candidate", F.lit(True)), ["c2", "low"], "left"
+    )
+    classes = materialise(counted.filter("candidate or size > 1").select(*_CLASS, "first", "candidate"), "line-classes")
+    known = materialise(classes.filter("candidate").select(*_CLASS, "first", "first.*"), "line-origins")
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.line_no") == F.col("y.line_no"))
-    words = again.alias("x").join(known.alias("y"), same).select(*_CLASS, "first", F.array_distinct(_words(F.col("line"))).alias("words"))
+    again = join_checked(_exploded(rows).alias("x"), known.alias("y"), same)
+    words = again.select(*_CLASS, "first", F.array_distinct(_words(F.col("line"))).alias("words"))
     words = materialise(words.dropDuplicates(_CLASS), "line-words")
+
     gone = None
     for turn in range(ROUNDS):
         found = _settled(words, gone, alike, turn)
         gone = materialise(found if gone is None else gone.unionByName(found).distinct(), "line-gone")
-    index = indexed.join(words.select(*_CLASS), _CLASS, "left_semi").groupBy(*_CLASS).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), first)
+    index = join_checked(indexed, known.select(*_CLASS, "first"), _CLASS).groupBy(*_CLASS).agg(*contents, F.first("first").alias("first"))
     index = materialise(index.join(gone.withColumn("gone", F.lit(True)), _CLASS, "left"), "line-open")
-    late, early = _index(index.filter(F.col("gone").isNull()), "first"), _index(index, "first")
-    pairs = late.alias("a").join(
-        early.alias("b"), (F.col("a.entry") == F.col("b.entry")) & (F.col("b.first") < F.col("a.first")) & _may_match("a", "b", alike)
-    )
+    late, early = (_index(side, "first", "c1") for side in (index.filter(F.col("gone").isNull()), index))
+    pairs = late.alias("a").join(early.alias("b"), _may_match("a", "b", alike) & (F.col("b.first") < F.col("a.first")))
     pairs = pairs.select("a.c1", "a.c2", F.col("b.c1").alias("e1"), F.col("b.c2").alias("e2")).distinct()
     gone = materialise(gone.unionByName(_verified(materialise(pairs, "line-pairs"), words, alike)), "line-gone")
-    state = firsts.join(gone.withColumn("gone", F.lit(True)), _CLASS, "left")
+
+    state = classes.join(gone.withColumn("gone", F.lit(True)), _CLASS, "left")
     state = materialise(state.select(*_CLASS, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-state")
-    placed = lines.select(*_LINE, *_CLASS).join(state, _CLASS)
+    placed = join_checked(lines.select(*_LINE, *_CLASS), state, _CLASS)
     return placed.filter(F.col("gone") | (F.col("first") != _order())).select(*_LINE)
 
 
@@ -221,18 +219,15 @@ def dedup_lines(
     alike = alike or Similarity(4, 5)
     rows = _keyed(docs, key, text, others)
     named = [F.col(f"other_{i}").alias(name) for i, name in enumerate(others)]
-    gone = removed_lines(rows.select("doc_id", "text", "row"), alike).distinct().groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
-    gone = materialise(gone, "line-removed")
-    table = marks(gone.select(F.col("row").alias("h")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    maybe = marked(table, F.col("row"))
-    whole = rows.filter(~maybe).select("doc_id", "row", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_removed"), *named)
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row"))
-    cut = rows.filter(maybe).alias("x").join(gone.alias("y"), same, "left").select("x.*", "gone")
+    gone = materialise(removed_lines(rows.select("doc_id", "text", "row"), alike).distinct(), "line-removed")
+    listed = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row"))
+    cut = join_checked(rows.alias("x"), listed.alias("y"), same, "left", size=gone.count()).select("x.*", "gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
-    cut = cut.withColumn("lines", lines).select(
+    return cut.withColumn("lines", F.when(F.col("gone").isNotNull(), lines)).select(
         "doc_id",
         "row",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
@@ -240,4 +235,3 @@ def dedup_lines(
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"),
         *named,
     )
-    return whole.unionByName(cut)
