@@ -48,6 +48,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows whose texts a Python worker holds as objects at a time.
+TOGETHER = 1_000
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(
     df: DataFrame,
     work: Callable[[], Callable[[list[Any]], dict[str, Any]]],
@@ -59,14 +70,14 @@ def map_texts(
     """Run Python over the texts of each Arrow batch and put its columns beside the others.
 
     ``work`` is called once in each task and gives the function that turns a
-    list of texts (null: empty) into the new columns. ``schema`` and ``arrow``
+    list of TOGETHER texts at most (null: empty) into the new columns. ``schema`` and ``arrow``
     describe the whole result, ``text`` is left out of it.
     """
     empty: Any = b"" if as_bytes else ""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = work()
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text)
             column = batch.column(at)
             if as_bytes:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.columns import arrow_type, map_texts, pick
+from driftline.llm.columns import arrow_type, map_texts, pick, slices
 from driftline.session import materialise
 
 #: The band: terms in at least the one and at most the other share of all documents, ln(1/share) being their IDF.
@@ -61,7 +61,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
             found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
             return pa.record_batch({"term": pa.array(found.astype(np.uint64).view(np.int64)), "df": pa.array(n.astype(np.int64))})
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 if t:
                     held.append(terms(t))
@@ -169,7 +169,7 @@ def fingerprint(docs: DataFrame, words: np.ndarray, key: str = "doc_id", text: s
 
     def work():
         prints = Fingerprints(shared.value)
-        return lambda texts: {"fingerprint": [x for at in range(0, len(texts), 500) for x in as_hex(prints.of(texts[at : at + 500]))]}
+        return lambda texts: {"fingerprint": as_hex(prints.of(texts))}
 
     chosen = pick(docs, key, text)
     kind = chosen.schema[key].dataType
@@ -239,33 +239,31 @@ def compare_with_next(docs: DataFrame, words: np.ndarray, key: str = "doc_id", t
 
         prints = Fingerprints(shared.value)
         waiting = None  # the last document so far, with its fingerprint, until the next one is known
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for at in range(0, batch.num_rows, 500):
-                some = list(zip(*(c[at : at + 500] for c in columns), strict=True))
-                own = prints.of([r[1] for r in some])
-                left, right, texts = [], [], []
-                for row, mark in zip(some, own, strict=True):
-                    if waiting is not None and waiting[0][2] == row[2]:
-                        left.append(waiting)
-                        right.append(mark)
-                        texts.append(edited(waiting[0][1], row[1]))
-                    waiting = None if row[3] else (row, mark)  # an extra row is only somebody's neighbour
-                if not left:
-                    continue
-                marks, nexts, changed = np.array([m for _, m in left]), np.array(right), prints.of(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r, _ in left], schema.field("doc_id").type),
-                        pa.array([len(r[1]) for r, _ in left], pa.int64()),
-                        pa.array([sha256(t.encode()).hexdigest() for t in texts]),
-                        pa.array(as_hex(marks)),
-                        pa.array(as_hex(changed)),
-                        pa.array(likeness(marks, changed)),
-                        pa.array(likeness(marks, nexts)),
-                    ],
-                    schema=schema,
-                )
+        for batch in slices(batches, 500):
+            some = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            own = prints.of([r[1] for r in some])
+            left, right, texts = [], [], []
+            for row, mark in zip(some, own, strict=True):
+                if waiting is not None and waiting[0][2] == row[2]:
+                    left.append(waiting)
+                    right.append(mark)
+                    texts.append(edited(waiting[0][1], row[1]))
+                waiting = None if row[3] else (row, mark)  # an extra row is only somebody's neighbour
+            if not left:
+                continue
+            marks, nexts, changed = np.array([m for _, m in left]), np.array(right), prints.of(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r, _ in left], schema.field("doc_id").type),
+                    pa.array([len(r[1]) for r, _ in left], pa.int64()),
+                    pa.array([sha256(t.encode()).hexdigest() for t in texts]),
+                    pa.array(as_hex(marks)),
+                    pa.array(as_hex(changed)),
+                    pa.array(likeness(marks, changed)),
+                    pa.array(likeness(marks, nexts)),
+                ],
+                schema=schema,
+            )
 
     return dealt.mapInArrow(
         pairs,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.columns import arrow_type, map_texts, pick
+from driftline.llm.columns import arrow_type, map_texts, pick, slices
 
 #: Bounds of the labelled sample: documents and characters for each language, characters of one document,
 #: characters of all languages.
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, languages: Languages, key: str = "doc_id", text: s
         known = shared.value
 
         def judge(texts: list[str]) -> dict:
-            found = [j for at in range(0, len(texts), 2_000) for j in known.judge(texts[at : at + 2_000])]
+            found = known.judge(texts)
             return {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "bits": [f[2] for f in found]}
 
         return judge
@@ -225,17 +225,15 @@ def keep_known(docs: DataFrame, languages: Languages, text: str = "text") -> Dat
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         random = np.log2(max(2, len(known.alphabet)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             mask = []
-            for at in range(0, len(texts), 2_000):
-                some = texts[at : at + 2_000]
-                for t, (name, _, bits) in zip(some, known.judge(some), strict=True):
-                    if known.names:
-                        strange = bits >= random and sum(map(str.isalpha, t)) >= ENOUGH_LETTERS
-                        mask.append(name != UNDETERMINED and not strange)
-                    else:
-                        mask.append(any(map(str.isalpha, t)))
+            for t, (name, _, bits) in zip(texts, known.judge(texts), strict=True):
+                if known.names:
+                    strange = bits >= random and sum(map(str.isalpha, t)) >= ENOUGH_LETTERS
+                    mask.append(name != UNDETERMINED and not strange)
+                else:
+                    mask.append(any(map(str.isalpha, t)))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

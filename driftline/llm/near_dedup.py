@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.columns import arrow_type, map_texts, pick
+from driftline.llm.columns import arrow_type, map_texts, pick, slices
 from driftline.llm.components import components
 from driftline.session import materialise
 
@@ -117,19 +117,18 @@ def _prints(docs: DataFrame) -> DataFrame:
     def work():
         def prints(texts: list[str]) -> dict:
             nodes, buckets, bits = [], [], []
-            for at in range(0, len(texts), 1_000):
-                found = [words(t) for t in texts[at : at + 1_000]]
-                held = prob_minhash(*weighted_shingles(found), len(found))
-                bands = held.reshape(len(found), BANDS, ROWS)
-                mixed = np.zeros(bands.shape[:2], dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                for k in range(ROWS):
-                    mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
-                low = np.packbits((held & np.uint64(1)).astype(np.uint8), axis=1)
-                low = np.pad(low, ((0, 0), (0, 16 - low.shape[1]))).copy().view(np.int64)
-                for i, w in enumerate(found):
-                    nodes.append(xxhash.xxh3_128_digest(" ".join(w)) if w else None)
-                    buckets.append(mixed[i].view(np.int64).tolist() if w else [])
-                    bits.append(low[i].tolist())
+            found = [words(t) for t in texts]
+            held = prob_minhash(*weighted_shingles(found), len(found))
+            bands = held.reshape(len(found), BANDS, ROWS)
+            mixed = np.zeros(bands.shape[:2], dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+            for k in range(ROWS):
+                mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
+            low = np.packbits((held & np.uint64(1)).astype(np.uint8), axis=1)
+            low = np.pad(low, ((0, 0), (0, 16 - low.shape[1]))).copy().view(np.int64)
+            for i, w in enumerate(found):
+                nodes.append(xxhash.xxh3_128_digest(" ".join(w)) if w else None)
+                buckets.append(mixed[i].view(np.int64).tolist() if w else [])
+                bits.append(low[i].tolist())
             return {"node": nodes, "buckets": buckets, "bits1": [b[0] for b in bits], "bits2": [b[1] for b in bits]}
 
         return prints
@@ -153,8 +152,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def check(batches):
         known = lru_cache(maxsize=64)(lambda t: shingles(words(t)))
-        for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
+        for batch in slices(batches):
+            left, right = (c.to_pylist() for c in batch.columns[2:])
             alike = [similarity(known(x), known(y)) >= least for x, y in zip(left, right, strict=True)]
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(alike, pa.bool_()))
 
