@@ -10,17 +10,23 @@ from driftline.functions.regex import WHITESPACE
 from driftline.functions.terms import VECTOR, Vocabulary
 from driftline.operators import vocabulary as voc
 
+_SALTS = 64
 
 
-def projection(history: DataFrame) -> DataFrame:
-    """History rows (sha, message, author, committed_at, files, ...) as index rows."""
+def projection(
+    history: DataFrame, message_chars: int | None = None, max_files: int | None = None
+) -> DataFrame:
+    """History rows (sha, message, author, committed_at, files, ...) as index rows.
+
+    Messages and file lists are whole unless a limit is asked for.
+    """
     message = F.regexp_replace("message", f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
     return history.select(
         F.left("sha", F.lit(fv.HASH_CHARS)).alias("commit_hash"),
-        F.left(message, F.lit(fv.MESSAGE_CHARS)).alias("message"),
+        (message if message_chars is None else F.left(message, F.lit(message_chars))).alias("message"),
         F.coalesce("author", F.lit(fv.UNKNOWN_AUTHOR)).alias("author"),
         F.timestamp_seconds("committed_at").alias("ts"),
-        F.slice("files", 1, fv.MAX_FILES).alias("files"),
+        F.col("files") if max_files is None else F.slice("files", 1, max_files).alias("files"),
         F.format_string(
             "+%d/-%d",
             F.coalesce("insertions", F.lit(0)),
@@ -38,14 +44,19 @@ def index_text() -> Column:
 def newest_per_repo(commits: DataFrame, max_commits: int | None) -> DataFrame:
     """The newest ``max_commits`` of every repository; all of them for None.
 
-    The rank filter is applied per input partition before the shuffle, so a
-    repository with very many commits sends only its newest ones.
+    Only keys are ranked, a repository in ``_SALTS`` parts first, so no task gets
+    more than that many times ``max_commits`` keys of one repository.
     """
     if max_commits is None:
         return commits
-    by_time = Window.partitionBy("repo").orderBy(F.desc("ts"), "commit_hash")
-    ranked = commits.withColumn("__rn", F.row_number().over(by_time))
-    return ranked.filter(F.col("__rn") <= max_commits).drop("__rn")
+    newest = [F.desc("ts"), F.asc("commit_hash")]
+    salt = F.pmod(F.xxhash64("commit_hash"), F.lit(_SALTS))
+    keys = commits.select("repo", "ts", "commit_hash", salt.alias("__salt"))
+    for part in (["repo", "__salt"], ["repo"]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(*newest))
+        keys = keys.withColumn("__rn", place).filter(F.col("__rn") <= max_commits).drop("__rn")
+    same = [commits[c].eqNullSafe(keys[c]) for c in ("repo", "ts", "commit_hash")]
+    return commits.join(keys, same, "left_semi")
 
 
 def latest(rows: DataFrame, order: Column) -> DataFrame:
@@ -76,7 +87,7 @@ def index_full(
     history: DataFrame,
     vocabulary: Vocabulary | None = None,
     existing: DataFrame | None = None,
-    max_commits: int | None = fv.FULL_COMMITS,
+    max_commits: int | None = None,
 ) -> DataFrame:
     """Index the newest commits of every repository over an existing index.
 
@@ -98,16 +109,27 @@ def index_incremental(
     history: DataFrame,
     existing: DataFrame,
     vocabulary: Vocabulary | None = None,
-    max_commits: int | None = fv.INCREMENTAL_COMMITS,
+    max_commits: int | None = None,
 ) -> DataFrame:
-    """The commits to append: newest ones that the index lacks."""
+    """The commits to append: those that the index lacks or holds without a vector.
+
+    Without a vocabulary one is fitted on these commits, as on a first run.
+    """
     batch = newest_per_repo(projection(history), max_commits)
-    new = batch.join(existing.select("commit_hash"), "commit_hash", "left_anti")
-    return vectorise(latest(new, F.struct("repo", "ts")), vocabulary)
+    known = existing.filter(F.col("vector").isNotNull()) if "vector" in existing.columns else existing
+    new = batch.join(known.select("commit_hash"), "commit_hash", "left_anti")
+    new = latest(new, F.struct("repo", "ts"))
+    return vectorise(new, vocabulary or voc.freeze(fit(new)))
+
+
+def index_single(commit: DataFrame, existing: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
+    """One commit, if the index lacks it; its vector is NULL while no vocabulary is fitted."""
+    new = projection(commit).join(existing.select("commit_hash"), "commit_hash", "left_anti")
+    return vectorise(new, vocabulary)
 
 
 def incremental_stats(
-    history: DataFrame, existing: DataFrame, max_commits: int | None = fv.INCREMENTAL_COMMITS
+    history: DataFrame, existing: DataFrame, max_commits: int | None = None
 ) -> DataFrame:
     """Per repository, how many of the newest commits are new or skipped."""
     batch = newest_per_repo(projection(history), max_commits)
@@ -131,9 +153,9 @@ def indexed_count(index: DataFrame) -> DataFrame:
 
 
 def last_indexed(index: DataFrame) -> DataFrame:
-    """Newest commit hash per repository."""
+    """Newest commit hash per repository; of equal times the first by hash, as in recent_commits."""
     return index.groupBy("repo").agg(
-        F.max_by("commit_hash", F.struct("ts", "commit_hash")).alias("commit_hash")
+        F.min_by("commit_hash", F.struct(-F.unix_micros("ts"), "commit_hash")).alias("commit_hash")
     )
 
 

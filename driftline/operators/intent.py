@@ -96,11 +96,13 @@ def _weights(in_first: Column, in_second: Column) -> Column:
     )
 
 
-def alignment(first: Column, second: Column, size: int = fv.VOCABULARY_SIZE) -> Column:
-    """Cosine similarity of two texts under a vocabulary fitted on just these two."""
+def alignment(first: Column, second: Column, size: int | None = None) -> Column:
+    """Cosine similarity of two texts under a vocabulary fitted on just these two.
+
+    All terms count, or the ``size`` leading ones.
+    """
 
     def all_terms(a: Column, b: Column) -> Column:
-        # few terms: every one is in the vocabulary, so their order does not matter
         def of_counts(ca: Column, cb: Column) -> Column:
             count = lambda counts, term: F.coalesce(
                 F.try_element_at(counts, term), F.lit(0)
@@ -126,8 +128,7 @@ def alignment(first: Column, second: Column, size: int = fv.VOCABULARY_SIZE) ->
         return F.transform(F.slice(groups, 1, size), lambda g: g["w"])
 
     def of_words(a: Column, b: Column) -> Column:
-        few = F.size(F.array_distinct(F.concat(a, b))) <= size
-        return _cosine(F.when(few, all_terms(a, b)).otherwise(leading_terms(a, b)))
+        return _cosine(all_terms(a, b) if size is None else leading_terms(a, b))
 
     return let(tokens(first), lambda a: let(tokens(second), lambda b: of_words(a, b)))
 
@@ -169,16 +170,12 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     ).drop("__score", "__creep")
 
 
-def judge_prompts(pairs: DataFrame) -> DataFrame:
-    """Prompts for the pairs with a ticket: redacted diff, cut to the prompt's limit."""
-    safe = sanitized_text(F.col("diff"))["sanitized_text"]
-    cut = let(
-        safe,
-        lambda t: F.when(
-            F.length(t) > fv.PROMPT_CHARS,
-            F.concat(F.left(t, F.lit(fv.PROMPT_CHARS)), F.lit(fv.PROMPT_CUT)),
-        ).otherwise(t),
-    )
+def judge_prompts(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Prompts for the pairs with a ticket: the redacted diff, whole or cut after ``max_chars``."""
+    cut = sanitized_text(F.col("diff"))["sanitized_text"]
+    if max_chars is not None:
+        marked = lambda t: F.concat(F.left(t, F.lit(max_chars)), F.lit(fv.PROMPT_CUT))
+        cut = let(cut, lambda t: F.when(F.length(t) > max_chars, marked(t)).otherwise(t))
     prompt = F.format_string(
         fv.PROMPT_TEMPLATE, F.col("title"), F.col("body"), F.lit(fv.PROMPT_DIFF_STAT), cut
     )

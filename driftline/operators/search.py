@@ -37,17 +37,13 @@ def _query_weights(spark, vocabulary: Vocabulary, query: str) -> Column:
     return spark.range(1).select(F.map_from_entries(vector)).scalar()
 
 
-def matched_terms(query: str, text: Column) -> Column:
-    """Query words over two characters that occur anywhere in the text."""
+def matched_terms(query: str, text: Column, limit: int | None = None) -> Column:
+    """Query words over two characters that occur anywhere in the text; all, or the first ``limit``."""
     words = sorted({w for w in query.lower().split() if len(w) > 2})
     if not words:
         return F.array().cast("array<string>")
-    return let(
-        F.lower(text),
-        lambda t: F.slice(
-            F.filter(F.lit(words), lambda w: F.contains(t, w)), 1, fv.MATCHED_TERMS
-        ),
-    )
+    found = let(F.lower(text), lambda t: F.filter(F.lit(words), lambda w: F.contains(t, w)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def search(
@@ -58,13 +54,14 @@ def search(
     top_k: int = 5,
     min_score: float = fv.MIN_SCORE,
     candidates: int | None = None,
+    max_terms: int | None = None,
 ) -> DataFrame:
     """Cosine similarity, raised for every matched term, best ``top_k`` first."""
     rows = _candidates(index, repo, candidates).filter(F.col("vector").isNotNull())
     rows = rows.withColumns(
         {
             "weights": _query_weights(index.sparkSession, vocabulary, query),
-            "matched_terms": matched_terms(query, commit_index.index_text()),
+            "matched_terms": matched_terms(query, commit_index.index_text(), max_terms),
         }
     )
     cosine = dot(F.col("vector"), F.col("weights"))
@@ -105,6 +102,7 @@ def search_by_files(
     repo: str | None = None,
     top_k: int = 10,
     candidates: int | None = None,
+    max_terms: int | None = None,
 ) -> DataFrame:
     """Commits touching files whose names contain the patterns, most hits first."""
     wanted = F.array(*[F.lit(p.lower()) for p in file_patterns]).cast("array<string>")
@@ -118,7 +116,7 @@ def search_by_files(
     scored = rows.filter(F.size("hits") > 0).withColumns(
         {
             "score": F.least(F.lit(1.0), F.size("hits") * fv.FILE_SCORE),
-            "matched_terms": F.slice("hits", 1, fv.MATCHED_TERMS),
+            "matched_terms": F.col("hits") if max_terms is None else F.slice("hits", 1, max_terms),
         }
     )
     return _top(scored, top_k)
@@ -131,15 +129,14 @@ def search_or_index(
     query: str,
     repo: str,
     top_k: int = 5,
+    max_commits: int | None = None,
 ) -> DataFrame:
-    """Search one repository, indexing its newest commits first if it has none."""
+    """Search one repository, indexing its commits first if it has none."""
     if index is None or index.filter(F.col("repo") == repo).isEmpty():
         own = history.filter(F.col("repo") == repo)
-        batch = commit_index.newest_per_repo(
-            commit_index.projection(own), fv.FIRST_SEARCH_COMMITS
-        )
+        batch = commit_index.projection(own)
+        if max_commits is not None:
+            batch = commit_index.recent_commits(batch, repo, max_commits)
         vocabulary = vocabulary or voc.freeze(commit_index.fit(batch))
-        index = commit_index.index_full(
-            own, vocabulary, max_commits=fv.FIRST_SEARCH_COMMITS
-        )
+        index = commit_index.vectorise(commit_index.latest(batch, F.struct("repo", "ts")), vocabulary)
     return search(index, vocabulary, query, repo, top_k)

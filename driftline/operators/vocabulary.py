@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.arrays import explode_rows
-from driftline.functions.terms import Vocabulary, idf, tokens
+from driftline.functions.terms import Vocabulary, idf, term_counts, tokens
 
 SCHEMA = "idx int, term string, n bigint, df bigint, idf double"
 _PLACES = 2**31  # more places than a text can have tokens
@@ -18,6 +18,21 @@ def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return explode_rows(docs, [key], tokens(F.col(text)), "term")
 
 
+def weights(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Every text's unit vector under the vocabulary of all terms, in long form: key, term, weight.
+
+    Terms are counted inside the row, so the corpus is exploded to one row per
+    text and term; a term that is everywhere is combined before the shuffle and
+    its rows are split by the adaptive skew join.
+    """
+    counts = explode_rows(docs, [key], term_counts(tokens(F.col(text))), "t").select(key, "t.term", "t.n")
+    corpus_size = docs.agg(F.count("*")).scalar()
+    known = counts.groupBy("term").agg(F.count("*").alias("df"))
+    scaled = counts.join(known, "term").select(key, "term", (F.col("n") * idf(corpus_size, F.col("df"))).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return scaled.select(key, "term", (F.col("w") / length).alias("weight"))
+
+
 def fit(
     docs: DataFrame, rank: Column, text: str = "text", size: int = fv.VOCABULARY_SIZE
 ) -> DataFrame:

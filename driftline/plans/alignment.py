@@ -117,12 +117,10 @@ VIEWS["pair_tokens"] = (
 )
 VIEWS["pair_terms"] = (
     ["pair_tokens"],
-    f"""SELECT *, ln(3 / (df + 1)) + 1 AS idf FROM (
+    """SELECT *, ln(3 / (df + 1)) + 1 AS idf FROM (
           SELECT doc_id, term, count(*) FILTER (WHERE side = 0) AS na,
             count(*) FILTER (WHERE side = 1) AS nb, count(DISTINCT side) AS df
-          FROM pair_tokens GROUP BY doc_id, term
-          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY term IN ({TECH}) DESC,
-            count(*) DESC, min((side, pos))) <= {fv.VOCABULARY_SIZE})""",
+          FROM pair_tokens GROUP BY doc_id, term)""",
 )
 VIEWS["pair_scores"] = (
     ["pair_terms"],
@@ -171,8 +169,7 @@ _DIFF_TEXTS = {
     )
 }
 _PART = [quote(p) for p in fv.PROMPT_TEMPLATE.split("%s")]
-_CUT = f"""CASE WHEN length(safe) > {fv.PROMPT_CHARS}
-  THEN left(safe, {fv.PROMPT_CHARS}) || {quote(fv.PROMPT_CUT)} ELSE safe END"""
+_CUT = "safe"
 
 ORACLE = {
     "ticket_join": with_views(

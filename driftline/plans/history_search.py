@@ -11,6 +11,8 @@ from driftline import fixed_values as fv
 from driftline.functions.terms import Vocabulary
 from driftline.operators import commit_index, search, vocabulary
 from driftline.plans.views import VIEWS, quote, with_views
+from driftline.session import scratch_path
+from driftline.sources import index_store
 from driftline.sources.derived import labelled_ids, raw_commits
 from driftline.sources.tables import text_table
 
@@ -41,7 +43,15 @@ def idf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_postings(spark: SparkSession, sf: str) -> DataFrame:
-    words = vocabulary.freeze(_doc_vocabulary(spark, sf))
+    rows = vocabulary.weights(_docs(spark, sf), "doc_id")
+    return rows.withColumn("weight", F.round("weight", 6))
+
+
+def leading_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Under the leading terms only, as a saved vocabulary that a later run loads."""
+    path = scratch_path(spark, "vocabulary")
+    vocabulary.save(_doc_vocabulary(spark, sf), path)
+    words = vocabulary.load(spark, path)
     vectors = vocabulary.vectors(_docs(spark, sf), words)
     rows = vocabulary.postings(vectors, "doc_id", words)
     return rows.withColumn("weight", F.round("weight", 6))
@@ -107,6 +117,44 @@ def index_incremental_rows(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("commit_hash", "repo", F.size("vector").alias("terms"))
 
 
+def index_incremental_first(spark: SparkSession, sf: str) -> DataFrame:
+    """A first incremental run: nothing is fitted yet, so it fits on what it indexes."""
+    known = commit_index.projection(_indexed_history(spark, sf))
+    new = commit_index.index_incremental(raw_commits(spark, sf), known)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v["weight"] * (v["idx"] + 1))
+    return new.select("commit_hash", "repo", F.size("vector").alias("terms"), F.round(total, 5).alias("weight_sum"))
+
+
+def index_single_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every commit by itself, while no vocabulary is fitted."""
+    known = commit_index.projection(_indexed_history(spark, sf))
+    new = commit_index.index_single(raw_commits(spark, sf), known, None)
+    return new.select("commit_hash", "repo", F.col("vector").isNull().alias("unfitted"))
+
+
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, Vocabulary]:
+    """An index and its vocabulary as an earlier run has written them."""
+    path = scratch_path(spark, "index")
+    commits = commit_index.projection(raw_commits(spark, sf))
+    vocabulary.save(commit_index.fit(commits), f"{path}/vocabulary")
+    words = vocabulary.load(spark, f"{path}/vocabulary")
+    index_store.write_batch(_index(spark, sf, words), f"{path}/index", 0)
+    return index_store.read(spark, f"{path}/index"), vocabulary.load(spark, f"{path}/vocabulary")
+
+
+def search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search.search(*_stored(spark, sf), QUERY))
+
+
+def search_stored_in_repo(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search.search(*_stored(spark, sf), QUERY, repo=REPO, top_k=20))
+
+
+def search_already_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """A repository that the index holds is searched as it is."""
+    return _flat(search.search_or_index(raw_commits(spark, sf), *_stored(spark, sf), QUERY, REPO))
+
+
 def recent_commits(spark: SparkSession, sf: str) -> DataFrame:
     rows = commit_index.recent_commits(commit_index.projection(raw_commits(spark, sf)))
     return _flat(rows).select("commit_hash", "ts", "repo")
@@ -168,10 +216,16 @@ QUERIES = {
         f.__name__: f
         for f in (
             tfidf_postings,
+            leading_postings,
             commit_projection,
             index_full,
             index_incremental,
             index_incremental_rows,
+            index_incremental_first,
+            index_single_commit,
+            search_stored,
+            search_stored_in_repo,
+            search_already_indexed,
             recent_commits,
             recent_commits_of_repo,
             indexed_count,
@@ -202,7 +256,7 @@ VIEWS["raw_commits"] = (
 VIEWS["commits"] = (
     ["raw_commits"],
     """SELECT doc_id, left(sha, 12) AS commit_hash,
-         left(regexp_replace(message, '^\\s+|\\s+$', '', 'g'), 500) AS message,
+         regexp_replace(message, '^\\s+|\\s+$', '', 'g') AS message,
          coalesce(author, 'Unknown') AS author, to_timestamp(committed_at) AS ts, files,
          '+' || insertions || '/-' || deletions AS diff_summary, repo FROM raw_commits""",
 )
@@ -241,6 +295,13 @@ VIEWS["doc_tokens"] = ([], _token_view("documents", "doc_id AS key", "text").rep
     "SELECT doc_id AS key, unnest", "SELECT key, unnest"))
 VIEWS["doc_words"] = (["doc_tokens"], _vocabulary_view("doc_tokens", "documents", "key"))
 VIEWS["doc_weights"] = (["doc_tokens", "doc_words"], _weights_view("doc_tokens", "doc_words"))
+VIEWS["doc_terms"] = (
+    ["doc_tokens"],
+    """SELECT term, term AS idx, ln((docs + 1) / (df + 1)) + 1 AS idf
+       FROM (SELECT term, count(DISTINCT key) AS df FROM doc_tokens GROUP BY term),
+            (SELECT count(*) AS docs FROM documents)""",
+)
+VIEWS["all_weights"] = (["doc_tokens", "doc_terms"], _weights_view("doc_tokens", "doc_terms"))
 VIEWS["commit_texts"] = (
     ["commits"],
     """SELECT *, commit_hash AS key, message || ' ' || array_to_string(files, ' ') AS text
@@ -266,7 +327,7 @@ def _query_weights(words: str) -> str:
 VIEWS["terms_matched"] = (
     ["commit_texts"],
     f"""SELECT *, list_sort(list_filter(list_distinct(string_split_regex({_QUERY_WORDS}, '\\s+')),
-          lambda w: length(w) > 2 AND contains(lower(text), w)))[1:5] AS matched
+          lambda w: length(w) > 2 AND contains(lower(text), w))) AS matched
         FROM commit_texts""",
 )
 
@@ -289,7 +350,7 @@ def _search_sql(words: str, weights: str, where: str, k: int) -> str:
 VIEWS["newest_of_repo"] = (
     ["commits"],
     f"""SELECT * FROM commits WHERE repo = '{REPO}'
-        ORDER BY ts DESC, commit_hash LIMIT {fv.FIRST_SEARCH_COMMITS}""",
+""",
 )
 VIEWS["repo_tokens"] = (
     ["commit_tokens", "newest_of_repo"],
@@ -304,12 +365,18 @@ VIEWS["known"] = (
     """SELECT * REPLACE ('fork/' || repo AS repo) FROM commits
        WHERE doc_id IN (SELECT doc_id FROM labels)""",
 )
+VIEWS["new_commits"] = (
+    ["commits", "known"],
+    "SELECT * FROM commits WHERE commit_hash NOT IN (SELECT commit_hash FROM known)",
+)
+VIEWS["new_tokens"] = (
+    ["commit_tokens", "new_commits"],
+    "SELECT * FROM commit_tokens WHERE key IN (SELECT commit_hash FROM new_commits)",
+)
+VIEWS["new_words"] = (["new_tokens"], _vocabulary_view("new_tokens", "new_commits", "rank"))
+VIEWS["new_weights"] = (["new_tokens", "new_words"], _weights_view("new_tokens", "new_words"))
 _FLAT = """commit_hash, author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
   array_to_string(files, '|') AS files, diff_summary, repo"""
-VIEWS["newest"] = (
-    ["commits"],
-    "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, commit_hash) AS rn FROM commits",
-)
 
 ORACLE = {
     "tokens": with_views(
@@ -320,26 +387,27 @@ ORACLE = {
     ),
     "idf": with_views(["doc_words"], "SELECT term, df, round(idf, 6) AS idf FROM doc_words"),
     "tfidf_postings": with_views(
+        ["all_weights"], "SELECT key AS doc_id, term, round(weight, 6) AS weight FROM all_weights"
+    ),
+    "leading_postings": with_views(
         ["doc_weights"], "SELECT key AS doc_id, term, round(weight, 6) AS weight FROM doc_weights"
     ),
     "commit_projection": with_views(["commits"], f"SELECT message, {_FLAT} FROM commits"),
     "index_full": with_views(
-        ["weights", "known", "newest"],
+        ["weights", "known"],
         f"""SELECT {_FLAT}, CAST(coalesce(terms, 0) AS INTEGER) AS terms,
               round(coalesce(weight_sum, 0), 5) AS weight_sum
-            FROM (SELECT * EXCLUDE (rn) FROM newest WHERE rn <= {fv.FULL_COMMITS}
-                  UNION ALL
-                  SELECT * FROM known WHERE commit_hash NOT IN (
-                    SELECT commit_hash FROM newest WHERE rn <= {fv.FULL_COMMITS})) c
+            FROM (SELECT * FROM commits UNION ALL
+                  SELECT * FROM known WHERE commit_hash NOT IN (SELECT commit_hash FROM commits)) c
             LEFT JOIN (SELECT key, count(*) AS terms, sum(weight * (idx + 1)) AS weight_sum
                        FROM weights GROUP BY key) w ON w.key = c.commit_hash""",
     ),
     "index_incremental": with_views(
-        ["known", "newest"],
-        f"""SELECT repo, count(*) FILTER (WHERE NOT k) AS indexed_count,
+        ["known", "commits"],
+        """SELECT repo, count(*) FILTER (WHERE NOT k) AS indexed_count,
               count(*) FILTER (WHERE k) AS skipped_count
-            FROM (SELECT repo, commit_hash IN (SELECT commit_hash FROM known) AS k FROM newest
-                  WHERE rn <= {fv.INCREMENTAL_COMMITS}) GROUP BY repo""",
+            FROM (SELECT repo, commit_hash IN (SELECT commit_hash FROM known) AS k FROM commits)
+            GROUP BY repo""",
     ),
     "index_incremental_rows": with_views(
         ["known", "weights"],
@@ -347,6 +415,28 @@ ORACLE = {
            FROM commits c LEFT JOIN weights w ON w.key = c.commit_hash
            WHERE commit_hash NOT IN (SELECT commit_hash FROM known) GROUP BY commit_hash, repo""",
     ),
+    "index_incremental_first": with_views(
+        ["new_weights", "new_commits"],
+        """SELECT commit_hash, repo, CAST(coalesce(terms, 0) AS INTEGER) AS terms,
+             round(coalesce(weight_sum, 0), 5) AS weight_sum
+           FROM new_commits c
+           LEFT JOIN (SELECT key, count(*) AS terms, sum(weight * (idx + 1)) AS weight_sum
+                      FROM new_weights GROUP BY key) w ON w.key = c.commit_hash""",
+    ),
+    "index_single_commit": with_views(
+        ["new_commits"], "SELECT commit_hash, repo, TRUE AS unfitted FROM new_commits"
+    ),
+    "search_stored": with_views(
+        ["weights", "terms_matched"], _search_sql("words", "weights", "", 5)
+    ),
+    "search_stored_in_repo": with_views(
+        ["weights", "terms_matched"],
+        _search_sql("words", "weights", f"AND repo = '{REPO}'", 20),
+    ),
+    "search_already_indexed": with_views(
+        ["weights", "terms_matched"],
+        _search_sql("words", "weights", f"AND repo = '{REPO}'", 5),
+    ),
     "recent_commits": with_views(
         ["commits"],
         """SELECT commit_hash, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, repo FROM commits
@@ -362,7 +452,7 @@ ORACLE = {
     ),
     "last_indexed": with_views(
         ["commits"],
-        "SELECT repo, max_by(commit_hash, (ts, commit_hash)) AS commit_hash FROM commits GROUP BY repo",
+        "SELECT repo, min_by(commit_hash, (-epoch_us(ts), commit_hash)) AS commit_hash FROM commits GROUP BY repo",
     ),
     "is_indexed": with_views(
         ["known", "raw_commits"],
@@ -393,7 +483,7 @@ ORACLE = {
         ["commits"],
         f"""SELECT commit_hash, message, author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
               array_to_string(files, '|') AS files, round(score, 3) AS score,
-              array_to_string(hits[1:5], '|') AS matched_terms
+              array_to_string(hits, '|') AS matched_terms
             FROM (SELECT *, least(1.0::DOUBLE, len(hits) * 0.2::DOUBLE) AS score
                   FROM (SELECT *, list_concat({", ".join(
                       f"list_filter(files, lambda f: contains(lower(f), {quote(p.lower())}))"

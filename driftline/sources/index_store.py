@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.terms import VECTOR
-from driftline.operators.commit_index import latest
 
 COMMIT = (
     "commit_hash string, message string, author string, ts timestamp, files array<string>, "
@@ -40,5 +39,20 @@ def read_batches(spark: SparkSession, path: str, before: int | None = None) -> D
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The index: the last row written per commit."""
-    return latest(read_batches(spark, path), F.col("batch")).drop("batch")
+    """The index: the last row written per commit.
+
+    A batch holds a commit once. An index of one batch, as :func:`compact`
+    leaves it, is read as it is, so filters reach the files; over several
+    batches the last row of each commit is looked for among keys only.
+    """
+    rows = read_batches(spark, path)
+    batches = rows.filter("batch >= 0").select("batch").distinct().limit(2).collect()
+    if len(batches) < 2:
+        return rows.drop("batch")
+    last = rows.groupBy("commit_hash").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["commit_hash", "batch"], "left_semi").drop("batch")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Write the index as one batch below ``target``."""
+    write_batch(read(spark, path), target, 0)

@@ -4,6 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from driftline import fixed_values as fv
 from driftline.operators import commit_index as ci
 from driftline.operators import search
 from driftline.operators import vocabulary as voc
@@ -40,8 +41,12 @@ def test_projection(history):
     assert first.ts == dt.datetime(1970, 1, 1, 0, 16, 40)
     second = rows["b" * 12, "r1"]
     assert (second.author, second.diff_summary) == ("Unknown", "+0/-0")
-    assert len(rows["c" * 12, "r1"].files) == 20
-    assert len(rows["d" * 12, "r2"].message) == 500
+    assert len(rows["c" * 12, "r1"].files) == 30
+    assert len(rows["d" * 12, "r2"].message) == 600
+    cut = ci.projection(history, fv.MESSAGE_CHARS, fv.MAX_FILES)
+    cut = {(r.commit_hash, r.repo): r for r in cut.collect()}
+    assert len(cut["c" * 12, "r1"].files) == 20
+    assert len(cut["d" * 12, "r2"].message) == 500
 
 
 def test_last_write_wins_across_repos(built):
@@ -59,6 +64,7 @@ def test_full_index_over_an_existing_one(history, built):
 
 
 def test_newest_per_repo(history):
+    assert ci.newest_per_repo(ci.projection(history), None).count() == 5
     rows = ci.newest_per_repo(ci.projection(history), 1).collect()
     assert {(r.repo, r.commit_hash[0]) for r in rows} == {("r1", "c"), ("r2", "d")}
 
@@ -69,8 +75,14 @@ def test_incremental(history, built, spark):
     assert [r.commit_hash for r in new] == ["b" * 12] and new[0].vector
     stats = {r.repo: (r.indexed_count, r.skipped_count) for r in ci.incremental_stats(history, known).collect()}
     assert stats == {"r1": (1, 2), "r2": (0, 2)}
-    unfitted = ci.index_incremental(history, known, None).collect()
-    assert unfitted[0].vector is None
+    first = ci.index_incremental(history, known, None).collect()
+    assert len(first[0].vector) == 5  # its words, fitted on this commit alone
+    single = ci.index_single(history, known, None)
+    assert {r.vector for r in single.collect()} == {None}
+    # a row without a vector is filled in by a later run
+    again = ci.index_incremental(history, known.unionByName(single), built[1]).collect()
+    assert [r.commit_hash for r in again] == ["b" * 12] and again[0].vector
+    assert search.search(known.unionByName(ci.index_incremental(history, known, built[1])), built[1], "cache").collect()
 
 
 def test_lookups(history, built, spark):
@@ -92,7 +104,7 @@ def test_search_scores(built, query):
     idf = dict(zip(words.terms, words.idfs))
     want = {}
     for r in index.collect():
-        matched = sorted({w for w in query.lower().split() if len(w) > 2 and w in _text(r).lower()})[:5]
+        matched = sorted({w for w in query.lower().split() if len(w) > 2 and w in _text(r).lower()})
         score = brute.cosine(query, _text(r), idf)
         if matched:
             score = min(1.0, score + 0.1 * len(matched))
@@ -126,13 +138,17 @@ def test_similar(built):
 def test_by_files(history):
     rows = search.search_by_files(ci.projection(history), ["LOGIN", ".md"], repo="r1").collect()
     assert [(r.commit_hash[0], round(r.score, 3), len(r.matched_terms)) for r in rows] == [
-        ("c", 1.0, 5), ("a", 0.4, 2),
+        ("c", 1.0, 30), ("a", 0.4, 2),
     ]
+    few = search.search_by_files(ci.projection(history), [".md"], max_terms=fv.MATCHED_TERMS).collect()
+    assert [len(r.matched_terms) for r in few] == [5]
 
 
 def test_search_or_index(history, built):
     fresh = search.search_or_index(history, None, None, "login", "r1").collect()
     assert fresh[0].commit_hash == "a" * 12
+    newest = search.search_or_index(history, None, None, "login", "r1", max_commits=2).collect()
+    assert newest == []
     kept = search.search_or_index(history, *built, "login", "r2").collect()
     assert kept[0].message == "fix login bug (fork)"
 
@@ -151,7 +167,10 @@ def test_store_keeps_the_last_write(history, built, tmp_path, spark):
         index_store.write_batch(newer, path, 1)
     rows = {r.commit_hash[0]: r.author for r in index_store.read(spark, path).collect()}
     assert rows == {"a": "New", "b": "New", "c": "New", "d": "Dee"}
-    found = search.search(index_store.read(spark, path), words, "login bug").collect()
+    index_store.compact(spark, path, f"{path}-compact")
+    compact = index_store.read(spark, f"{path}-compact")
+    assert {r.commit_hash[0]: r.author for r in compact.collect()} == rows
+    found = search.search(compact, words, "login bug").collect()
     assert found[0].commit_hash == "a" * 12
 
 

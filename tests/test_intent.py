@@ -40,8 +40,10 @@ def test_alignment(spark):
     ]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a string, b string")
     rows = df.select("id", intent.alignment(F.col("a"), F.col("b")).alias("s")).collect()
-    want = [brute.cosine(a, b, brute.fit([a, b])) for a, b in pairs]
+    want = [brute.cosine(a, b, brute.fit([a, b], None)) for a, b in pairs]
     assert [r.s for r in sorted(rows)] == pytest.approx(want)
+    few = df.select("id", intent.alignment(F.col("a"), F.col("b"), fv.VOCABULARY_SIZE).alias("s")).collect()
+    assert [r.s for r in sorted(few)] == pytest.approx([brute.cosine(a, b, brute.fit([a, b])) for a, b in pairs])
     assert any(len(set(brute.tokens(a + " " + b))) > 500 for a, b in pairs)
 
 
@@ -83,8 +85,9 @@ def test_verdicts(pairs):
 
 def test_prompts(pairs, spark):
     long = "a@bb.com " + "x" * 13000
-    rows = intent.judge_prompts(pairs.withColumn("diff", F.lit(long))).collect()
-    assert {r.id for r in rows} == {10, 11, 12, 16}
+    whole = intent.judge_prompts(pairs.withColumn("diff", F.lit(long))).collect()
+    assert {r.id for r in whole} == {10, 11, 12, 16} and all("x" * 13000 in r.prompt for r in whole)
+    rows = intent.judge_prompts(pairs.withColumn("diff", F.lit(long)), fv.PROMPT_CHARS).collect()
     text = ("[REDACTED_EMAIL_1] " + "x" * 13000)[:12000] + "\n...[TRUNCATED]"
     first = next(r for r in rows if r.id == 10)
     assert first.prompt == fv.PROMPT_TEMPLATE % ("Fix login bug", "The login form breaks", fv.PROMPT_DIFF_STAT, text)

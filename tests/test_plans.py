@@ -46,10 +46,11 @@ def test_each_text_is_scanned_once(texts):
     assert "Filter (size(" not in text and text.count("Generate ") == 1
 
 
-def test_newest_per_repo_limits_before_the_shuffle(spark):
+def test_newest_per_repo_ranks_keys_in_parts(spark):
     commits = ci.projection(spark.createDataFrame(ROWS, RAW))
     text = plan(ci.newest_per_repo(commits, 2))
-    assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
+    assert text.count("WindowGroupLimit") == 4 and "__salt" in text
+    assert not any("message" in line for line in text.splitlines() if "Window" in line)
 
 
 def test_search_keeps_a_running_top_k(spark):
