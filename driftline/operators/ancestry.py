@@ -109,6 +109,8 @@ def commits_behind_main(
             )
         ).alias("s"),
     ).select("repo", "s.label", "s.commit")
+    # only repositories that are off their main branch have anything to follow
+    edges = edges.join(pairs.select("repo").distinct(), "repo", "left_semi")
     reached = (
         ancestors(edges, seeds)
         .groupBy("repo", "commit")

@@ -10,9 +10,9 @@ from driftline.sources import audit_log
 
 
 def recent(lines: DataFrame, order: list[str], limit: int = 100, line: str = "line") -> DataFrame:
-    """Entries among the last ``limit`` lines; malformed lines use up the limit."""
+    """Entries among the last ``limit`` lines, newest last; malformed lines use up the limit."""
     last = lines.orderBy(*[F.desc(c) for c in order]).limit(limit)
-    return audit_log.parse(last, line)
+    return audit_log.parse(last.orderBy(*order), line)
 
 
 def of_trace(entries: DataFrame, trace_id: str) -> DataFrame:

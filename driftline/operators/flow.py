@@ -37,13 +37,10 @@ def current_branches(repos: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def minutes_since_commit(
-    heads: DataFrame, refs: DataFrame, commits: DataFrame, as_of: str
-) -> DataFrame:
-    """Whole minutes since the commit the active branch points to; 0 without one."""
-    tips = refs.select("repo", F.col("name").alias("branch_name"), F.col("tip").alias("commit"))
+def minutes_since_commit(heads: DataFrame, commits: DataFrame, as_of: str) -> DataFrame:
+    """Whole minutes since the checked-out commit, on a branch or not; 0 without one."""
     at_head = (
-        heads.join(tips, ["repo", "branch_name"])
+        heads.select("repo", "commit")
         .join(commits.select("repo", "commit", "ts"), ["repo", "commit"])
         .select("repo", (_seconds_before(as_of, "ts") / 60).cast("int").alias("minutes"))
     )
@@ -81,7 +78,7 @@ def uncommitted_stats(changes: DataFrame) -> DataFrame:
     lines = F.when(F.col("kind") != "untracked", F.col("insertions") + F.col("deletions"))
     return changes.groupBy("repo").agg(
         F.countDistinct("path").cast("int").alias("uncommitted_files"),
-        F.coalesce(F.sum(lines), F.lit(0)).cast("int").alias("uncommitted_lines"),
+        F.coalesce(F.sum(lines), F.lit(0)).cast("bigint").alias("uncommitted_lines"),
     )
 
 
@@ -108,7 +105,7 @@ def repo_metrics(
     """One row per repository with its branch and all five metrics."""
     rows = current_branches(repos, heads)
     for part in (
-        minutes_since_commit(heads, refs, commits, as_of),
+        minutes_since_commit(heads, commits, as_of),
         uncommitted_stats(without_ignored(changes, ignore_files)),
         branch_age_days(heads, commits, as_of),
         commits_behind_main(heads, refs, edges, commits),

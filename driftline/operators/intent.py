@@ -182,12 +182,21 @@ def judge_prompts(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
     return pairs.filter("found").withColumn("prompt", prompt)
 
 
-def _truthy(reply: Column, field: str, default: bool) -> Column:
-    """A reply field as Python would read it as a condition; a missing one is the default."""
-    value = F.get_json_object(reply, f"$.{field}")
-    given = F.array_contains(F.json_object_keys(reply), field)
-    falsy = F.coalesce(value, F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
-    return F.when(given, ~falsy).otherwise(F.lit(default))
+def _truthy(value: Column, default: bool) -> Column:
+    """A reply field (a variant) as Python would read it as a condition; a missing one is the default.
+
+    A text is true unless it is empty, whatever it says.
+    """
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    empty = text.isin("", "[]", "{}")
+    return (
+        F.when(value.isNull(), F.lit(default))
+        .when(F.is_variant_null(value), F.lit(False))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind.rlike("^(STRING|ARRAY|OBJECT)"), ~empty)
+        .otherwise(F.try_variant_get(value, "$", "double") != 0)
+    )
 
 
 def judge_verdicts(replies: DataFrame, reply: str = "raw_reply") -> DataFrame:
@@ -198,15 +207,20 @@ def judge_verdicts(replies: DataFrame, reply: str = "raw_reply") -> DataFrame:
         cleaned = F.regexp_replace(cleaned, fence, "")
     rows = replies.withColumn("__json", strip(cleaned))
     text = F.col("__json")
-    parsed = F.coalesce(
-        F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False)
+    fields = F.from_json(
+        text,
+        "aligned variant, scope_creep variant, reason variant, _broken string",
+        {"columnNameOfCorruptRecord": "_broken"},
     )
-    rows = rows.withColumn("parsed", parsed)
+    rows = rows.withColumn("__fields", fields)
+    found = F.col("__fields")
+    parsed = F.startswith(text, F.lit("{")) & found.isNotNull() & found["_broken"].isNull()
+    rows = rows.withColumn("parsed", F.coalesce(parsed, F.lit(False)))
     only = lambda c: F.when(F.col("parsed"), c)
-    aligned = _truthy(text, "aligned", True)
-    creep = F.when(_truthy(text, "scope_creep", False), F.array(F.lit(fv.JUDGE_SCOPE_CREEP)))
+    aligned = _truthy(found["aligned"], True)
+    creep = F.when(_truthy(found["scope_creep"], False), F.array(F.lit(fv.JUDGE_SCOPE_CREEP)))
     reason = F.when(
-        F.array_contains(F.json_object_keys(text), "reason"), F.get_json_object(text, "$.reason")
+        found["reason"].isNotNull(), F.try_variant_get(found["reason"], "$", "string")
     ).otherwise(F.lit(fv.JUDGE_NO_REASON))
     return rows.withColumns(
         {
@@ -215,7 +229,7 @@ def judge_verdicts(replies: DataFrame, reply: str = "raw_reply") -> DataFrame:
             "judge_warnings": only(F.coalesce(creep, F.array().cast(_STRINGS))),
             "judge_reason": only(reason),
         }
-    ).drop("__json")
+    ).drop("__json", "__fields")
 
 
 def with_fallback(verdicts_: DataFrame, judged: DataFrame, key: str) -> DataFrame:

@@ -64,7 +64,7 @@ def audit_write(spark: SparkSession, sf: str) -> DataFrame:
         F.round(get("$.risk_score").cast("double"), 6).alias("risk_score"),
         get("$.repo_path").alias("repo_path"),
         get("$.session_id").alias("session_id"),
-        get("$.duration_ms").cast("int").alias("duration_ms"),
+        get("$.duration_ms").cast("bigint").alias("duration_ms"),
         get("$.metadata.k").alias("metadata_k"),
         F.array_contains(keys, "repo_path").alias("has_repo_path"),
         F.array_contains(keys, "session_id").alias("has_session_id"),
@@ -196,7 +196,7 @@ VIEWS["activity"] = (
          event_type = 'view' AND value > 400 AS pii_detected, FALSE AS injection_detected,
          CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS status,
          CASE WHEN event_type <> 'click' THEN 'repo' || (user_id % 10) END AS repo_path,
-         CASE WHEN event_type <> 'view' THEN CAST(trunc(value) AS INTEGER) END AS duration_ms,
+         CASE WHEN event_type <> 'view' THEN CAST(trunc(value) AS BIGINT) * 100000000 END AS duration_ms,
          json_extract_string(props, '$.k') AS metadata FROM events""",
 )
 

@@ -151,12 +151,12 @@ VIEWS["verdicts"] = (
 VIEWS["judged"] = (
     [],
     f"""SELECT doc_id, doc_id % 12 <> 0 AS parsed,
-          CASE WHEN doc_id % 12 <> 0 THEN doc_id % 8 <> 0 END AS judge_aligned,
-          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN 0.4::DOUBLE
-            ELSE 1::DOUBLE END AS judge_score,
-          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 8 = 0
+          CASE WHEN doc_id % 12 <> 0 THEN doc_id % 20 = 0 OR doc_id % 8 <> 0 END AS judge_aligned,
+          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 20 <> 0 AND doc_id % 8 = 0
+            THEN 0.4::DOUBLE ELSE 1::DOUBLE END AS judge_score,
+          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 20 <> 0 AND doc_id % 8 = 0
             THEN {quote(fv.JUDGE_SCOPE_CREEP)} ELSE '' END AS judge_warnings,
-          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN 'off topic'
+          CASE WHEN doc_id % 12 = 0 OR doc_id % 20 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN 'off topic'
             ELSE 'matches' END AS judge_reason
         FROM documents WHERE doc_id % 4 = 0""",
 )

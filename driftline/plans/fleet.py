@@ -20,8 +20,8 @@ def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def minutes_since_commit(spark: SparkSession, sf: str) -> DataFrame:
-    commits, _, refs, heads = _history(spark, sf)
-    return flow.minutes_since_commit(heads, refs, commits, src.AS_OF)
+    commits, _, _, heads = _history(spark, sf)
+    return flow.minutes_since_commit(heads, commits, src.AS_OF)
 
 
 def branch_age_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,21 +169,26 @@ VIEWS["tips"] = (
     ["history"],
     "SELECT repo, branch, max_by(commit, rn) AS tip FROM history GROUP BY repo, branch",
 )
-VIEWS["active"] = (["tips"], "SELECT repo, min(branch) AS branch FROM tips GROUP BY repo")
+VIEWS["active"] = (
+    ["tips"],
+    """SELECT repo, CASE WHEN repo % 17 <> 3 THEN branch END AS branch, tip FROM tips
+       QUALIFY row_number() OVER (PARTITION BY repo ORDER BY branch) = 1""",
+)
 _AS_OF = f"TIMESTAMP '{src.AS_OF}'"
 VIEWS["minutes"] = (
     ["active", "history"],
     f"""SELECT a.repo, CAST(trunc(epoch({_AS_OF} - h.ts) / 60) AS INTEGER)
           AS minutes_since_last_commit
-        FROM active a JOIN tips t USING (repo, branch)
-        JOIN history h ON h.repo = a.repo AND h.commit = t.tip""",
+        FROM active a JOIN history h ON h.repo = a.repo AND h.commit = a.tip""",
 )
 
 
 def _age(pick: str) -> str:
-    return f"""SELECT repo, CAST(greatest(0, floor(epoch({_AS_OF} - {pick}(ts)) / 86400)) AS INTEGER)
+    return f"""SELECT a.repo,
+                 CAST(coalesce(greatest(0, floor(epoch({_AS_OF} - {pick}(h.ts)) / 86400)), 0) AS INTEGER)
                  AS branch_age_days
-               FROM active JOIN history USING (repo, branch) GROUP BY repo"""
+               FROM active a LEFT JOIN history h ON h.repo = a.repo AND h.branch = a.branch
+               GROUP BY a.repo"""
 
 
 VIEWS["age"] = (["active", "history"], _age("min"))
@@ -208,7 +213,7 @@ VIEWS["changes"] = (
     """SELECT o_custkey AS repo, 'p' || l_partkey || '.py' AS path,
          ['staged', 'unstaged', 'untracked'][l_linenumber % 3 + 1] AS kind,
          CAST(l_quantity AS INTEGER) AS insertions, l_linenumber AS deletions
-       FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O'""",
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 VIEWS["ignores"] = (
     [],
@@ -223,7 +228,7 @@ VIEWS["kept_changes"] = (
          SELECT 1 FROM ignores i WHERE i.repo = c.repo AND c.path GLOB i.glob)""",
 )
 _STATS = """SELECT repo, CAST(count(DISTINCT path) AS INTEGER) AS uncommitted_files,
-  CAST(coalesce(sum(CASE WHEN kind <> 'untracked' THEN insertions + deletions END), 0) AS INTEGER)
+  CAST(coalesce(sum(CASE WHEN kind <> 'untracked' THEN insertions + deletions END), 0) AS BIGINT)
     AS uncommitted_lines"""
 VIEWS["metrics"] = (
     ["active", "minutes", "age", "behind", "kept_changes"],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ENTRY = (
     "timestamp string, trace_id string, action string, agent_id string, session_id string, "
     "risk_score double, pii_detected boolean, injection_detected boolean, status string, "
-    "repo_path string, duration_ms int, metadata map<string,string>"
+    "repo_path string, duration_ms bigint, metadata map<string,string>"
 )
 REQUIRED = [
     "timestamp",
@@ -59,8 +59,12 @@ def write(entries: DataFrame, path: str) -> None:
 
 
 def parse(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Entries of JSON lines; malformed and empty lines are skipped, defaults filled in."""
-    good = lines.filter(F.try_parse_json(line).isNotNull() & F.startswith(F.ltrim(line), F.lit("{")))
+    """Entries of JSON lines; malformed and empty lines are skipped, defaults filled in.
+
+    Of a repeated key the last value counts.
+    """
+    broken = F.from_json(line, "_broken string", {"columnNameOfCorruptRecord": "_broken"})["_broken"]
+    good = lines.filter(F.startswith(F.ltrim(line), F.lit("{")) & broken.isNull())
     rest = [c for c in lines.columns if c != line]
     rows = good.withColumn("e", F.from_json(line, ENTRY))
     empty = F.create_map().cast("map<string,string>")

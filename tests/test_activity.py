@@ -13,7 +13,7 @@ from driftline.sources import audit_log
 ENTRY = (
     "ts timestamp, trace_id string, action string, agent_id string, session_id string, "
     "risk_score double, pii_detected boolean, injection_detected boolean, status string, "
-    "repo_path string, duration_ms int, metadata map<string,string>"
+    "repo_path string, duration_ms bigint, metadata map<string,string>"
 )
 NOON = dt.datetime(2024, 1, 1, 12, 0, 0)
 ROWS = [

@@ -70,11 +70,15 @@ def test_times(spark):
         [("r", 1, "work", ts(2024, 1, 1)), ("r", 2, "work", ts(2024, 1, 9, 23, 59, 30)), ("r", 3, "main", ts(2024, 1, 5))],
         "repo string, commit int, branch string, ts timestamp",
     )
-    heads = spark.createDataFrame([("r", "work"), ("empty", "main")], "repo string, branch_name string")
-    refs = spark.createDataFrame([("r", "work", 2), ("r", "main", 3)], "repo string, name string, tip int")
+    heads = spark.createDataFrame(
+        [("r", "work", 2), ("empty", "main", None)], "repo string, branch_name string, commit int"
+    )
+    loose = spark.createDataFrame([("r", None, 3)], "repo string, branch_name string, commit int")
     as_of = "2024-01-10 00:01:29"
-    minutes = flow.minutes_since_commit(heads, refs, commits, as_of).collect()
+    minutes = flow.minutes_since_commit(heads, commits, as_of).collect()
     assert dict(map(tuple, minutes)) == {"r": 1, "empty": 0}
+    # a checked-out commit counts without a branch
+    assert flow.minutes_since_commit(loose, commits, as_of).first()[1] == 5 * 24 * 60 + 1
     for mode, days in (("first", 9), ("head", 0)):
         got = flow.branch_age_days(heads, commits, as_of, mode).collect()
         assert dict(map(tuple, got)) == {"r": days, "empty": 0}
