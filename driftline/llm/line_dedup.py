@@ -7,7 +7,7 @@
    lines that share an entry are candidates if their lengths, the entry's
    places and the parities of their words allow enough common words.
 4. First it is only asked which classes have a candidate at all. Their words are
-   read again; groups of copies are settled by comparing each class with the
+   read again, as 64-bit hashes; groups of copies are settled by comparing each class with the
    first one that shares a minimum of a hash of its words; what is left is
    joined on the index and every pair verified by its words.
 5. A line goes if an earlier line has the same words or enough of them.
@@ -30,8 +30,8 @@ from driftline.session import materialise
 COUNTS = 2**20
 #: Bits of a word's hash in the index.
 _HASH_BITS = 24
-#: Minima by which groups of copies are settled, in so many rounds.
-MINIMA, ROUNDS = 4, 2
+#: Rounds in which groups of copies are settled, each by the minimum of another hash.
+ROUNDS = 3
 
 _CLASS = ["c1", "c2"]
 _LINE = ["doc_id", "row", "line_no"]
@@ -96,8 +96,9 @@ def _lines(rows: DataFrame, counts: bytes, alike: Similarity) -> DataFrame:
     words = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: ranked(F.xxhash64(w)))))
     # the test on the text keeps the costly words from being made a second time for a filter on them
     lines = _exploded(rows).filter(F.col("line").rlike(f"[^{BLANK[1:-1]}]")).select(*_LINE, words.alias("words"))
-    one = F.lit(1).cast("bigint")
-    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+    # each word turns one of 64 bits over, so two lines differ in no more bits than words
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(bit(w)))
     n = F.size("words")
     entries = F.transform(F.slice("words", F.lit(1), alike.prefix(n)), lambda w: F.shiftright(w, 56 - _HASH_BITS).cast("int"))
     return lines.select(
@@ -130,7 +131,7 @@ def _may_match(a: str, b: str, alike: Similarity) -> Column:
     n, m = (F.col(f"{s}.low_n").bitwiseAND(F.lit(2**32 - 1)).cast("int") for s in (a, b))
     common = alike.common(n, m)
     odd = F.bit_count(F.col(f"{a}.c2").bitwiseXOR(F.col(f"{b}.c2")))
-    other = (F.col(f"{a}.c2") != F.col(f"{b}.c2")) | (F.col(f"{a}.low_n") != F.col(f"{b}.low_n"))
+    other = (odd != 0) | (F.col(f"{a}.low_n") != F.col(f"{b}.low_n"))
     reach = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
     return (F.col(f"{a}.entry") == F.col(f"{b}.entry")) & other & alike.lengths(n, m) & (reach >= common) & (odd <= n + m - 2 * common)
 
@@ -154,15 +155,14 @@ def _verified(pairs: DataFrame, words: DataFrame, alike: Similarity) -> DataFram
 
 def _settled(words: DataFrame, gone: DataFrame | None, alike: Similarity, turn: int) -> DataFrame:
     """Classes, besides those that are gone, similar to the first class with which they share a minimum of a hash of their words."""
-    minima = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(turn * MINIMA + k)))) for k in range(MINIMA)]
-    spread = words.select(*_CLASS, "first", F.posexplode(F.array(*minima)).alias("k", "low"))
-    spread = materialise(spread, "line-minima")
-    least = spread.groupBy("k", "low").agg(F.min(F.struct("first", "c1", "c2")).alias("one"), F.count(F.lit(1)).alias("size"))
-    least = least.filter("size > 1").select("k", "low", F.col("one.c1").alias("e1"), F.col("one.c2").alias("e2"))
+    low = F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(turn))))
+    lows = materialise(words.select(*_CLASS, "first", low.alias("low")), "line-minima")
+    least = lows.groupBy("low").agg(F.min(F.struct("first", "c1", "c2")).alias("one"), F.count(F.lit(1)).alias("size"))
+    least = least.filter("size > 1").select("low", F.col("one.c1").alias("e1"), F.col("one.c2").alias("e2"))
     least = materialise(least, "line-firsts")
     other = (F.col("c1") != F.col("e1")) | (F.col("c2") != F.col("e2"))
-    pairs = spread.join(least, ["k", "low"]).filter(other).select(*_CLASS, "e1", "e2").distinct()
-    pairs = pairs if gone is None else pairs.join(gone, _CLASS, "left_anti")
+    late = lows if gone is None else lows.join(gone, _CLASS, "left_anti")
+    pairs = late.join(least, "low").filter(other).select(*_CLASS, "e1", "e2")
     return _verified(materialise(pairs, "line-pairs"), words, alike)
 
 
@@ -182,7 +182,8 @@ def removed_lines(rows: DataFrame, alike: Similarity) -> DataFrame:
     known = materialise(classes.filter("candidate").select(*_CLASS, "first", "first.*"), "line-origins")
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.line_no") == F.col("y.line_no"))
     again = join_checked(_exploded(rows).alias("x"), known.alias("y"), same)
-    words = again.select(*_CLASS, "first", F.array_distinct(_words(F.col("line"))).alias("words"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    words = again.select(*_CLASS, "first", hashes.alias("words"))
     words = materialise(words.dropDuplicates(_CLASS), "line-words")
 
     gone = None
