@@ -97,6 +97,13 @@ def audit_trace(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(audit.of_trace(entries, TRACE)).select("event_id", "ts", "action", "risk_score")
 
 
+def audit_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries of every trace with an error."""
+    entries = agent_events(spark, sf).withColumn("session_id", F.lit(None).cast("string"))
+    found = audit.of_traces(entries, entries.filter(F.col("status") == "error"))
+    return _plain(found).select("event_id", "ts", "action", "risk_score")
+
+
 def security_incidents(spark: SparkSession, sf: str) -> DataFrame:
     found = audit.security_incidents(agent_events(spark, sf), ["ts", "event_id"])
     return _plain(found).select("event_id", "ts", "risk_score", "pii_detected")
@@ -164,6 +171,7 @@ QUERIES = {
         audit_read,
         audit_recent,
         audit_trace,
+        audit_traces,
         security_incidents,
         tool_call_audit,
         span_attributes,
@@ -281,6 +289,11 @@ ORACLE = {
         f"""SELECT event_id, {_iso('ts')} AS ts, action, risk_score FROM activity
             WHERE trace_id = '{TRACE}'""",
     ),
+    "audit_traces": with_views(
+        ["activity"],
+        f"""SELECT event_id, {_iso('ts')} AS ts, action, risk_score FROM activity
+            WHERE trace_id IN (SELECT trace_id FROM activity WHERE status = 'error')""",
+    ),
     "security_incidents": with_views(
         ["activity"],
         f"""SELECT event_id, {_iso('ts')} AS ts, risk_score, pii_detected FROM (

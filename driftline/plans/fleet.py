@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
-from driftline.operators import ancestry, flow, injection, settings
+from driftline.operators import ancestry, audit, flow, injection, settings
 from driftline.plans.guardian import ORACLE as _  # noqa: F401  registers the scan views
 from driftline.plans.views import VIEWS, quote, with_views
 from driftline.session import materialise
@@ -96,6 +96,13 @@ def flow_status(spark: SparkSession, sf: str) -> DataFrame:
     return flow.flow_state(_metrics(spark, sf), limits).select("repo", "status")
 
 
+def flow_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Flow states as span attributes, one row each."""
+    limits = settings.thresholds(effective_config(spark, sf))
+    spans = audit.flow_attributes(flow.flow_state(_metrics(spark, sf), limits))
+    return spans.select("repo", F.explode("attributes").alias("attribute", "value"))
+
+
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     limits = settings.thresholds(effective_config(spark, sf))
     states = flow.flow_state(_metrics(spark, sf), limits)
@@ -135,6 +142,7 @@ QUERIES = {
         ignore_filter,
         repo_metrics,
         flow_status,
+        flow_attributes,
         recommendations,
         flow_state,
         effective_config,
@@ -302,6 +310,14 @@ ORACLE = {
     "ignore_filter": with_views(["kept_changes"], "SELECT * FROM kept_changes"),
     "repo_metrics": with_views(["metrics"], f"SELECT {_METRIC_COLUMNS} FROM metrics", recursive=True),
     "flow_status": with_views(["states"], "SELECT repo, status FROM states", recursive=True),
+    "flow_attributes": with_views(
+        ["states"],
+        """SELECT repo, 'flow.' || name AS attribute, value
+           FROM (UNPIVOT (SELECT repo, status, CAST(minutes_since_last_commit AS VARCHAR) AS minutes_since_commit,
+                            CAST(uncommitted_lines AS VARCHAR) AS uncommitted_lines FROM states)
+                 ON status, minutes_since_commit, uncommitted_lines INTO NAME name VALUE value)""",
+        recursive=True,
+    ),
     "recommendations": with_views(
         ["states"], "SELECT repo, recommendations FROM states", recursive=True
     ),
