@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.arrays import explode_rows, let
+from driftline.functions.redaction import high_entropy_words, numbered, replace_spans, without_overlaps
 from driftline.functions.regex import jvm
 from driftline.functions.spans import Pattern, any_found, spans
-from driftline.operators.sensitive import sanitized_text
+from driftline.operators.sensitive import PATTERNS as SENSITIVE
 
 
 # What a match of each pattern needs: one of some words, or a cheaper regex.
@@ -179,16 +180,28 @@ def with_security_flags(diffs: DataFrame, text: str = "text", into: str = "secur
     flag, so a text whose only secret is a high-entropy word gets none.
     """
 
-    def from_result(result: Column) -> Column:
-        # items beyond the entropy words are pattern hits
-        gate = F.size(result["items"]) > F.size(result["entropy_words"])
+    t = F.col(text)
+    return diffs.withColumn(into, F.concat(let(t, sensitive_flags), flags(t)))
+
+
+def sensitive_flags(text: Column) -> Column:
+    """The secrets and personal-data flags of a text.
+
+    Entropy is only looked at where a pattern hit but none of a secret, and the
+    redacted text is only made for that.
+    """
+    is_secret = lambda s: s["type"].isin(fv.SECRET_TYPES)
+
+    def of(kept: Column) -> Column:
+        by_entropy = F.size(high_entropy_words(replace_spans(text, numbered(kept)))) > 0
+        secret = (
+            F.when(F.size(kept) == 0, F.lit(False))
+            .when(F.exists(kept, is_secret), F.lit(True))
+            .otherwise(by_entropy)
+        )
+        personal = F.exists(kept, lambda s: ~is_secret(s))
         return F.array_compact(
-            F.array(
-                F.when(gate & result["secrets_detected"], F.lit(fv.SECRETS_FLAG)),
-                F.when(gate & result["pii_detected"], F.lit(fv.PII_FLAG)),
-            )
+            F.array(F.when(secret, F.lit(fv.SECRETS_FLAG)), F.when(personal, F.lit(fv.PII_FLAG)))
         )
 
-    t = F.col(text)
-    first = let(sanitized_text(t), from_result)
-    return diffs.withColumn(into, F.concat(first, flags(t)))
+    return let(without_overlaps(spans(text, SENSITIVE)), of)
