@@ -85,7 +85,7 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
     counted = document_frequencies(docs, text).filter(F.col("df").between(rarest * n, max(upper, 1)))
     counted = materialise(counted, "document-frequencies")
     size, least = counted.count(), 0.0
-    while size > most:  # each round leaves at most half of the frequencies below the mean of what is left
+    while size > most:  # on to the frequency that about half as many terms as allowed exceed
         left = counted.filter(F.col("df") > least)
         least = max(least + 1, float(left.agg(F.percentile_approx("df", 1 - most / size / 2, 10_000)).first()[0]))
         size = counted.filter(F.col("df") > least).count()
