@@ -31,7 +31,7 @@ COUNTS = 2**20
 #: Bits of a word's hash in the index.
 _HASH_BITS = 24
 #: Rounds in which groups of copies are settled, each by the minimum of another hash.
-ROUNDS = 3
+ROUNDS = 6
 
 _CLASS = ["c1", "c2"]
 _LINE = ["doc_id", "row", "line_no"]
