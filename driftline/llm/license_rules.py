@@ -39,23 +39,23 @@ LICENSES = [
     ("expat", r"expat", "expat", "expat", ""),
     ("apache-2", r"apache(?: software)?(?: license| licence)?(?: version)? 2(?: 0)?", "apache 2", "apache 2 0", ""),
     ("apache-1.1", r"apache(?: software)?(?: license| licence)?(?: version)? 1 1", "apache 1", "apache 1 1", ""),
-    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?2(?: 0)?", "gpl|general", "gpl 2 0", "bare"),
-    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?3(?: 0)?", "gpl|general", "gpl 3 0", "bare"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?2 1", "lgpl|lesser", "lgpl 2 1", "bare"),
-    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?3(?: 0)?", "lgpl|lesser", "lgpl 3 0", "bare"),
-    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?v?3(?: 0)?", "agpl|affero", "agpl 3 0", "bare"),
+    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?2(?: 0)?", "gpl|gpl2|gplv2|general", "gpl 2 0", "bare"),
+    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?3(?: 0)?", "gpl|gpl3|gplv3|general", "gpl 3 0", "bare"),
+    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?2 1", "lgpl|lgpl2|lgplv2|lesser", "lgpl 2 1", "bare"),
+    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?3(?: 0)?", "lgpl|lgpl3|lgplv3|lesser", "lgpl 3 0", "bare"),
+    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?v?3(?: 0)?", "agpl|agpl3|agplv3|affero", "agpl 3 0", "bare"),
     ("gfdl-1.3", r"(?:gnu )?free documentation license(?: version)? 1 3", "free documentation", "gfdl 1 3", "bare"),
     ("bsd-2-clause", r"(?:simplified |freebsd |2 clause |two clause )bsd|bsd (?:2|two) clause", "bsd", "bsd 2 clause", ""),
     ("bsd-3-clause", r"(?:new |modified |revised |3 clause |three clause )bsd|bsd (?:3|three) clause", "bsd", "bsd 3 clause", ""),
     ("bsd-4-clause", r"(?:original |4 clause |four clause )bsd|bsd (?:4|four) clause", "bsd", "bsd 4 clause", ""),
     ("0bsd", r"(?:zero clause |0 clause )bsd|0bsd", "0bsd|bsd", "0bsd", ""),
     ("isc", r"isc", "isc", "isc", ""),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?v?1 1", "mpl|mozilla", "mpl 1 1", "bare"),
-    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?v?2(?: 0)?", "mpl|mozilla", "mpl 2 0", "bare"),
-    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?v?1(?: 0)?", "epl|eclipse", "epl 1 0", "bare"),
-    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?v?2(?: 0)?", "epl|eclipse", "epl 2 0", "bare"),
-    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?v?1 2", "eupl|european", "eupl 1 2", "bare"),
-    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)? ?v?1(?: 0)?", "cddl|distribution", "cddl 1 0", "bare"),
+    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?v?1 1", "mpl|mpl1|mplv1|mozilla", "mpl 1 1", "bare"),
+    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?v?2(?: 0)?", "mpl|mpl2|mplv2|mozilla", "mpl 2 0", "bare"),
+    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?v?1(?: 0)?", "epl|epl1|eplv1|eclipse", "epl 1 0", "bare"),
+    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?v?2(?: 0)?", "epl|epl2|eplv2|eclipse", "epl 2 0", "bare"),
+    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?v?1 2", "eupl|eupl1|euplv1|european", "eupl 1 2", "bare"),
+    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)? ?v?1(?: 0)?", "cddl|cddl1|cddlv1|distribution", "cddl 1 0", "bare"),
     ("cpl-1.0", r"common public license(?: version)? 1(?: 0)?", "common public", "cpl 1 0", "bare"),
     ("artistic-2.0", r"artistic license(?: version)? 2(?: 0)?", "artistic", "artistic 2 0", "bare"),
     ("bsl-1.0", r"boost software license(?: version)? 1(?: 0)?", "boost software", "bsl 1 0", "bare"),
@@ -84,9 +84,9 @@ STATEMENTS = [
     (5, 1.0, "spdx identifier", r"spdx licen[sc]e identifier {tag}"),
     (4, 0.95, "under", r"(?:(?:this|the) \w+ (?:is|are) )?(?:made )?(?:licen[sc]ed|relicensed|released|distributed|redistributed|published|provided|available|offered|covered|shared|used|usable) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})(?: (?:software )?(?:public )?licen[sc]e)?(?: version \d+(?: \d+)?)?"),
     (4, 0.9, "subject", r"subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})(?: licen[sc]e)?"),
-    (3, 0.8, "license", r"(?:the )?(?:{name}) (?:style |type )?licen[sc]e(?: agreement)?"),
+    (3, 0.8, "license|licence", r"(?:the )?(?:{name}) (?:style |type )?licen[sc]e(?: agreement)?"),
     (3, 0.8, "licence", r"(?:the )?(?:{name}) (?:style |type )?licence(?: agreement)?"),
-    (3, 0.85, "license", r"licen[sc]e (?:is )?(?:the )?(?:{name})"),
+    (3, 0.85, "license|licence", r"licen[sc]e (?:is )?(?:the )?(?:{name})"),
     (2, 0.6, "", r"(?:{name})"),
 ]
 
@@ -94,7 +94,7 @@ STATEMENTS = [
 SINGLE = [
     (4, 0.9, "mit", "permission granted charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     (4, 0.9, "isc", "permission fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    (4, 0.9, "bsd-3-clause", "redistributions endorse", r"neither the name of .{1,120}? may be used to endorse or promote products"),
+    (4, 0.9, "bsd-3-clause", "neither endorse", r"neither the name of .{1,120}? may be used to endorse or promote products"),
     (3, 0.8, "bsd-2-clause", "redistribution permitted", r"redistribution and use in source and binary forms with or without modification are permitted"),
     (3, 0.8, "public-domain", "public domain", r"(?:dedicated|released|placed|put) (?:in|into|to) the public domain"),
     (2, 0.6, "public-domain", "public domain", r"(?:is|are) in the public domain"),

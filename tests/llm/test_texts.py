@@ -2,7 +2,9 @@
 
 import random
 import re
+from dataclasses import replace
 from hashlib import sha256
+from re import _parser
 
 import public_tokenizers
 import pytest
@@ -127,6 +129,52 @@ def test_a_place_goes_only_inside_one_of_its_priority_or_higher():
     assert [(p[:3]) for p in scanner.scan(b"a b c d e")[2]] == [(0, 3, "1"), (1, 2, "0")]
 
 
+def spoken(draw: random.Random, parsed) -> str:
+    """A random text that an expression matches."""
+    out = ""
+    for kind, value in parsed:
+        match str(kind):
+            case "LITERAL":
+                out += chr(value)
+            case "IN":
+                one, of = draw.choice(value)
+                out += draw.choice("12") if str(one) == "CATEGORY" else chr(draw.randint(*of) if str(one) == "RANGE" else of)
+            case "ANY":
+                out += draw.choice("ab ")
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                least, most, inner = value
+                out += "".join(spoken(draw, inner) for _ in range(draw.randint(least, min(most, least + 3))))
+            case "SUBPATTERN":
+                out += spoken(draw, value[3])
+            case "BRANCH":
+                out += spoken(draw, draw.choice(value[1]))
+            case "ASSERT" | "ASSERT_NOT":
+                pass
+            case _:
+                raise AssertionError(kind)
+    return out
+
+
+def test_keywords_skip_only_rules_that_cannot_match():
+    draw = random.Random(8)
+    scanner = license_scan.Scanner()
+    every = license_scan.Scanner([replace(r, keywords=(frozenset([b"everywhere"]),)) for r in RULES])
+    texts = [spoken(draw, _parser.parse(r.pattern.pattern.decode())) for r in RULES for _ in range(30)]
+    parts = ["gplv3", "GPLv2", "gpl3", "LGPLv2.1", "lgpl3", "AGPLv3", "MPL2", "mplv1.1", "EPLv2", "EUPLv1.2", "CDDL1", "Licence:", "license", "under the", "released under", "MIT", "is", "the", "2", "1", "ISC"]
+    texts += [" ".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(500)]
+    for at in range(0, len(texts), 3):
+        text = f" everywhere {' and so '.join(texts[at : at + 3])} ".encode()
+        assert scanner.scan(text) == every.scan(text)
+
+
+def test_joined_versions_and_both_spellings_are_found():
+    scan = license_scan.Scanner().scan
+    labels = lambda text: [p[2] for p in scan(text.encode())[2]]
+    for name, label in [("GPLv3", "gpl-3.0"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("MPL2", "mpl-2.0")]:
+        assert labels(f"licensed under the {name}") == [label]
+    assert labels("Licence: MIT") == ["mit"]
+
+
 def test_many_places_equal_pairwise_containment():
     draw = random.Random(5)
     places = [(-draw.randint(1, 3), a := draw.randrange(60), a + draw.randrange(9), n, str(n), 0.5) for n in range(400)]
