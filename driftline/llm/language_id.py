@@ -26,7 +26,8 @@ from driftline.llm.columns import arrow_type, map_texts, pick, slices
 #: Bounds of the labelled sample: documents and characters for each language, characters of one document,
 #: characters of all languages.
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, ALL_CHARS = 100, 20_000, 2_000, 1_000_000
-#: Different characters that the automata know, besides "another one", and characters in a block.
+#: Characters, the commonest ones, that have a column in the table of transitions, and characters in a block.
+#: The automata know all other characters of the samples by a sorted list of transitions.
 ALPHABET, BLOCK = 127, 2_048
 #: From so many letters on, a text that needs as many bits as random letters is in no known language.
 ENOUGH_LETTERS = 200
@@ -41,8 +42,8 @@ def normalise(text: str) -> str:
     return _NO_LETTERS.sub(" ", text.lower()).strip()
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings of ``codes``: a row for each state, -1 where there is none."""
+def transitions(codes: list[int]) -> list[dict[int, int]]:
+    """The automaton of all substrings of ``codes``: for each state the next one by code. The first state is the root."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -69,22 +70,44 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return step
+
+
+def split(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions as a table, a row for each state and -1 where there is none, and those by codes from ``width`` on as rows of state, code, next state."""
     table = np.full((len(step), width), -1, dtype=np.int32)
+    rare = []
     for state, nexts in enumerate(step):
         for c, target in nexts.items():
-            table[state, c] = target
-    return table
+            if c < width:
+                table[state, c] = target
+            else:
+                rare.append((state, c, target))
+    return table, np.array(rare, dtype=np.int64).reshape(-1, 3)
+
+
+def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
+    """The table of the automaton of ``codes``, all of them less than ``width``."""
+    return split(transitions(codes), width)[0]
 
 
 @dataclass(frozen=True)
 class Languages:
-    """The automata of all languages in one table, each with its own root."""
+    """The automata of all languages in one table, each with its own root.
+
+    ``alphabet`` has all characters of the samples, the commonest first. Those
+    beyond the table's columns go by ``keys``, sorted, of state and code, and
+    the states in ``targets``. ``different`` counts each language's characters.
+    """
 
     names: list[str]
     alphabet: str
     table: np.ndarray
+    keys: np.ndarray
+    targets: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
+    different: np.ndarray
 
     @classmethod
     def learn(cls, samples: dict[str, str]) -> Languages:
@@ -93,21 +116,36 @@ class Languages:
         for text in samples.values():
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
-        alphabet = "".join(sorted(sorted(counts), key=lambda c: -counts[c])[:ALPHABET])
-        code = {c: i + 1 for i, c in enumerate(alphabet)}
-        tables, roots, size = [], [], 0
+        alphabet = "".join(sorted(sorted(counts), key=lambda c: -counts[c]))
+        code = {c: i + 1 for i, c in enumerate(alphabet)}  # 0: a character of no sample, in no phrase
+        width = min(len(alphabet), ALPHABET) + 1
+        tables, rare, roots, size = [], [np.zeros((0, 3), np.int64)], [], 0
         for name in names:
-            table = suffix_automaton([code.get(c, 0) for c in samples[name]], len(alphabet) + 1)
-            table[:, 0] = -1  # another character is in no phrase
+            table, others = split(transitions([code[c] for c in samples[name]]), width)
             tables.append(np.where(table >= 0, table + size, -1).astype(np.int32))
+            rare.append(others + np.array([size, 0, size]))
             roots.append(size)
             size += len(table)
         joined = np.concatenate(tables) if tables else np.zeros((0, 1), np.int32)
+        state, by, target = np.concatenate(rare).T
+        keys = state * (len(alphabet) + 1) + by
+        order = np.argsort(keys)
         bits = np.array([np.log2(max(2, len(samples[n]))) for n in names])
-        return cls(names, alphabet, joined, np.array(roots, dtype=np.int64), bits)
+        different = np.array([len(set(samples[n])) for n in names], dtype=np.int64)
+        return cls(names, alphabet, joined, keys[order], target[order].astype(np.int32), np.array(roots, dtype=np.int64), bits, different)
+
+    def random_bits(self) -> np.ndarray:
+        """What a random letter costs in each language: one of its own, or of the commonest ALPHABET where it has fewer."""
+        return np.log2(np.maximum(np.maximum(self.different, min(len(self.alphabet), ALPHABET)), 2))
+
+    def rare_steps(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after codes beyond the table's columns; -1 where there is none."""
+        wanted = state.astype(np.int64) * (len(self.alphabet) + 1) + code
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.targets[at], np.int32(-1))
 
     def coder(self) -> np.ndarray:
-        codes = np.zeros(0x110000, dtype=np.uint8)
+        codes = np.zeros(0x110000, dtype=np.uint32)
         codes[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
         return codes
 
@@ -122,8 +160,9 @@ class Languages:
         order = np.argsort(-lengths, kind="stable")
         owner, lengths, begins = owner[order], lengths[order], begins[order]
         found = np.zeros((len(texts), len(self.names)), dtype=np.int64)
-        flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint8)
+        flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint32)
         width = self.table.shape[1]
+        columns = np.where(flat < width, flat, 0)
         steps, root_steps = self.table.ravel(), self.table[self.roots]
         roots = self.roots.astype(np.int32)[:, None]
         restart = np.where(root_steps >= 0, root_steps, roots)  # where a new phrase is after its first character
@@ -132,11 +171,18 @@ class Languages:
         # how many blocks are longer than each step
         active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
         for step, n in enumerate(active):
-            code = flat[begins[:n] + step]
-            after = steps.take(state[:, :n] * width + code)
+            at = begins[:n] + step
+            code = columns[at]
+            after, again = steps.take(state[:, :n] * width + code), restart[:, code]
+            rare = np.flatnonzero(flat[at] >= width)
+            if len(rare):
+                by = flat[at[rare]]
+                after[:, rare] = self.rare_steps(state[:, rare], by)
+                first_steps = self.rare_steps(roots, by)
+                again[:, rare] = np.where(first_steps >= 0, first_steps, roots)
             ended = after < 0
             counts[:, :n] += ended
-            state[:, :n] = np.where(ended, restart[:, code], after)
+            state[:, :n] = np.where(ended, again, after)
         np.add.at(found, owner, counts.T)
         return found
 
@@ -215,8 +261,8 @@ def identify(docs: DataFrame, languages: Languages, key: str = "doc_id", text: s
 def keep_known(docs: DataFrame, languages: Languages, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in a known language.
 
-    Texts without letters go, and texts of ENOUGH_LETTERS or more that parse no
-    better than random letters do in any language. Shorter texts stay. Without a
+    Texts without letters go, and texts of ENOUGH_LETTERS or more that parse in
+    the likeliest language no better than random letters of it do. Shorter texts stay. Without a
     single language to compare with, nothing can be told and only texts without
     letters go.
     """
@@ -224,13 +270,13 @@ def keep_known(docs: DataFrame, languages: Languages, text: str = "text") -> Dat
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        random = np.log2(max(2, len(known.alphabet)))
+        random = dict(zip(known.names, known.random_bits().tolist(), strict=True))
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             mask = []
             for t, (name, _, bits) in zip(texts, known.judge(texts), strict=True):
                 if known.names:
-                    strange = bits >= random and sum(map(str.isalpha, t)) >= ENOUGH_LETTERS
+                    strange = bits >= random.get(name, 0.0) and sum(map(str.isalpha, t)) >= ENOUGH_LETTERS
                     mask.append(name != UNDETERMINED and not strange)
                 else:
                     mask.append(any(map(str.isalpha, t)))

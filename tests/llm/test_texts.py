@@ -269,6 +269,41 @@ def test_only_texts_in_no_language_are_dropped(spark):
     assert language_id.keep_known(docs, languages).columns == docs.columns
 
 
+def many_characters(first: int, n: int, seed: int) -> list[str]:
+    """Texts in a script of ``n`` characters, of words of one to three of them, some far commoner than others."""
+    draw = random.Random(seed)
+    words = ["".join(chr(first + draw.randrange(n)) for _ in range(draw.randint(1, 3))) for _ in range(1_500)]
+    shares = [1 / (i + 1) for i in range(len(words))]
+    return ["".join(draw.choices(words, shares, k=400)) for _ in range(60)]
+
+
+def test_all_characters_of_the_samples_are_known(spark):
+    scripts = {"en": invented(30), "zh": many_characters(0x4E00, 2_000, 1), "ko": many_characters(0xAC00, 1_800, 2)}
+    rows = [(i, t, lang, "s", len(t)) for lang, texts in scripts.items() for i, t in enumerate(texts[:-10])]
+    languages = language_id.learn(table(spark, rows))
+    assert all(languages.different[languages.names.index(n)] > 1_000 for n in ("ko", "zh"))
+    held = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate((t, lang) for lang, texts in scripts.items() for t in texts[-10:])]
+    draw = random.Random(9)
+    noise = ["".join(chr(0x4E00 + draw.randrange(2_000)) for _ in range(600)), "".join(draw.choice("bcdfghjklmnpqrstvwxyzßüäöéè") for _ in range(3_000))]
+    docs = table(spark, held + [(100 + i, t, None, "s", len(t)) for i, t in enumerate(noise)])
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, languages).collect()}
+    assert all(found[i] == lang for i, _, lang, _, _ in held)
+    assert {r["doc_id"] for r in language_id.keep_known(docs, languages).collect()} == {i for i, *_ in held}
+
+
+def test_phrases_of_wide_scripts_equal_a_search_in_the_samples():
+    import numpy as np
+
+    texts = [*many_characters(0x4E00, 400, 3)[:4], *invented(4), "\u0e01\u0e02"]
+    samples = {"a": texts[0] + " " + texts[4][:300], "b": texts[1], "c": texts[5]}
+    known = language_id.Languages.learn(samples)
+    assert len(known.alphabet) > language_id.ALPHABET
+    coder = known.coder()
+    plain = [language_id.normalise(t) for t in texts]
+    found = known.phrases([coder[np.array([ord(c) for c in t], dtype=np.uint32)] for t in plain])
+    assert found.tolist() == [[phrases(t, samples[n]) for n in known.names] for t in plain]
+
+
 def test_digests_of_the_contract(spark, library):
     from driftline.llm.queries import op4_bpe
 
