@@ -113,15 +113,19 @@ class Fingerprints:
 
     def of(self, texts: list[str]) -> np.ndarray:
         """A row of bytes for each text. A text without a term in the band counts with all its terms."""
+        return self.marks(texts)[0]
+
+    def marks(self, texts: list[str], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """A row of bytes for each text and whether it has no term in the band. With ``whole`` all terms of all texts count."""
         out = np.zeros((len(texts), len(SIZES) * SUBSETS), dtype=np.uint8)
         each = [terms(t) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(e) for e in each])
         if not len(owner):
-            return out
+            return out, np.ones(len(texts), dtype=bool)
         h = np.concatenate(each)
         known = self._known(h)
         bare = np.bincount(owner[known], minlength=len(texts)) == 0
-        chosen = known | bare[owner]
+        chosen = known | bare[owner] | whole
         h, owner = h[chosen], owner[chosen]
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
@@ -139,7 +143,21 @@ class Fingerprints:
                 weights = (rank.astype(np.uint64) << np.uint64(1)) | np.uint64(1)
                 hashed = _mix(np.add.reduceat(value[at] * weights, begins))
                 out[who[begins], level * SUBSETS + j] = (hashed >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
-        return out
+        return out, bare
+
+    def alike(self, left: tuple, right: tuple) -> np.ndarray:
+        """The likeness of pairs of texts, each side as texts, rows of bytes and who is bare.
+
+        If either text of a pair has no term in the band, both are compared by all their terms.
+        """
+        sides = []
+        for (texts, rows, bare), (_, _, other) in ((left, right), (right, left)):
+            at = np.flatnonzero(other & ~bare)
+            if len(at):
+                rows = rows.copy()
+                rows[at] = self.marks([texts[i] for i in at], whole=True)[0]
+            sides.append(rows)
+        return likeness(*sides)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,6 +225,8 @@ def compare_with_next(docs: DataFrame, words: np.ndarray, key: str = "doc_id", t
     first row of each range goes to the range before as well, so each task sees
     every neighbour it needs. Gives ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
+    A fingerprint depends on its text alone; where one of two texts has no term
+    in the band, their likeness is that of all their terms.
     """
     spark = docs.sparkSession
     rows = pick(docs, key, text).toDF("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -241,26 +261,26 @@ def compare_with_next(docs: DataFrame, words: np.ndarray, key: str = "doc_id", t
         waiting = None  # the last document so far, with its fingerprint, until the next one is known
         for batch in slices(batches, 500):
             some = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            own = prints.of([r[1] for r in some])
             left, right, texts = [], [], []
-            for row, mark in zip(some, own, strict=True):
+            for row, mark, bare in zip(some, *prints.marks([r[1] for r in some]), strict=True):
                 if waiting is not None and waiting[0][2] == row[2]:
                     left.append(waiting)
-                    right.append(mark)
+                    right.append((row, mark, bare))
                     texts.append(edited(waiting[0][1], row[1]))
-                waiting = None if row[3] else (row, mark)  # an extra row is only somebody's neighbour
+                waiting = None if row[3] else (row, mark, bare)  # an extra row is only somebody's neighbour
             if not left:
                 continue
-            marks, nexts, changed = np.array([m for _, m in left]), np.array(right), prints.of(texts)
+            own, nexts = (([r[1] for r, _, _ in side], np.array([m for _, m, _ in side]), np.array([b for _, _, b in side])) for side in (left, right))
+            changed = (texts, *prints.marks(texts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r, _ in left], schema.field("doc_id").type),
-                    pa.array([len(r[1]) for r, _ in left], pa.int64()),
+                    pa.array([r[0] for r, _, _ in left], schema.field("doc_id").type),
+                    pa.array([len(t) for t in own[0]], pa.int64()),
                     pa.array([sha256(t.encode()).hexdigest() for t in texts]),
-                    pa.array(as_hex(marks)),
-                    pa.array(as_hex(changed)),
-                    pa.array(likeness(marks, changed)),
-                    pa.array(likeness(marks, nexts)),
+                    pa.array(as_hex(own[1])),
+                    pa.array(as_hex(changed[1])),
+                    pa.array(prints.alike(own, changed)),
+                    pa.array(prints.alike(own, nexts)),
                 ],
                 schema=schema,
             )

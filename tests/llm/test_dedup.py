@@ -293,3 +293,26 @@ def test_one_document_is_its_own_neighbour(spark):
     docs = table(spark, [(5, "abcdefgh", "en", "s", 1)])
     row = fingerprints.compare_with_next(docs, fingerprints.lexicon(docs)).first()
     assert row["edited_sha256"] == sha256(b"abcdefab").hexdigest() and row["near_next"] == 1.0
+
+
+def test_edited_copies_of_a_large_group_stay_alike(spark):
+    """Copies on a third of all rows have no term in the band, the texts that follow them have."""
+    words = [f"word{i}" for i in range(120)]
+    rows = [(i, " ".join(words) if i % 3 == 0 else " ".join(f"t{(i * 131 + j * 17) % 4_999}" for j in range(100)), "en", "s", 1) for i in range(300)]
+    docs = table(spark, rows)
+    known = fingerprints.lexicon(docs)
+    assert len(known) and not np.isin(fingerprints.terms(rows[0][1]), known).any()
+    found = {r["doc_id"]: r for r in fingerprints.compare_with_next(docs, known).collect()}
+    near = [found[i]["near_edited"] for i in range(0, 300, 3)]
+    assert np.mean(near) > 0.4 and min(near) > 0.1
+    assert max(found[i]["near_next"] for i in range(0, 300, 3)) < 0.1
+    assert len({found[i]["fingerprint"] for i in range(0, 300, 3)}) == 1
+
+
+def test_a_pair_is_compared_by_all_terms_if_either_is_bare():
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join([f"a{i}" for i in range(90)] + ["rare"])
+    prints = fingerprints.Fingerprints(fingerprints.terms("rare"))
+    left, right = ([a], *prints.marks([a])), ([b], *prints.marks([b]))
+    assert left[2].tolist() == [True] and right[2].tolist() == [False]
+    assert prints.alike(left, right)[0] == prints.alike(right, left)[0] > 0.8
+    assert (prints.marks([b], whole=True)[0] != prints.of([b])).any()
