@@ -1,10 +1,10 @@
-"""Near-duplicates by ProbMinHash of weighted five-word shingles, banding and verification.
+"""Near-duplicates by ProbMinHash of five-word shingles, banding and verification.
 
-Each distinct shingle of a text, weighted by 1 + ln(its count), is a Poisson
-process whose arrivals hit random registers; a register keeps the shingle that
-arrived first. A shingle stops once its next arrival is later than what every
-register holds. Two texts agree in a register with the probability Jaccard
-similarity of their weighted shingles.
+Each distinct shingle of a text is a Poisson process whose arrivals hit random
+registers; a register keeps the shingle that arrived first. A shingle stops once
+its next arrival is later than what every register holds. All distinct shingles
+weigh the same, however often they are repeated, so two texts agree in a
+register with the Jaccard similarity by which links are verified.
 
 Texts that share four registers of a band are candidates. Within a bucket every
 text is compared with the one that shares the most buckets with others; whole
@@ -66,7 +66,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def weighted_shingles(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, 64-bit hash and weight of each distinct shingle of each text that has words."""
+    """Text number, 64-bit hash and weight of each distinct shingle of each text that has words.
+
+    The weight is 1: in the similarity of two texts a shingle counts once, too.
+    """
     hashes, owners = [], []
     for i, found in enumerate(texts):
         if not found:
@@ -84,8 +87,7 @@ def weighted_shingles(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, n
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-    counts = np.diff(np.r_[first, len(h)])
-    return owner[first], h[first], 1 + np.log(counts)
+    return owner[first], h[first], np.ones(len(first))
 
 
 def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, registers: int = REGISTERS) -> np.ndarray:

@@ -118,6 +118,30 @@ def test_registers_agree_as_often_as_probability_jaccard():
     assert abs((held[0] == held[1]).mean() - near_dedup.similarity(*sets)) < 0.02
 
 
+def repeated(i: int, times: int, both: bool) -> list[str]:
+    """Two texts of 200 common shingles; the rest is a passage repeated in each or in one of them."""
+    common = [f"c{i}x{j}" for j in range(204)]
+    passages = [[f"p{i}y{j}" for j in range(18 if both else 36)] * times, [f"q{i}y{j}" for j in range(18)] * times if both else []]
+    return [" ".join(common + p) for p in passages]
+
+
+def test_registers_agree_by_what_links_are_verified_by():
+    for both in (True, False):
+        texts = [near_dedup.words(t) for t in repeated(0, 300, both)]
+        held = near_dedup.prob_minhash(*near_dedup.weighted_shingles(texts), 2, registers=20_000)
+        want = near_dedup.similarity(*(near_dedup.shingles(t) for t in texts))
+        assert want > 0.8 and abs((held[0] == held[1]).mean() - want) < 0.02
+
+
+def test_pairs_with_repeated_passages_equal_brute_force(spark):
+    texts = [t for i in range(30) for t in repeated(i, 300, both=i % 2 == 0)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(table(spark, rows)).collect()}
+    roots = near_brute([(r[0], r[1]) for r in rows])
+    assert len(set(roots)) == 30
+    assert found == {i: roots.index(root) for i, root in enumerate(roots)}
+
+
 def test_registers_follow_the_weights():
     owner = np.array([0, 0, 1, 1])
     h = np.array([7, 8, 7, 9], dtype=np.uint64)
