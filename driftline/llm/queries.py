@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over the whole of their tables, and their SQL checks."""
+"""The queries of the operators, over the whole of their tables, and their SQL checks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, columns, exact_dedup, fingerprints, language_id, license_scan, line_dedup, mixing, near_dedup, token_counts, url_filter
+from driftline.llm import (
+    bpe,
+    columns,
+    exact_dedup,
+    fingerprints,
+    infill,
+    language_id,
+    license_scan,
+    line_dedup,
+    merge_queue,
+    mixing,
+    near_dedup,
+    prefix_trie,
+    token_counts,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +69,8 @@ WITH l AS MATERIALIZED (
   FROM documents),
 w AS (
   SELECT DISTINCT doc_id, line_no, word
-  FROM (SELECT doc_id, line_no, unnest(string_split_regex(lower(line), '[ 	-]+')) AS word FROM l)
+  FROM (SELECT doc_id, line_no, unnest(string_split_regex(lower(line), '[ 	-
+]+')) AS word FROM l)
   WHERE word <> ''),
 t AS MATERIALIZED (SELECT doc_id, line_no, list(word ORDER BY word) AS words FROM w GROUP BY doc_id, line_no),
 c AS MATERIALIZED (
@@ -206,6 +222,101 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def _digests(found: DataFrame, ids: str, decoded: str) -> list[Column]:
+    return [
+        F.size(ids).cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"),
+    ]
+
+
+def op11_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge_queue.encode_and_decode(
+        columns.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
+    return found.select("doc_id", *_digests(found, "ids", "decoded"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(columns.documents(spark, sf_dir))
+    digests = [F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256") for name in ("output", "restored")]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (len(units) + 1) AS c1,
+         CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (len(units) + 1) AS c2,
+         text <> '' AND NOT contains(text, '<P>') AND NOT contains(text, '<S>') AND NOT contains(text, '<M>')
+         AND CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 < 50 AS changed,
+         CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 < 80 AS suffix_first
+  FROM d),
+p AS (
+  SELECT *, array_to_string(units[1:least(c1, c2)], '') AS prefix,
+         array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+         array_to_string(units[greatest(c1, c2) + 1:], '') AS suffix
+  FROM h)
+SELECT doc_id, n, CASE WHEN NOT changed THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN changed THEN length(prefix) END AS prefix_chars,
+       CASE WHEN changed THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN NOT changed THEN text
+                   WHEN suffix_first THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP13_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place,
+         digest, chars
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+               md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (
+  SELECT conv, xor(list_reduce(
+           flatten(list_transform(string_split(CAST(conv AS VARCHAR), ''), lambda s: [ascii(s), -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END,
+           4294967295), 4294967295) % 6 AS head
+  FROM (SELECT DISTINCT CAST(conv AS BIGINT) AS conv FROM t)),
+r AS MATERIALIZED (
+  SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY own, place) AS depth, digest, chars
+  FROM (SELECT c.conv, FALSE AS own, place, digest, chars FROM c JOIN t ON t.conv = c.conv - c.conv % 100 AND place <= head
+        UNION ALL
+        SELECT c.conv, TRUE, place, digest, chars FROM c JOIN t ON t.conv = c.conv AND place > head)),
+q AS (
+  SELECT conv, depth, chars, md5(string_agg(digest, ',') OVER (PARTITION BY conv ORDER BY depth)) AS node FROM r),
+p AS MATERIALIZED (
+  SELECT conv, depth, chars, node, lag(node, 1, '') OVER (PARTITION BY conv ORDER BY depth) AS parent,
+         depth = count(*) OVER (PARTITION BY conv) AS ends
+  FROM q
+  UNION ALL
+  SELECT conv, 0, 0, '', NULL, conv NOT IN (SELECT conv FROM r) FROM c),
+n AS MATERIALIZED (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv) AS conv, count(*) AS n_convs,
+         (count(*) - 1) * any_value(chars) AS saved,
+         bool_and(ends) AS leaf,
+         sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY node),
+s AS (
+  SELECT p.node, count(*) FILTER (n.leaf) AS n_leaves, sum(n.saved) AS saved_tokens
+  FROM p JOIN n ON n.conv = p.conv AND n.depth >= p.depth GROUP BY p.node),
+k AS (SELECT parent, count(*) AS n_children FROM n GROUP BY parent)
+SELECT n.conv AS conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv AS parent_conv_id, n.n_convs,
+       coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.node = n.node LEFT JOIN n up ON up.node = n.parent LEFT JOIN k ON k.parent = n.node
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_license_scan": op2_license_scan,
@@ -217,5 +328,14 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_merge_queue": op11_merge_queue,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+    "op5_exact_dedup": OP5_SQL,
+    "op9_mixing": OP9_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
