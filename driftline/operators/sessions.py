@@ -7,13 +7,23 @@ carried forward in time buckets, so one very busy agent is spread over many task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.carry import carry_forward
 
 ORDER = ["ts", "event_id"]
+METADATA = "map<string,string>"
+
+
+def started_with(rows: DataFrame) -> Column:
+    """The metadata of the start among the rows of a session; empty where nothing started it or nothing came with it."""
+    empty = F.create_map().cast(METADATA)
+    if "metadata" not in rows.columns:
+        return F.first(empty)
+    given = F.when(F.col("opens") & (F.col("kind") == "start"), F.col("metadata"))
+    return F.coalesce(F.first(given, ignorenulls=True), empty)
 
 
 def session_stamp(
@@ -53,7 +63,7 @@ def session_stamp(
 def sessions(
     stamped: DataFrame, counted: list[str] | None = None, action: str = "action"
 ) -> DataFrame:
-    """One row per session: start, end, counted calls, last activity, duration.
+    """One row per session: start, end, counted calls, last activity, duration, metadata of the start.
 
     ``counted`` names the actions that count as tool calls; all calls for None.
     """
@@ -66,6 +76,7 @@ def sessions(
         F.max(F.when(F.col("kind") == "end", F.col("ts"))).alias("ended_at"),
         F.count_if(is_call).alias("tool_calls"),
         F.max(F.when(is_call, F.col("ts"))).alias("last_call"),
+        started_with(rows).alias("metadata"),
     )
     last = F.coalesce("last_call", "started_at")
     seconds = (F.unix_micros(last) - F.unix_micros("started_at")) / 1_000_000

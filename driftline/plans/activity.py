@@ -134,7 +134,10 @@ def span_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 def session_rows(rows: DataFrame) -> DataFrame:
     times = [c for c in ("started_at", "ended_at", "last_activity", "ts") if c in rows.columns]
-    return rows.withColumns({c: audit_log.iso(F.col(c)) for c in times})
+    shown = {c: audit_log.iso(F.col(c)) for c in times}
+    if "metadata" in rows.columns:
+        shown["metadata"] = F.col("metadata")["k"]
+    return rows.withColumns(shown)
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,8 +236,9 @@ def _sessions_view(counted: str) -> str:
     return f"""SELECT agent_id, session_id, started_at, ended_at, tool_calls,
                  coalesce(last_call, started_at) AS last_activity,
                  CAST(trunc((epoch_us(coalesce(last_call, started_at)) - epoch_us(started_at))
-                   / 1000000) AS BIGINT) AS duration_seconds
+                   / 1000000) AS BIGINT) AS duration_seconds, metadata
                FROM (SELECT agent_id, session_id,
+                       any_value(metadata) FILTER (WHERE opens) AS metadata,
                        min(ts) FILTER (WHERE opens) AS started_at,
                        max(ts) FILTER (WHERE kind = 'end') AS ended_at,
                        count(*) FILTER (WHERE {counted}) AS tool_calls,
@@ -245,7 +249,7 @@ def _sessions_view(counted: str) -> str:
 VIEWS["all_sessions"] = (["stamped"], _sessions_view("kind = 'call'"))
 SESSION_COLUMNS = f"""agent_id, session_id, {_iso('started_at')} AS started_at,
   {_iso('ended_at')} AS ended_at, tool_calls, {_iso('last_activity')} AS last_activity,
-  duration_seconds"""
+  duration_seconds, metadata"""
 _FIELDS = f"""{_iso('ts')} AS ts, trace_id, action, agent_id, session_id, risk_score, pii_detected,
   injection_detected, status, repo_path, duration_ms, metadata"""
 
@@ -330,7 +334,7 @@ ORACLE = {
     "session_info": with_views(
         ["all_sessions"],
         f"""SELECT agent_id, session_id, {_iso('started_at')} AS started_at, tool_calls,
-              {_iso('last_activity')} AS last_activity, duration_seconds,
+              {_iso('last_activity')} AS last_activity, duration_seconds, metadata,
               session_id IS NOT NULL AS active,
               CASE WHEN session_id IS NULL THEN {quote(fv.NO_SESSION)} END AS message
             FROM (SELECT agent_id, max_by(struct_pack(v := CASE WHEN opens THEN session_id END),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from driftline.plans import activity, history_search
-from driftline.plans.views import with_views
+from driftline.plans.views import VIEWS, with_views
 from driftline.session import scratch_path
 from driftline.sources import audit_log, derived, index_store
 from driftline.sources.tables import table
-from driftline.streaming import live_index, live_sessions, scans
+from driftline.streaming import live_index, live_sessions, rollups, scans, stateful_sessions
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,10 +58,158 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("commit_hash", "repo", F.size("vector").alias("terms"))
 
 
+#: Spans of time into which the events are cut; each span's events arrive together or one arrival later.
+SPANS = 3
+
+
+def arrivals(rows: DataFrame, key: str = "event_id") -> tuple[DataFrame, int]:
+    """``rows`` with the number of the ``arrival`` each one comes with, and the length of a span in seconds.
+
+    A third of a span's rows come one arrival late; of 97 rows one comes with the last arrival.
+    """
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    seconds = ((last or 0) - (first or 0)) // (SPANS * 1_000_000) + 1
+    span = F.floor((F.unix_micros("ts") - F.lit(first)) / (seconds * 1_000_000))
+    number = F.when(F.col(key) % 97 == 5, SPANS).when(F.col(key) % 3 == 0, span + 1).otherwise(span)
+    return rows.withColumn("arrival", number.cast("int")), seconds
+
+
+def feed(rows: DataFrame, folder: str, run: Callable[[DataFrame], StreamingQuery]) -> list[StreamingQuery]:
+    """Write one arrival after the other and let the stream run on it to its end; each run takes up the last one's state."""
+    spark, schema, runs = rows.sparkSession, rows.drop("arrival").schema, []
+    for n in range(SPANS + 1):
+        rows.filter(F.col("arrival") == n).drop("arrival").repartition(3).write.mode("append").parquet(folder)
+        runs.append(run(spark.readStream.schema(schema).parquet(folder)))
+        runs[-1].awaitTermination()
+    return runs
+
+
+def stream_sessions_stateful(spark: SparkSession, sf: str) -> DataFrame:
+    events, seconds = arrivals(derived.agent_events(spark, sf))
+    path = scratch_path(spark, "stream")
+    feed(
+        events,
+        f"{path}/in",
+        lambda s: stateful_sessions.session_stream(s, f"{path}/out", f"{path}/checkpoint", f"{seconds} seconds"),
+    )
+    closed = stateful_sessions.outcomes(spark, f"{path}/out", stateful_sessions.CLOSED)
+    late = stateful_sessions.outcomes(spark, f"{path}/out", stateful_sessions.LATE)
+    both = closed.withColumn("outcome", F.lit("closed")).unionByName(late.withColumn("outcome", F.lit("late")))
+    return activity.session_rows(both.drop("ts"))
+
+
+def _windows(spark: SparkSession, rows: DataFrame, key: str, rollup: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The windows that a roll-up gives over arriving rows, and one row with the number of rows that came too late."""
+    rows, seconds = arrivals(rows, key)
+    path = scratch_path(spark, "stream")
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        return rollups.write(rollup(stream, f"{seconds} seconds"), f"{path}/out", f"{path}/checkpoint")
+
+    for query in feed(rows, f"{path}/in", run):
+        rollups.write_late(query, f"{path}/late")
+    schema = rollup(rows, "0 seconds").select("window.start", "window.end", "*").drop("window").schema
+    found = spark.read.schema(schema).parquet(f"{path}/out").withColumn("outcome", F.lit("window"))
+    late = rollups.late_rows(spark, f"{path}/late").withColumn("outcome", F.lit("late"))
+    both = found.unionByName(late, allowMissingColumns=True)
+    return both.withColumns({"start": audit_log.iso(F.col("start")), "end": audit_log.iso(F.col("end"))}).withColumnsRenamed(
+        {"start": "window_start", "end": "window_end"}
+    )
+
+
+def _dated_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The salted documents, one every minute."""
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
+    return derived.content(spark, sf).select("doc_id", "source", "text", ts.alias("ts"))
+
+
+def stream_sensitive_report(spark: SparkSession, sf: str) -> DataFrame:
+    rollup = lambda s, delay: rollups.sensitive_report(s, "doc_id", "source", "2 hours", delay)
+    return _windows(spark, _dated_texts(spark, sf), "doc_id", rollup)
+
+
+def stream_injection_risk(spark: SparkSession, sf: str) -> DataFrame:
+    rollup = lambda s, delay: rollups.injection_risk(s, "doc_id", "source", "3 hours", "1 hour", delay)
+    found = _windows(spark, _dated_texts(spark, sf), "doc_id", rollup)
+    return found.withColumn("highest_risk", F.round("highest_risk", 6))
+
+
+def stream_incident_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    rollup = lambda s, delay: rollups.incident_bursts(s, "event_id", "12 hours", delay)
+    found = _windows(spark, derived.agent_events(spark, sf), "event_id", rollup)
+    return found.withColumn("highest_risk", F.round("highest_risk", 6))
+
+
 QUERIES = {
-    f.__name__: f for f in (stream_security_scan, stream_incidents, stream_sessions, stream_index)
+    f.__name__: f
+    for f in (
+        stream_security_scan,
+        stream_incidents,
+        stream_sessions,
+        stream_sessions_stateful,
+        stream_sensitive_report,
+        stream_injection_risk,
+        stream_incident_bursts,
+        stream_index,
+    )
+}
+
+
+def arrived(view: str, key: str = "event_id") -> dict[str, tuple[list[str], str]]:
+    """The rows of a view as a stream sees them: ``timed`` says which come late and which the last watermark reaches."""
+    return {
+        "came": (
+            [view],
+            f"""SELECT *, seconds * 1000 AS delay, epoch_us(ts) // 1000 AS ms,
+                  CASE WHEN {key} % 97 = 5 THEN {SPANS}
+                       ELSE (epoch_us(ts) - lowest) // (seconds * 1000000) + CASE WHEN {key} % 3 = 0 THEN 1 ELSE 0 END
+                  END AS arrival
+                FROM (SELECT *, min(epoch_us(ts)) OVER () AS lowest,
+                        (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ()) // {SPANS * 1_000_000} + 1 AS seconds
+                      FROM {view})""",
+        ),
+        "marks": (
+            ["came"],
+            """SELECT arrival, max(max(ms)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                 - max(delay) AS passed, max(max(ms)) OVER () - max(delay) AS at_last
+               FROM came GROUP BY arrival""",
+        ),
+        "timed": (
+            ["came", "marks"],
+            """SELECT c.* EXCLUDE (arrival, delay, seconds, lowest, ms), coalesce(ms <= passed, FALSE) AS late, ms <= at_last AS reached
+               FROM came c JOIN marks m ON c.arrival = m.arrival""",
+        ),
+    }
+
+
+_EVENTS = {"every_event": VIEWS["activity"], **arrived("every_event")}
+_COUNTED_EVENTS = {
+    **_EVENTS,
+    "activity": (["timed"], "SELECT * FROM timed WHERE NOT late AND reached"),
+}
+
+_DATED = {
+    "dated": (["content"], "SELECT *, make_timestamp((1704067200 + doc_id * 60) * 1000000) AS ts FROM content"),
+    **arrived("dated", "doc_id"),
 }
 
+
+def _window_sql(names: list[str], select: str, group: str, replaced: dict, recursive: bool = False) -> str:
+    """Final windows and the row of late rows; ``select`` gives start and end in seconds as ``s`` and ``e``."""
+    columns = [c.split(" AS ")[-1].strip() for c in group.split(", ")]
+    iso = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+    return with_views(
+        ["timed", "marks", *names],
+        f"""SELECT 'window' AS outcome, {iso.format("s")} AS window_start, {iso.format("e")} AS window_end,
+              {group}, CAST(NULL AS BIGINT) AS late_rows
+            FROM ({select}) WHERE e * 1000 <= (SELECT max(at_last) FROM marks)
+            UNION ALL
+            SELECT 'late', NULL, NULL, {", ".join("NULL" for _ in columns)}, count(*) FROM timed WHERE late""",
+        recursive=recursive,
+        replaced=replaced,
+    )
+
+
 ORACLE = {
     "stream_security_scan": with_views(
         ["scan_flags"],
@@ -76,6 +227,57 @@ ORACLE = {
               FROM all_sessions)
             WHERE ended_at IS NOT NULL OR started_at < newest[1]""",
     ),
+    "stream_sessions_stateful": with_views(
+        ["all_sessions", "timed"],
+        f"""SELECT 'closed' AS outcome, CAST(NULL AS BIGINT) AS event_id, {activity.SESSION_COLUMNS} FROM (
+              SELECT *, max((started_at, ended_at IS NULL)) OVER (PARTITION BY agent_id) AS newest
+              FROM all_sessions)
+            WHERE ended_at IS NOT NULL OR started_at < newest[1]
+            UNION ALL
+            SELECT 'late', event_id, agent_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM timed WHERE late""",
+        replaced=_COUNTED_EVENTS,
+    ),
+    "stream_sensitive_report": _window_sql(
+        ["tokens_kept", "entropy_items"],
+        """SELECT s, s + 7200 AS e, source, type, count(*) AS findings, count(DISTINCT doc_id) AS texts
+           FROM (SELECT doc_id, source, i.type, epoch(ts)::BIGINT // 7200 * 7200 AS s
+                 FROM (SELECT doc_id, type FROM tokens_kept UNION ALL SELECT doc_id, 'secret' FROM entropy_items) i
+                 JOIN timed USING (doc_id) WHERE NOT late)
+           GROUP BY GROUPING SETS ((s, source, type), (s, source))""",
+        'source AS "group", type, findings, texts',
+        _DATED,
+        recursive=True,
+    ),
+    "stream_injection_risk": _window_sql(
+        ["injections"],
+        """SELECT s, s + 10800 AS e, source, count(*) AS texts, count(*) FILTER (n > 0) AS at_risk, sum(n)::BIGINT AS injections,
+             max(risk) AS highest_risk
+           FROM (SELECT doc_id, any_value(t.source) AS source, any_value(epoch(ts)::BIGINT) AS sec, count(severity) AS n,
+                   round(least(1.0::DOUBLE, coalesce(sum(CASE severity WHEN 'high' THEN 1.0::DOUBLE
+                     WHEN 'medium' THEN 0.5::DOUBLE END), 0) / 3), 6) AS risk
+                 FROM timed t LEFT JOIN (SELECT doc_id, severity FROM injections WHERE severity <> 'low') USING (doc_id)
+                 WHERE NOT late GROUP BY doc_id)
+           JOIN (SELECT unnest(range(3)) AS back) ON TRUE, LATERAL (SELECT (sec // 3600 - back) * 3600 AS s)
+           GROUP BY s, source""",
+        'source AS "group", texts, at_risk, injections, highest_risk',
+        _DATED,
+    ),
+    "stream_incident_bursts": with_views(
+        ["timed", "marks"],
+        """SELECT 'window' AS outcome, agent_id, strftime(make_timestamp(s), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS window_start,
+             strftime(make_timestamp(e), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS window_end, incidents, with_pii, highest_risk,
+             CAST(NULL AS BIGINT) AS late_rows
+           FROM (SELECT agent_id, burst, min(epoch_us(ts)) AS s, max(epoch_us(ts)) + 43200000000 AS e, count(*) AS incidents,
+                   count(*) FILTER (pii_detected) AS with_pii, round(max(exact_risk), 6) AS highest_risk
+                 FROM (SELECT *, sum(fresh) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS burst
+                       FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY agent_id ORDER BY ts, event_id)
+                                            <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh
+                             FROM timed WHERE NOT late AND (pii_detected OR exact_risk > 0.5)))
+                 GROUP BY agent_id, burst)
+           WHERE e // 1000 <= (SELECT max(at_last) FROM marks)
+           UNION ALL SELECT 'late', NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM timed WHERE late""",
+        replaced=_EVENTS,
+    ),
     "stream_index": with_views(
         ["weights", "commits"],
         """SELECT commit_hash, repo, CAST(count(w.key) AS INTEGER) AS terms

@@ -17,11 +17,11 @@ from driftline.operators import sessions as ses
 
 STATE = (
     "agent_id string, session_id string, event_id bigint, started_at timestamp, "
-    "tool_calls bigint, last_call timestamp"
+    "tool_calls bigint, last_call timestamp, metadata map<string,string>"
 )
 CLOSED = (
     "agent_id string, session_id string, started_at timestamp, ended_at timestamp, "
-    "tool_calls bigint, last_activity timestamp, duration_seconds bigint"
+    "tool_calls bigint, last_activity timestamp, duration_seconds bigint, metadata map<string,string>"
 )
 
 
@@ -36,8 +36,11 @@ def advance(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("started_at").alias("ts"),
         F.lit("start").alias("kind"),
         F.lit("carried").alias("action"),
+        "metadata",
     )
-    rows = events.select("agent_id", "event_id", "ts", "kind", "action").unionByName(opened)
+    if "metadata" not in events.columns:
+        events = events.withColumn("metadata", F.lit(None).cast(ses.METADATA))
+    rows = events.select("agent_id", "event_id", "ts", "kind", "action", "metadata").unionByName(opened)
     stamped = ses.session_stamp(rows).filter(F.col("session_id").isNotNull())
     is_call = F.col("kind") == "call"
     parts = stamped.groupBy("agent_id", "session_id").agg(
@@ -46,6 +49,7 @@ def advance(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.when(F.col("kind") == "end", F.col("ts"))).alias("ended_at"),
         F.count_if(is_call).alias("tool_calls"),
         F.max(F.when(is_call, F.col("ts"))).alias("last_call"),
+        ses.started_with(stamped).alias("metadata"),
     )
     before = state.select(
         "session_id",
@@ -75,9 +79,10 @@ def advance(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         "tool_calls",
         last.alias("last_activity"),
         seconds.cast("long").alias("duration_seconds"),
+        "metadata",
     )
     still_open = known.filter(is_open).select(
-        "agent_id", "session_id", "event_id", "started_at", "tool_calls", "last_call"
+        "agent_id", "session_id", "event_id", "started_at", "tool_calls", "last_call", "metadata"
     )
     return closed, still_open
 

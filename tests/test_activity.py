@@ -164,6 +164,23 @@ def test_sessions(spark, counted):
     assert got == want and len(rows) == len(found)
 
 
+def test_sessions_carry_the_metadata_of_their_start(spark):
+    rows = [
+        ("a", 1, NOON, "start", "t", {"k": "first"}),
+        ("a", 2, NOON, "call", "t", {"k": "of a call"}),
+        ("a", 3, NOON, "start", "t", None),
+        ("b", 4, NOON, "call", "t", {"k": "opened by a call"}),
+        ("c", 5, NOON, "start", "t", {"k": "ended"}),
+        ("c", 6, NOON, "end", "t", {"k": "of an end"}),
+    ]
+    stamped = ses.session_stamp(spark.createDataFrame(rows, EVENT + ", metadata map<string,string>"), auto_create=True)
+    everything = ses.sessions(stamped)
+    got = sorted((r.agent_id, r.ended_at is None, sorted(r.metadata.items())) for r in everything.collect())
+    assert got == [("a", True, []), ("a", True, [("k", "first")]), ("b", True, []), ("c", False, [("k", "ended")])]
+    info = {r.agent_id: r.metadata for r in ses.session_info(stamped, everything).collect()}
+    assert info == {"a": {}, "b": {}, "c": None}
+
+
 def test_events_without_a_time_are_kept(spark):
     rows = [("a", 1, None, "call", "t"), ("a", 2, NOON, "start", "t"), ("a", 3, NOON, "call", "t")]
     out = ses.session_stamp(spark.createDataFrame(rows, EVENT)).collect()
