@@ -79,8 +79,8 @@ def idf(docs: Column, df: Column) -> Column:
     return F.log((docs + 1) / (df + 1)) + 1
 
 
-def unit(vector: Column) -> Column:
-    """Scale (idx, weight) entries to length 1; a zero vector stays as it is."""
+def unit(vector: Column, name: str = "idx") -> Column:
+    """Scale (``name``, weight) entries to length 1; a zero vector stays as it is."""
 
     def scaled(v: Column) -> Column:
         total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"])
@@ -89,7 +89,7 @@ def unit(vector: Column) -> Column:
             lambda length: F.transform(
                 v,
                 lambda x: F.struct(
-                    x["idx"].alias("idx"),
+                    x[name].alias(name),
                     F.when(length > 0, x["weight"] / length).otherwise(x["weight"]).alias("weight"),
                 ),
             ),
@@ -140,10 +140,10 @@ class Vocabulary:
         return F.get(self._places(), idx)
 
 
-def dot(vector: Column, weights: Column) -> Column:
-    """Dot product of an (idx, weight) array with an idx -> weight map."""
+def dot(vector: Column, weights: Column, name: str = "idx") -> Column:
+    """Dot product of a (``name``, weight) array with a map from name to weight."""
     return F.aggregate(
         vector,
         F.lit(0.0),
-        lambda a, x: a + x["weight"] * F.coalesce(F.try_element_at(weights, x["idx"]), F.lit(0.0)),
+        lambda a, x: a + x["weight"] * F.coalesce(F.try_element_at(weights, x[name]), F.lit(0.0)),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
@@ -15,6 +15,22 @@ def recent(lines: DataFrame, order: list[str], limit: int = 100, line: str = "li
     return audit_log.parse(last.orderBy(*order), line)
 
 
+def recent_in_log(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
+    """Entries among the last ``limit`` lines of a stored log in the order of its lines; malformed lines use up the limit."""
+    return audit_log.parse(audit_log.last_lines(spark, path, limit)).orderBy(*audit_log.PLACE).drop(*audit_log.PLACE)
+
+
+def incidents_in_log(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
+    """The first incidents of a stored log in the order of its lines."""
+    found = audit_log.first_entries(spark, path, is_incident(), limit)
+    return found.orderBy(*audit_log.PLACE).drop(*audit_log.PLACE)
+
+
+def of_stored_traces(spark: SparkSession, name: str, traces: DataFrame) -> DataFrame:
+    """All entries of the traces in a table, from a log stored by trace: only the traces are moved."""
+    return of_traces(spark.table(name), traces)
+
+
 def of_trace(entries: DataFrame, trace_id: str) -> DataFrame:
     """All entries of one trace."""
     return entries.filter(F.col("trace_id") == trace_id)

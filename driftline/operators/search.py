@@ -57,14 +57,27 @@ def search(
     max_terms: int | None = None,
 ) -> DataFrame:
     """Cosine similarity, raised for every matched term, best ``top_k`` first."""
+    weights = _query_weights(index.sparkSession, vocabulary, query)
+    return ranked(index, weights, "idx", query, repo, top_k, min_score, candidates, max_terms)
+
+
+def ranked(
+    index: DataFrame,
+    weights: Column,
+    field: str,
+    query: str,
+    repo: str | None,
+    top_k: int,
+    min_score: float,
+    candidates: int | None,
+    max_terms: int | None,
+) -> DataFrame:
+    """A search whose query is a map from ``field`` of the vectors' entries to its weight."""
     rows = _candidates(index, repo, candidates).filter(F.col("vector").isNotNull())
     rows = rows.withColumns(
-        {
-            "weights": _query_weights(index.sparkSession, vocabulary, query),
-            "matched_terms": matched_terms(query, commit_index.index_text(), max_terms),
-        }
+        {"weights": weights, "matched_terms": matched_terms(query, commit_index.index_text(), max_terms)}
     )
-    cosine = dot(F.col("vector"), F.col("weights"))
+    cosine = dot(F.col("vector"), F.col("weights"), field)
     boost = F.size("matched_terms") * fv.TERM_BOOST
     score = F.when(boost > 0, F.least(F.lit(1.0), cosine + boost)).otherwise(cosine)
     scored = rows.withColumn("score", score).filter(F.col("score") >= min_score)
@@ -77,6 +90,7 @@ def similar_commits(
     repo: str | None = None,
     top_k: int = 5,
     candidates: int | None = None,
+    field: str = "idx",
 ) -> DataFrame:
     """Commits closest to the newest commit whose hash starts like ``commit_hash``."""
     rows = _candidates(index, repo, candidates)
@@ -89,7 +103,7 @@ def similar_commits(
     )
     scored = others.withColumns(
         {
-            "score": dot(F.col("vector"), F.col("source.weights")),
+            "score": dot(F.col("vector"), F.col("source.weights"), field),
             "matched_terms": F.array().cast("array<string>"),
         }
     ).filter(F.col("score") > fv.MIN_SCORE)

@@ -36,8 +36,10 @@ def session_stamp(
     call outside of a session opens one. ``bucket`` is the time span of one agent
     that a single task may work on.
     """
-    # events without a time come first in order, so they share the earliest bucket
-    span = F.coalesce(F.date_trunc(bucket, "ts"), F.timestamp_seconds(F.lit(-62135596800)))
+    # events without a time come first in order, so they share the earliest spans, by ranges of their numbers
+    timeless = F.when(F.col("ts").isNull(), F.coalesce(F.shiftright(F.col("event_id").cast("bigint"), 16), F.lit(-(2**48))))
+    earliest = F.timestamp_seconds(F.lit(-62135596800))
+    span = F.struct(F.coalesce(F.date_trunc(bucket, "ts"), earliest).alias("at"), F.coalesce(timeless, F.lit(0)).alias("n"))
     agent = F.coalesce(F.nullif("agent_id", F.lit("")), F.lit("auto" if auto_create else "anonymous"))
     rows = events.withColumn("agent_id", agent)
     opens = F.col("kind") == "start"

@@ -109,6 +109,35 @@ def security_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(found).select("event_id", "ts", "risk_score", "pii_detected")
 
 
+def _written_log(spark: SparkSession, sf: str) -> str:
+    """A log of two appends, with many equal times and every 17th line cut short."""
+    path = scratch_path(spark, "audit")
+    entries = _entries(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
+    line = audit_log.to_line()
+    lines = entries.withColumn("value", F.when(F.col("event_id") % 17 == 0, F.left(line, F.lit(40))).otherwise(line))
+    for rest in (0, 1):
+        audit_log.write_lines(lines.filter(F.col("event_id") % 2 == rest), path, ["ts", "event_id"])
+    return path
+
+
+def audit_recent_log(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(audit.recent_in_log(spark, _written_log(spark, sf), 100)).select(*FIELDS)
+
+
+def security_incidents_log(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(audit.incidents_in_log(spark, _written_log(spark, sf))).select(*FIELDS)
+
+
+def audit_traces_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """As audit_traces, from a log that is stored by trace."""
+    entries = agent_events(spark, sf).withColumn("session_id", F.lit(None).cast("string"))
+    path = scratch_path(spark, "clustered")
+    name = "log_" + path.rsplit("-", 1)[1]
+    audit_log.write_clustered(entries, name, path, 8)
+    found = audit.of_stored_traces(spark, name, entries.filter(F.col("status") == "error"))
+    return _plain(found).select("event_id", "ts", "action", "risk_score")
+
+
 def tool_call_audit(spark: SparkSession, sf: str) -> DataFrame:
     flagged = injection.with_security_flags(content(spark, sf)).select(
         "doc_id",
@@ -176,6 +205,9 @@ QUERIES = {
         audit_trace,
         audit_traces,
         security_incidents,
+        audit_recent_log,
+        security_incidents_log,
+        audit_traces_stored,
         tool_call_audit,
         span_attributes,
         sessions,
@@ -273,7 +305,28 @@ _ATTRIBUTES = " UNION ALL ".join(
     )
 )
 
+_IN_LOG = "CAST(ts AS DATE), event_id % 2, date_trunc('hour', ts), event_id"
+_FIELDS_IN_LOG = _FIELDS.replace(_iso("ts"), _iso("date_trunc('hour', ts)"))
+
 ORACLE = {
+    "audit_recent_log": with_views(
+        ["stamped"],
+        f"""SELECT {_FIELDS_IN_LOG} FROM (
+              SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_IN_LOG}) AS line FROM stamped)
+              ORDER BY line DESC LIMIT 100)
+            WHERE event_id % 17 <> 0""",
+    ),
+    "security_incidents_log": with_views(
+        ["stamped"],
+        f"""SELECT {_FIELDS_IN_LOG} FROM (
+              SELECT * FROM stamped WHERE event_id % 17 <> 0 AND (pii_detected OR exact_risk > 0.5)
+              ORDER BY {_IN_LOG} LIMIT 50)""",
+    ),
+    "audit_traces_stored": with_views(
+        ["activity"],
+        f"""SELECT event_id, {_iso('ts')} AS ts, action, risk_score FROM activity
+            WHERE trace_id IN (SELECT trace_id FROM activity WHERE status = 'error')""",
+    ),
     "audit_write": with_views(
         ["stamped"],
         f"""SELECT event_id, {_iso('ts')} AS timestamp, trace_id, action, risk_score, repo_path,

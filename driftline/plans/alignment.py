@@ -150,15 +150,14 @@ VIEWS["verdicts"] = (
 )
 VIEWS["judged"] = (
     [],
-    f"""SELECT doc_id, doc_id % 12 <> 0 AS parsed,
-          CASE WHEN doc_id % 12 <> 0 THEN doc_id % 20 = 0 OR doc_id % 8 <> 0 END AS judge_aligned,
-          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 20 <> 0 AND doc_id % 8 = 0
-            THEN 0.4::DOUBLE ELSE 1::DOUBLE END AS judge_score,
-          CASE WHEN doc_id % 12 = 0 THEN NULL WHEN doc_id % 20 <> 0 AND doc_id % 8 = 0
-            THEN {quote(fv.JUDGE_SCOPE_CREEP)} ELSE '' END AS judge_warnings,
-          CASE WHEN doc_id % 12 = 0 OR doc_id % 20 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN 'off topic'
-            ELSE 'matches' END AS judge_reason
-        FROM documents WHERE doc_id % 4 = 0""",
+    f"""SELECT doc_id, parsed, CASE WHEN parsed THEN aligned END AS judge_aligned,
+          CASE WHEN parsed AND aligned THEN 1::DOUBLE WHEN parsed THEN 0.4::DOUBLE END AS judge_score,
+          CASE WHEN parsed AND creep THEN {quote(fv.JUDGE_SCOPE_CREEP)} WHEN parsed THEN '' END AS judge_warnings,
+          CASE WHEN parsed THEN coalesce(nullif(left(text, 60), ''), {quote(fv.JUDGE_NO_REASON)}) END AS judge_reason
+        FROM (SELECT doc_id, text, doc_id % 6 <> 0 AS parsed, coalesce(quality = 1, TRUE) AS aligned,
+                coalesce(toxic = 1, FALSE) AS creep
+              FROM documents LEFT JOIN (
+                SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id))""",
 )
 # the redaction views over the pairs' diffs instead of the documents
 _DIFF_TEXTS = {

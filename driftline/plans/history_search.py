@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.terms import Vocabulary
-from driftline.operators import commit_index, search, vocabulary
+from driftline.operators import commit_index, search, term_index, vocabulary
 from driftline.plans.views import VIEWS, quote, with_views
 from driftline.session import scratch_path
-from driftline.sources import index_store
+from driftline.sources import gram_store, index_store
 from driftline.sources.derived import labelled_ids, raw_commits
 from driftline.sources.tables import text_table
 
@@ -208,6 +208,74 @@ def search_or_index(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search.search_or_index(raw_commits(spark, sf), None, None, QUERY, REPO))
 
 
+#: A query whose rarer words are in few commits.
+RARE_QUERY = "tests of thion endio lodon login"
+
+
+def _every_term(spark: SparkSession, sf: str) -> tuple[DataFrame, term_index.TermStatistics]:
+    """An index under all terms and its statistics, as an earlier run has written them."""
+    path = scratch_path(spark, "index")
+    commits = commit_index.projection(raw_commits(spark, sf))
+    term_index.save(term_index.fit(commits), f"{path}/statistics")
+    statistics = term_index.load(spark, f"{path}/statistics")
+    old = term_index.index_full(_indexed_history(spark, sf), statistics)
+    term_index.index_full(raw_commits(spark, sf), statistics, old).write.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index"), statistics
+
+
+def term_index_full(spark: SparkSession, sf: str) -> DataFrame:
+    index, _ = _every_term(spark, sf)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v["weight"] * F.length(v["term"]))
+    return index.select("commit_hash", "repo", F.size("vector").alias("terms"), F.round(total, 5).alias("weight_sum"))
+
+
+def term_index_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    known = commit_index.projection(_indexed_history(spark, sf))
+    new = term_index.index_incremental(raw_commits(spark, sf), known)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v["weight"] * F.length(v["term"]))
+    return new.select("commit_hash", "repo", F.size("vector").alias("terms"), F.round(total, 5).alias("weight_sum"))
+
+
+def search_all_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(term_index.find(*_every_term(spark, sf), RARE_QUERY, top_k=20))
+
+
+def search_all_terms_in_repo(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(term_index.find_or_index(raw_commits(spark, sf), *_every_term(spark, sf), RARE_QUERY, REPO, top_k=20))
+
+
+def search_all_terms_or_index(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(term_index.find_or_index(raw_commits(spark, sf), None, None, RARE_QUERY, REPO))
+
+
+def similar_all_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(term_index.similar_to(_every_term(spark, sf)[0], SOURCE_HASH, top_k=10))
+
+
+def similar_to_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources are the commits of every fiftieth document."""
+    sources = raw_commits(spark, sf).filter(F.col("doc_id") % 50 == 0).select("sha")
+    sources = sources.select(F.left("sha", F.lit(fv.HASH_CHARS)).alias("commit_hash"))
+    found = term_index.similar_to_many(_every_term(spark, sf)[0], sources)
+    return found.select("source_hash", "commit_hash", F.round("score", 6).alias("score"), "rank")
+
+
+def _patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of some texts, ends of some paths, and short and unknown ones."""
+    docs = raw_commits(spark, sf)
+    pieces = docs.filter(F.col("doc_id") % 20 == 7).select(F.lit("text").alias("field"), F.upper(F.substring("message", 30, 9)).alias("pattern"))
+    ends = docs.select(F.lit("path").alias("field"), F.substring(F.get("files", F.lit(0)), -6, 6).alias("pattern"))
+    few = spark.createDataFrame([("text", "xq"), ("text", "no such words"), ("path", "3.p"), ("path", ""), ("text", None)], "field string, pattern string")
+    return pieces.unionByName(ends).unionByName(few)
+
+
+def substring_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All patterns at once, from a stored index."""
+    path = scratch_path(spark, "grams")
+    gram_store.write(commit_index.projection(raw_commits(spark, sf)), path)
+    return gram_store.find(spark, path, _patterns(spark, sf))
+
+
 QUERIES = {
     "tokens": tokens,
     "vocabulary": vocabulary_terms,
@@ -237,6 +305,14 @@ QUERIES = {
             similar_commits,
             search_by_files,
             search_or_index,
+            term_index_full,
+            term_index_incremental,
+            search_all_terms,
+            search_all_terms_in_repo,
+            search_all_terms_or_index,
+            similar_all_terms,
+            similar_to_many,
+            substring_search,
         )
     },
 }
@@ -302,6 +378,15 @@ VIEWS["doc_terms"] = (
             (SELECT count(*) AS docs FROM documents)""",
 )
 VIEWS["all_weights"] = (["doc_tokens", "doc_terms"], _weights_view("doc_tokens", "doc_terms"))
+
+
+def _terms_view(toks: str, source: str) -> str:
+    """All terms of a token view with their idf; a term stands for its own number."""
+    return f"""SELECT term, term AS idx, ln((docs + 1) / (df + 1)) + 1 AS idf
+               FROM (SELECT term, count(DISTINCT key) AS df FROM {toks} GROUP BY term),
+                    (SELECT count(*) AS docs FROM {source})"""
+
+
 VIEWS["commit_texts"] = (
     ["commits"],
     """SELECT *, commit_hash AS key, message || ' ' || array_to_string(files, ' ') AS text
@@ -314,34 +399,40 @@ VIEWS["commit_tokens"] = (
 )
 VIEWS["words"] = (["commit_tokens"], _vocabulary_view("commit_tokens", "commits", "rank"))
 VIEWS["weights"] = (["commit_tokens", "words"], _weights_view("commit_tokens", "words"))
-_QUERY_WORDS = quote(QUERY.lower())
+VIEWS["commit_terms"] = (["commit_tokens"], _terms_view("commit_tokens", "commits"))
+VIEWS["commit_weights"] = (["commit_tokens", "commit_terms"], _weights_view("commit_tokens", "commit_terms"))
 
 
-def _query_weights(words: str) -> str:
+def _query_weights(words: str, query: str) -> str:
     return f"""SELECT idx, w / sqrt(sum(w * w) OVER ()) AS weight FROM (
                  SELECT idx, count(*) * idf AS w
-                 FROM (SELECT unnest({token_list(quote(QUERY))}) AS term)
+                 FROM (SELECT unnest({token_list(quote(query))}) AS term)
                  JOIN {words} USING (term) GROUP BY idx, idf)"""
 
 
-VIEWS["terms_matched"] = (
-    ["commit_texts"],
-    f"""SELECT *, list_sort(list_filter(list_distinct(string_split_regex({_QUERY_WORDS}, '\\s+')),
-          lambda w: length(w) > 2 AND contains(lower(text), w))) AS matched
-        FROM commit_texts""",
-)
+def _matched_view(query: str) -> tuple[list[str], str]:
+    return (
+        ["commit_texts"],
+        f"""SELECT *, list_sort(list_filter(list_distinct(string_split_regex({quote(query.lower())}, '\\s+')),
+              lambda w: length(w) > 2 AND contains(lower(text), w))) AS matched
+            FROM commit_texts""",
+    )
 
 
-def _search_sql(words: str, weights: str, where: str, k: int) -> str:
+VIEWS["terms_matched"] = _matched_view(QUERY)
+VIEWS["rare_terms_matched"] = _matched_view(RARE_QUERY)
+
+
+def _search_sql(words: str, weights: str, where: str, k: int, query: str = QUERY, matched: str = "terms_matched") -> str:
     return f"""SELECT commit_hash, message, author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
         array_to_string(files, '|') AS files, round(score, 3) AS score,
         array_to_string(matched, '|') AS matched_terms
       FROM (SELECT t.*, CASE WHEN len(matched) > 0
               THEN least(1.0::DOUBLE, coalesce(dot, 0) + len(matched) * 0.1::DOUBLE)
               ELSE coalesce(dot, 0) END AS score
-            FROM terms_matched t LEFT JOIN (
+            FROM {matched} t LEFT JOIN (
               SELECT w.key, sum(w.weight * q.weight) AS dot
-              FROM {weights} w JOIN ({_query_weights(words)}) q USING (idx) GROUP BY w.key) d
+              FROM {weights} w JOIN ({_query_weights(words, query)}) q USING (idx) GROUP BY w.key) d
             ON d.key = t.commit_hash)
       WHERE score >= 0.1 {where}
       ORDER BY round(score, 9) DESC, ts DESC, commit_hash LIMIT {k}"""
@@ -373,6 +464,10 @@ VIEWS["new_tokens"] = (
     ["commit_tokens", "new_commits"],
     "SELECT * FROM commit_tokens WHERE key IN (SELECT commit_hash FROM new_commits)",
 )
+VIEWS["new_terms"] = (["new_tokens"], _terms_view("new_tokens", "new_commits"))
+VIEWS["new_term_weights"] = (["new_tokens", "new_terms"], _weights_view("new_tokens", "new_terms"))
+VIEWS["repo_terms"] = (["repo_tokens"], _terms_view("repo_tokens", "newest_of_repo"))
+VIEWS["repo_term_weights"] = (["repo_tokens", "repo_terms"], _weights_view("repo_tokens", "repo_terms"))
 VIEWS["new_words"] = (["new_tokens"], _vocabulary_view("new_tokens", "new_commits", "rank"))
 VIEWS["new_weights"] = (["new_tokens", "new_words"], _weights_view("new_tokens", "new_words"))
 _FLAT = """commit_hash, author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
@@ -500,4 +595,71 @@ ORACLE = {
             5,
         ),
     ),
+    "term_index_full": with_views(
+        ["commit_weights", "known"],
+        """SELECT commit_hash, repo, CAST(coalesce(terms, 0) AS INTEGER) AS terms,
+             round(coalesce(weight_sum, 0), 5) AS weight_sum
+           FROM (SELECT * FROM commits UNION ALL
+                 SELECT * FROM known WHERE commit_hash NOT IN (SELECT commit_hash FROM commits)) c
+           LEFT JOIN (SELECT key, count(*) AS terms, sum(weight * length(term)) AS weight_sum
+                      FROM commit_weights GROUP BY key) w ON w.key = c.commit_hash""",
+    ),
+    "term_index_incremental": with_views(
+        ["new_term_weights", "new_commits"],
+        """SELECT commit_hash, repo, CAST(coalesce(terms, 0) AS INTEGER) AS terms,
+             round(coalesce(weight_sum, 0), 5) AS weight_sum
+           FROM new_commits c
+           LEFT JOIN (SELECT key, count(*) AS terms, sum(weight * length(term)) AS weight_sum
+                      FROM new_term_weights GROUP BY key) w ON w.key = c.commit_hash""",
+    ),
+    "search_all_terms": with_views(
+        ["commit_weights", "rare_terms_matched"],
+        _search_sql("commit_terms", "commit_weights", "", 20, RARE_QUERY, "rare_terms_matched"),
+    ),
+    "search_all_terms_in_repo": with_views(
+        ["commit_weights", "rare_terms_matched"],
+        _search_sql("commit_terms", "commit_weights", f"AND repo = '{REPO}'", 20, RARE_QUERY, "rare_terms_matched"),
+    ),
+    "search_all_terms_or_index": with_views(
+        ["repo_term_weights", "rare_terms_matched"],
+        _search_sql(
+            "repo_terms",
+            "repo_term_weights",
+            "AND commit_hash IN (SELECT commit_hash FROM newest_of_repo)",
+            5,
+            RARE_QUERY,
+            "rare_terms_matched",
+        ),
+    ),
+    "similar_all_terms": with_views(
+        ["commit_weights", "commits"],
+        f"""SELECT commit_hash, message, author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
+              array_to_string(files, '|') AS files, round(score, 3) AS score, '' AS matched_terms
+            FROM (SELECT o.key, sum(o.weight * s.weight) AS score
+                  FROM commit_weights o JOIN commit_weights s ON o.idx = s.idx
+                  WHERE s.key = '{SOURCE_HASH[:12]}' AND o.key <> s.key GROUP BY o.key) d
+            JOIN commits ON commit_hash = d.key WHERE score > 0.1
+            ORDER BY round(score, 9) DESC, commits.ts DESC, commit_hash LIMIT 10""",
+    ),
+    "similar_to_many": with_views(
+        ["commit_weights", "commits"],
+        """SELECT source_hash, commit_hash, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+             SELECT source_hash, commit_hash, score, row_number() OVER (
+                      PARTITION BY source_hash ORDER BY round(score, 9) DESC, c.ts DESC, commit_hash) AS rank
+             FROM (SELECT s.key AS source_hash, o.key, sum(o.weight * s.weight) AS score
+                   FROM commit_weights s JOIN commit_weights o ON o.idx = s.idx AND o.key <> s.key
+                   WHERE s.key IN (SELECT commit_hash FROM commits WHERE doc_id % 50 = 0) GROUP BY s.key, o.key) d
+             JOIN commits c ON c.commit_hash = d.key WHERE score > 0.1)
+           WHERE rank <= 10""",
+    ),
+    "substring_search": with_views(
+        ["commit_texts"],
+        """SELECT DISTINCT field, lower(pattern) AS pattern, commit_hash
+           FROM (SELECT 'text' AS field, lower(substr(message, 30, 9)) AS pattern FROM raw_commits WHERE doc_id % 20 = 7
+                 UNION SELECT 'path', lower(right(files[1], 6)) FROM raw_commits
+                 UNION SELECT 'text', 'xq' UNION SELECT 'path', '3.p')
+           JOIN commit_texts ON (field = 'text' AND contains(lower(text), pattern))
+             OR (field = 'path' AND len(list_filter(files, lambda f: contains(lower(f), pattern))) > 0)
+           WHERE pattern <> ''""",
+    ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTRY = (
@@ -48,14 +48,33 @@ def to_line() -> Column:
     )
 
 
-def write(entries: DataFrame, path: str) -> None:
+def write(entries: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Append entries below ``path``, one folder per day.
 
     The rebalance hint lets Spark split a crowded day over several files and
-    merge quiet ones, instead of one file per task and day.
+    merge quiet ones, instead of one file per task and day. With ``order`` the
+    files of a day hold ranges of it, so the lines of an append stand in that
+    order within each day.
     """
-    lines = entries.select(to_line().alias("value"), F.to_date("ts").alias("day"))
-    lines.hint("rebalance", "day").write.mode("append").partitionBy("day").text(path)
+    write_lines(entries.withColumn("value", to_line()), path, order)
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Append the texts in ``value`` as lines, by the day of ``ts``; see :func:`write`."""
+    kept = order or []
+    dated = lines.select("value", F.to_date("ts").alias("day"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)])
+    if order:
+        keys = ["day", *[f"__{i}" for i in range(len(kept))]]
+        dated = dated.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value", "day")
+    else:
+        dated = dated.hint("rebalance", "day")
+    dated.write.mode("append").partitionBy("day").text(path)
+
+
+def write_clustered(entries: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Store entries as a table bucketed and sorted by trace, for joins on the trace that do not move the log."""
+    rows = entries.repartition(buckets, "trace_id")
+    rows.write.bucketBy(buckets, "trace_id").sortBy("trace_id").option("path", path).mode("overwrite").saveAsTable(name)
 
 
 def parse(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -88,3 +107,77 @@ def parse(lines: DataFrame, line: str = "value") -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All entries below ``path``."""
     return parse(spark.read.text(path).select("value"))
+
+
+# --- the order of the log ------------------------------------------------------
+
+#: The place of a line: its day, its append, its file and its place there.
+PLACE = ["day", "appended", "file", "start", "line_no"]
+_FILE = r"(?:day=(\d{4}-\d\d-\d\d)/)?(part-\d+)-([^/.]*)[^/]*$"
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a log in its order: day, then append, then the files of an append as it numbered them.
+
+    Only the listing is read. An append is as old as the oldest of its files;
+    files of other names come by their own age.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*")
+    rows = listed.load(path).select("path", F.unix_micros("modificationTime").alias("written"), "length")
+    part = lambda i: F.regexp_extract("path", _FILE, i)
+    job = F.when(part(3) != "", part(3)).otherwise(F.col("path"))
+    rows = rows.select("path", "written", "length", part(1).alias("day"), job.alias("job"))
+    oldest = F.min("written").over(Window.partitionBy("day", "job"))
+    # an append has one row of a day's listing for each of its files, so the window is small
+    return rows.select("path", "length", "day", oldest.alias("appended"))
+
+
+def ordered_lines(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """The lines of some files of :func:`files` with their PLACE in the log, malformed and empty ones too.
+
+    Spark reads a file in splits, each from its first line on; the running row
+    number of a task orders the lines of a split.
+    """
+    chosen = [r["path"] for r in listed.select("path").collect()]
+    if not chosen:
+        return spark.createDataFrame([], "value string, day string, appended bigint, file string, start bigint, line_no bigint")
+    lines = spark.read.text(chosen).select(
+        "value",
+        _plain_path("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line_no"),
+    )
+    known = listed.select(_plain_path("path").alias("file"), "day", "appended")
+    return lines.join(known, "file").select("value", *PLACE)
+
+
+def _plain_path(name: str) -> Column:
+    """A path as both listings and rows give it: local ones without a scheme, no characters escaped."""
+    return F.url_decode(F.replace(F.regexp_replace(name, "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+
+
+def _some(listed: DataFrame, n: int, newest: bool) -> DataFrame:
+    order = [F.col("day"), F.col("appended"), F.col("path")]
+    return listed.orderBy(*[c.desc() for c in order] if newest else order).limit(n)
+
+
+def last_lines(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The last ``limit`` lines of a log with their PLACE; opens the last files only, twice as many until they suffice."""
+    listed, n = files(spark, path), 1
+    total = listed.count()
+    while True:
+        lines = ordered_lines(spark, _some(listed, n, newest=True))
+        if n >= total or lines.limit(limit).count() >= limit:
+            return lines.orderBy(*[F.desc(c) for c in PLACE]).limit(limit)
+        n *= 2
+
+
+def first_entries(spark: SparkSession, path: str, wanted: Column, limit: int) -> DataFrame:
+    """The first ``limit`` entries of a log that fulfil ``wanted``, with their PLACE; opens files from the front until they suffice."""
+    listed, n = files(spark, path), 1
+    total = listed.count()
+    while True:
+        found = parse(ordered_lines(spark, _some(listed, n, newest=False))).filter(wanted)
+        if n >= total or found.limit(limit).count() >= limit:
+            return found.orderBy(*PLACE).limit(limit)
+        n *= 2

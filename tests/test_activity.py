@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline import fixed_values as fv
 from driftline.functions.carry import carry_forward
 from driftline.operators import audit, sessions as ses
+from driftline.session import settings
 from driftline.sources import audit_log
 
 ENTRY = (
@@ -53,6 +54,69 @@ def test_write_and_read(spark, entries, tmp_path):
     assert (defaults.risk_score, defaults.pii_detected, defaults.status, defaults.metadata) == (0.0, False, "ok", {})
 
 
+def log_of(spark, path, appends):
+    """Write texts as lines of a log, one append after the other, each in several files, and give them in their order."""
+    schema = "ts timestamp, n int, value string"
+    for number, lines in enumerate(appends):
+        rows = [(NOON + dt.timedelta(days=n % 2), n, line) for n, line in enumerate(lines)]
+        audit_log.write_lines(spark.createDataFrame(rows, schema).repartition(3), path, ["n"])
+    return [line for day in (0, 1) for lines in appends for n, line in enumerate(lines) if n % 2 == day]
+
+
+def test_lines_of_a_log_have_an_order(spark, tmp_path):
+    path = str(tmp_path / "a log + more")
+    appends = [[f"{k} {i}" * (i % 5) for i in range(60)] for k in "xy"]
+    want = log_of(spark, path, appends)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "60"}):  # files in several splits
+        listed = audit_log.files(spark, path)
+        assert listed.count() >= 4
+        rows = audit_log.ordered_lines(spark, listed).orderBy(*audit_log.PLACE).collect()
+        assert [r.value for r in rows] == want
+        last = audit_log.last_lines(spark, path, 7).orderBy(*audit_log.PLACE).collect()
+        assert [r.value for r in last] == want[-7:]
+        assert [r.value for r in audit_log.last_lines(spark, path, 1_000).orderBy(*audit_log.PLACE).collect()] == want
+
+
+def test_recent_entries_and_incidents_in_the_order_of_the_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    line = '{"timestamp": "2024-01-01T00:00:00+00:00", "trace_id": "t", "action": "%s", "agent_id": "g", "risk_score": %s}'
+    texts = [["{broken" if i % 5 == 0 else line % (f"{k}{i}", 0.9 if i % 3 == 0 else 0.1) for i in range(40)] for k in "xy"]
+    want = [json.loads(t) for t in log_of(spark, path, texts) if t != "{broken"]
+    everything = log_of(spark, str(tmp_path / "copy"), texts)
+    got = [r.action for r in audit.recent_in_log(spark, path, 10).collect()]
+    assert got == [json.loads(t)["action"] for t in everything[-10:] if t != "{broken"]
+    incidents = [e["action"] for e in want if e["risk_score"] > 0.5]
+    assert [r.action for r in audit.incidents_in_log(spark, path, 6).collect()] == incidents[:6]
+    assert [r.action for r in audit.incidents_in_log(spark, path, 999).collect()] == incidents
+
+
+def test_a_tail_opens_the_last_files_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    for day in range(4):
+        rows = [(NOON + dt.timedelta(days=day), i, f"{day} {i}") for i in range(20)]
+        audit_log.write_lines(spark.createDataFrame(rows, "ts timestamp, n int, value string").coalesce(1), path, ["n"])
+    opened, whole = [], audit_log.ordered_lines
+
+    def recorded(spark, listed):
+        opened.extend(r.day for r in listed.collect())
+        return whole(spark, listed)
+
+    monkeypatch.setattr(audit_log, "ordered_lines", recorded)
+    assert audit_log.last_lines(spark, path, 5).count() == 5
+    assert opened == ["2024-01-04"]
+
+
+def test_a_log_stored_by_trace_stays_where_it_is(spark, entries, tmp_path):
+    audit_log.write_clustered(entries, "log_of_test", str(tmp_path / "log"), 4)
+    some = spark.createDataFrame([("t2",), ("t1",), ("t2",)], "trace_id string")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        found = audit.of_stored_traces(spark, "log_of_test", some)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 3
+    assert "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "log_of_test" not in plan[plan.index("Exchange") :]
+
+
 def test_recent_counts_broken_lines(spark, entries):
     good = audit_log.to_line()
     lines = entries.select(F.unix_micros("ts").alias("n"), F.when(F.col("status") == "error", "{").otherwise(good).alias("line"))
@@ -187,6 +251,15 @@ def test_events_without_a_time_are_kept(spark):
     assert {r.event_id: r.session_id is not None for r in out} == {1: False, 2: True, 3: True}
 
 
+def test_many_events_without_a_time_are_dealt_by_their_numbers(spark):
+    kinds = {0: "start", 70_000: "end", 200_000: "start"}
+    rows = [("a", i, None, kinds.get(i, "call"), "t") for i in range(0, 300_000, 10_000)] + [("a", None, None, "call", "t")]
+    out = ses.session_stamp(spark.createDataFrame(rows, EVENT)).collect()
+    inside = {r.event_id for r in out if r.session_id is not None}
+    assert inside == {i for i in range(0, 300_000, 10_000) if i <= 70_000 or i >= 200_000}
+    assert len({r.session_id for r in out}) == 3
+
+
 def test_info_and_end_report(spark):
     events = random_events(300, 3) + [("solo", 9000, NOON, "call", "tool:p"), ("", 9001, NOON, "start", "tool:p")]
     stamped = ses.session_stamp(spark.createDataFrame(events, EVENT))

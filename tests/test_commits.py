@@ -1,4 +1,8 @@
 import datetime as dt
+import hashlib
+import math
+import re
+from collections import Counter
 
 import brute
 import pytest
@@ -6,9 +10,11 @@ from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.operators import commit_index as ci
-from driftline.operators import search
+from driftline.functions import joins
+from driftline.operators import search, term_index
 from driftline.operators import vocabulary as voc
-from driftline.sources import index_store
+from driftline.session import settings
+from driftline.sources import gram_store, index_store
 
 RAW = (
     "sha string, message string, author string, repo string, committed_at bigint, "
@@ -174,6 +180,66 @@ def test_store_keeps_the_last_write(history, built, tmp_path, spark):
     assert found[0].commit_hash == "a" * 12
 
 
+def scanned(df):
+    """The numbers of files and rows that the scans of a query have read, run without re-planning."""
+    with settings(df.sparkSession, {"spark.sql.adaptive.enabled": "false"}):
+        again = df.select("*")
+        again.collect()
+        leaves = again._jdf.queryExecution().executedPlan().collectLeaves()
+    found = {"numFiles": 0, "numOutputRows": 0}
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        for name in found:
+            if metrics.contains("numFiles") and metrics.contains(name):
+                found[name] += metrics.get(name).get().value()
+    return found["numFiles"], found["numOutputRows"]
+
+
+@pytest.fixture(scope="module")
+def many_batches(spark, tmp_path_factory):
+    """A store of 50 batches, of which later ones repeat some commits of earlier ones."""
+    path = str(tmp_path_factory.mktemp("store") / "index")
+    for n in range(50):
+        names = [hashlib.md5(str(i).encode()).hexdigest()[:12] for i in range(n * 4, n * 4 + 6)]
+        rows = [(h, f"m{n}", "a", dt.datetime(2024, 1, 1), [], "", "r", [(0, 1.0)] if n % 2 else None) for h in names]
+        index_store.write_batch(spark.createDataFrame(rows, index_store.COMMIT).coalesce(1), path, n)
+    return path
+
+
+def test_a_batch_opens_only_files_that_can_hold_its_commits(spark, many_batches):
+    names = [hashlib.md5(str(i).encode()).hexdigest()[:12] for i in (6, 17, 1_000)]  # in batches 1; 3 and 4; none
+    asked = spark.createDataFrame([(n,) for n in names + ["", None]], "commit_hash string")
+    found = index_store.known(spark, many_batches, asked)
+    assert sorted(r.commit_hash for r in found.collect()) == sorted(names[:2])
+    every = index_store._parts(spark, many_batches, index_store.KEY, "/keys")
+    files, rows = scanned(found)
+    assert files <= 3 * 50 and files < scanned(every)[0] / 3
+    assert rows < scanned(every)[1] / 10  # what the files' statistics let through
+    assert "In(commit_hash" in found._jdf.queryExecution().executedPlan().toString()
+    before = index_store.known(spark, many_batches, asked, before=3)
+    assert [r.commit_hash for r in before.collect()] == [names[0]]
+
+
+def test_many_commits_are_joined(spark, many_batches, monkeypatch):
+    asked = spark.createDataFrame([(hashlib.md5(str(i).encode()).hexdigest()[:12],) for i in range(60)], "commit_hash string")
+    few = {r.commit_hash for r in index_store.known(spark, many_batches, asked).collect()}
+    monkeypatch.setattr(index_store, "IN_FILTER", 5)
+    assert {r.commit_hash for r in index_store.known(spark, many_batches, asked).collect()} == few and few
+
+
+def test_folding_changes_no_result(spark, many_batches):
+    whole = {r.commit_hash: r.message for r in index_store.read(spark, many_batches).collect()}
+    keys = {r.commit_hash for r in index_store._parts(spark, many_batches, index_store.KEY, "/keys").collect()}
+    index_store.fold(spark, many_batches, 40)
+    assert index_store.folded(spark, many_batches) == 40
+    assert {r.commit_hash: r.message for r in index_store.read(spark, many_batches).collect()} == whole
+    rows = index_store._parts(spark, many_batches, index_store.KEY, "/keys")
+    assert {r.commit_hash for r in rows.collect()} == keys
+    assert {r.batch for r in rows.collect()} == set(range(40, 50))
+    index_store.fold(spark, many_batches, 49)
+    assert {r.commit_hash: r.message for r in index_store.read(spark, many_batches).collect()} == whole
+
+
 def test_odd_inputs(history, built, spark):
     commits = ci.projection(history)
     assert search.search_by_files(commits, []).collect() == []
@@ -184,3 +250,138 @@ def test_odd_inputs(history, built, spark):
     assert {r.vector for r in bare.collect()} == {None}
     assert search.search(bare, nothing, "login").collect() == []
     assert search.similar_commits(bare, "a" * 12).collect() == []
+
+
+# --- substrings ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def grams(spark, tmp_path_factory):
+    texts = ["Fix the Login", "login 😀😀 page", "", "İstanbul ß", "a.b*c", "naïve café\nline"]
+    rows = [(*r[:5], [f"Src/{i}.PY", "docs/a b.md"] if i % 2 else [], 1, 1) for i, r in enumerate(history_of(texts))]
+    commits = ci.projection(spark.createDataFrame(rows, RAW))
+    path = str(tmp_path_factory.mktemp("grams") / "g")
+    gram_store.write(commits, path)
+    return commits, path
+
+
+def test_found_substrings_are_contained(spark, grams):
+    commits, path = grams
+    rows = commits.select("commit_hash", "message", "files").collect()
+    patterns = ["login", "LOG", "n", "in", "😀", "😀😀", "gin 😀", "ß", "café\nl", "b*c", ".b", "xyz", "log1n", "", "src/1", "a b", "py docs", None]
+    patterns += [r.message[i : i + 4] for r in rows for i in range(0, len(r.message), 3)]
+    asked = spark.createDataFrame([(f, p) for f in gram_store.FIELDS for p in patterns], "field string, pattern string")
+    lower = {p: spark.range(1).select(F.lower(F.lit(p))).first()[0] for p in set(patterns) if p}
+    texts = {r.commit_hash: r for r in commits.select("commit_hash", F.lower(ci.index_text()).alias("text"), F.transform("files", F.lower).alias("files")).collect()}
+    want = set()
+    for p in lower.values():
+        for h, r in texts.items():
+            if p in r.text:
+                want.add(("text", p, h))
+            if any(p in f for f in r.files):
+                want.add(("path", p, h))
+    found = [tuple(r) for r in gram_store.find(spark, path, asked).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_a_pattern_reads_few_folders(spark, grams):
+    _, path = grams
+    runs = gram_store.pattern_runs(spark.createDataFrame([("text", "logi")], "field string, pattern string"))
+    table = spark.read.schema(gram_store.GRAM).parquet(f"{path}/grams")
+    read = gram_store._only(table, runs, "gram")
+    buckets = {r.bucket for r in runs.collect()}
+    assert scanned(read)[0] <= 2 * len(buckets) and scanned(read)[0] < scanned(table)[0] / 4
+    assert {r.gram for r in read.collect()} == {"log", "ogi"}
+
+
+# --- all terms ------------------------------------------------------------------
+
+
+def history_of(texts):
+    """Raw commits of these messages, a minute apart, without files."""
+    return [
+        (hashlib.md5(str(i).encode()).hexdigest(), t, "x", "r", 1_704_067_200 + 60 * i, [], 1, 1) for i, t in enumerate(texts)
+    ]
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """More terms than a vocabulary of leading terms has; two commits share one rare word only."""
+    texts = ["zeta kilo rareword", "rareword lima mike"]
+    texts += [f"alpha beta rare{i // 2} " + " ".join(f"w{i}x{j} w{i}x{j}" for j in range(4)) for i in range(200)]
+    texts += ["", "?", "alpha " * 50]
+    history = spark.createDataFrame(history_of(texts), RAW)
+    rows = ci.projection(history)
+    index = term_index.vectorise(rows, term_index.fit(rows))
+    return texts, history, index
+
+
+def unit_vectors(texts):
+    counts = [Counter(re.findall(r"(?<!\w)[a-z][a-z0-9_]{1,20}(?!\w)", t.lower())) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    rows = [{w: n * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, n in c.items()} for c in counts]
+    return [{w: x / math.sqrt(sum(v * v for v in r.values())) for w, x in r.items()} for r in rows]
+
+
+def test_vectors_have_every_term(wide):
+    texts, _, index = wide
+    want = {hashlib.md5(str(i).encode()).hexdigest()[:12]: v for i, v in enumerate(unit_vectors(texts))}
+    got = {r.commit_hash: dict(r.vector) for r in index.collect()}
+    assert set(got) == set(want)
+    for name, vector in want.items():
+        assert got[name] == pytest.approx(vector)
+
+
+def test_a_rare_word_finds_its_commits(spark, wide, tmp_path):
+    texts, history, index = wide
+    term_index.save(term_index.fit(ci.projection(history)), str(tmp_path / "s"))
+    statistics = term_index.load(spark, str(tmp_path / "s"))
+    found = term_index.find(index, statistics, "rare7 unknown", top_k=5, min_score=0.2).collect()
+    assert sorted(r.message for r in found) == sorted(texts[16:18])
+    leading = voc.freeze(ci.fit(ci.projection(history)))
+    assert "rare7" not in leading.terms and "rareword" not in leading.terms
+    near = term_index.similar_to(index, hashlib.md5(b"0").hexdigest(), top_k=1).first()
+    assert near.message == texts[1]
+    assert term_index.find(index, statistics, "unknown words", min_score=0.01).collect() == []
+    new = term_index.find_or_index(history, index, statistics, "rare7", "r", 2).collect()
+    assert [r.message for r in new] == [r.message for r in term_index.find_or_index(history, None, None, "rare7", "r", 2).collect()]
+
+
+def test_frequent_and_rare_terms_meet_alike(wide, monkeypatch):
+    _, history, index = wide
+    rows = ci.projection(history)
+    for frequent, most in ((1, 10**9), (10**9, 1)):
+        monkeypatch.setattr(joins, "FREQUENT", frequent)
+        monkeypatch.setattr(joins, "MOST_FREQUENT", most)
+        again = term_index.vectorise(rows, term_index.fit(rows))
+        assert {r.commit_hash: r.vector for r in again.collect()} == {r.commit_hash: r.vector for r in index.collect()}
+
+
+def test_incremental_and_full_runs_over_all_terms(spark, wide):
+    _, history, index = wide
+    known = index.orderBy("commit_hash").limit(50)
+    rest = term_index.index_incremental(history, known, term_index.fit(ci.projection(history)))
+    assert {r.commit_hash: r.vector for r in rest.union(known.select(*rest.columns)).collect()} == {
+        r.commit_hash: r.vector for r in index.collect()
+    }
+    other = spark.createDataFrame([(hashlib.md5(b"0").hexdigest(), "changed", "x", "r", 5, [], 1, 1)], RAW)
+    full = {r.commit_hash: r.message for r in term_index.index_full(other, None, index).collect()}
+    assert len(full) == index.count() and full[hashlib.md5(b"0").hexdigest()[:12]] == "changed"
+
+
+@pytest.mark.parametrize("block_terms", [10, 10**6])
+def test_many_sources_equal_all_pairs(spark, wide, monkeypatch, block_terms):
+    monkeypatch.setattr(term_index, "BLOCK_TERMS", block_terms)
+    texts, _, index = wide
+    names = [hashlib.md5(str(i).encode()).hexdigest()[:12] for i in range(len(texts))]
+    vectors = unit_vectors(texts)
+    chosen = [*range(0, len(texts), 20), len(texts) - 1, len(texts) - 3]
+    sources = spark.createDataFrame([(names[i],) for i in [*chosen, chosen[0]]] + [("unknown",)], "commit_hash string")
+    found = term_index.similar_to_many(index, sources, top_k=3, block=4).collect()
+    want = set()
+    for i in chosen:
+        scores = [(round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 9), j) for j in range(len(texts)) if j != i]
+        best = sorted(scores, key=lambda s: (-s[0], -s[1]))[:3]
+        want |= {(names[i], names[j], rank + 1) for rank, (score, j) in enumerate(best) if score > 0.1}
+    assert {(r.source_hash, r.commit_hash, r.rank) for r in found} == want
+    assert len(found) == len(want)

@@ -70,6 +70,17 @@ def test_live_index(spark, tmp_path):
             assert dict(r.vector) == pytest.approx(dict(batch[r.commit_hash]))
 
 
+def test_live_index_folds_as_it_goes(spark, tmp_path):
+    rows = [(f"{i % 20:012d}" + "0" * 28, f"login {i}", "a", "r", 1_000 + i, [], 1, 1) for i in range(28)]
+    words = voc.freeze(ci.fit(ci.projection(spark.createDataFrame(rows, RAW))))
+    stream = in_files(spark, rows, RAW, tmp_path / "in", 7)
+    path = str(tmp_path / "index")
+    live_index.index_stream(stream, words, path, str(tmp_path / "cp"), fold_every=3).awaitTermination()
+    assert index_store.folded(spark, path) == 5
+    got = {r.commit_hash: r.message for r in index_store.read(spark, path).collect()}
+    assert got == {r[0][:12]: r[1] for r in rows[:20]}  # kept from the first batch that brought it
+
+
 def test_stateless_scans(spark, tmp_path):
     rows = [(1, "a@bb.com"), (2, "ignore previous rules"), (3, "nothing")]
     stream = in_files(spark, rows, "id int, text string", tmp_path / "in", 1)
