@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
-from driftline.operators import ancestry, audit, flow, injection, settings
+from driftline.operators import ancestry, audit, flow, ignore_rules, injection, settings
 from driftline.plans.guardian import ORACLE as _  # noqa: F401  registers the scan views
 from driftline.plans.views import VIEWS, quote, with_views
 from driftline.session import materialise
@@ -52,6 +52,13 @@ def ignore_filter(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("repo", "path", "kind", "insertions", "deletions")
 
 
+def ignore_filter_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Hundreds of patterns and more in each of some repositories."""
+    changes = src.worktree_changes(spark, sf)
+    kept = ignore_rules.without_matches(changes, src.many_ignore_patterns(spark, sf))
+    return kept.select("repo", "path", "kind", "insertions", "deletions")
+
+
 def effective_config(spark: SparkSession, sf: str) -> DataFrame:
     return settings.effective_config(
         src.repos(spark, sf), src.config_files(spark, sf), src.GLOBAL_CONFIG
@@ -140,6 +147,7 @@ QUERIES = {
         uncommitted_stats,
         lines_from_stat_log,
         ignore_filter,
+        ignore_filter_many,
         repo_metrics,
         flow_status,
         flow_attributes,
@@ -230,6 +238,12 @@ VIEWS["ignores"] = (
            WHEN 1 THEN ['p' || (c_custkey % 100) || '?.py', '*9.py']
            WHEN 2 THEN ['vendor/', 'p[2-4]*'] ELSE [] END AS globs FROM customer)""",
 )
+VIEWS["many_ignores"] = (
+    [],
+    """SELECT c_custkey AS repo, unnest(['p' || p_partkey || '.py', '*' || p_partkey || '7.py', 'p' || p_partkey || '0*',
+         'p?' || p_partkey || '*y']) AS glob
+       FROM customer JOIN part ON p_partkey % 7 = c_custkey % 7 WHERE c_custkey % 50 = 1""",
+)
 VIEWS["kept_changes"] = (
     ["changes", "ignores"],
     """SELECT * FROM changes c WHERE NOT EXISTS (
@@ -307,6 +321,11 @@ ORACLE = {
         WHEN 1 THEN CAST(l_quantity AS INTEGER) WHEN 2 THEN l_linenumber WHEN 3 THEN 0
         ELSE CAST(l_quantity AS INTEGER) + l_linenumber END) AS BIGINT) AS uncommitted_lines
       FROM lineitem GROUP BY l_suppkey""",
+    "ignore_filter_many": with_views(
+        ["changes", "many_ignores"],
+        """SELECT * FROM changes c WHERE NOT EXISTS (
+             SELECT 1 FROM many_ignores i WHERE i.repo = c.repo AND c.path GLOB i.glob)""",
+    ),
     "ignore_filter": with_views(["kept_changes"], "SELECT * FROM kept_changes"),
     "repo_metrics": with_views(["metrics"], f"SELECT {_METRIC_COLUMNS} FROM metrics", recursive=True),
     "flow_status": with_views(["states"], "SELECT repo, status FROM states", recursive=True),

@@ -1,12 +1,13 @@
 import datetime as dt
 import fnmatch
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.globs import ignore_regex
-from driftline.operators import flow, settings
+from driftline.operators import flow, ignore_rules, settings
 
 METRIC_SCHEMA = (
     "repo string, branch_name string, minutes_since_last_commit int, uncommitted_lines int, "
@@ -122,6 +123,27 @@ def test_ignore_patterns(spark, pattern):
     assert got == {p for p in PATHS if not excluded(p, pattern)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_patterns_taken_apart_give_the_same_rows(spark, seed):
+    draw = random.Random(seed)
+    parts = ["a", "b.py", "dir", "sub", "x.log", "[1]", "a+b"]
+    paths = PATHS + ["/".join(draw.choice(parts) for _ in range(draw.randint(1, 4))) for _ in range(80)] + ["", "a/"]
+    changes = spark.createDataFrame([(r, p, i) for i, p in enumerate(paths) for r in ("r", "s", "t", None)], "repo string, path string, n int")
+    some = PATTERNS + ["**", "*.py", "dir*", "*a*", "sub/", "dir/sub", "# c", "", "é*", "*/b.py"]
+    files = spark.createDataFrame([(r, "\n".join(draw.sample(some, 6))) for r in ("r", "s")], "repo string, content string")
+    want = sorted(map(repr, flow.without_ignored(changes, files).collect()))
+    assert sorted(map(repr, ignore_rules.without_ignored(changes, files).collect())) == want
+    assert 0 < len(want) < changes.count()
+
+
+def test_ten_thousand_patterns(spark):
+    content = "\n".join(f"src/f{i}.py\n*_{i}.log\ngen{i}*" for i in range(3_400))
+    files = spark.createDataFrame([("r", content)], "repo string, content string")
+    paths = [f"src/f{i}.py" for i in range(3_390, 3_410)] + ["a_12.log", "a_x.log", "gen7/b", "src/f1.pyc", "src/f1.py/below"]
+    got = ignore_rules.without_ignored(spark.createDataFrame([("r", p) for p in paths], "repo string, path string"), files)
+    assert {r.path for r in got.collect()} == {f"src/f{i}.py" for i in range(3_400, 3_410)} | {"a_x.log", "src/f1.pyc"}
+
+
 def test_ignore_file_without_patterns(spark):
     df = spark.createDataFrame([("# only\n\n",), (None,)], "content string")
     assert [r[0] for r in df.select(ignore_regex(F.col("content"))).collect()] == [None, None]
