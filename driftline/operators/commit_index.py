@@ -66,14 +66,15 @@ def latest(rows: DataFrame, order: Column) -> DataFrame:
     return kept.select("commit_hash", *[f"r.{c}" for c in rest])
 
 
+def newest_first() -> Column:
+    """A number that orders commits: time in seconds, newest first, then the hash."""
+    number = lambda c: c.cast("decimal(38,0)")
+    return number(-F.unix_timestamp("ts")) * number(F.lit(16**fv.HASH_CHARS)) + number(F.conv("commit_hash", 16, 10))
+
+
 def fit(commits: DataFrame, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
     """Vocabulary of a set of commits, newest commit first."""
-    docs = commits.withColumn("text", index_text())
-    # commit time in seconds, then the hash, as one number
-    number = lambda c: c.cast("decimal(38,0)")
-    newest_first = number(-F.unix_timestamp("ts")) * number(F.lit(16**fv.HASH_CHARS))
-    rank = newest_first + number(F.conv("commit_hash", 16, 10))
-    return voc.fit(docs, rank, size=size)
+    return voc.fit(commits.withColumn("text", index_text()), newest_first(), size=size)
 
 
 def vectorise(commits: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:

@@ -33,25 +33,25 @@ def weights(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return scaled.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
-def fit(
-    docs: DataFrame, rank: Column, text: str = "text", size: int = fv.VOCABULARY_SIZE
-) -> DataFrame:
-    """The ``size`` leading terms: technical terms first, then by count.
+def places(rank: Column) -> Column:
+    """The number of a text's first place among the places of all texts in the order of ``rank``."""
+    return (rank.cast("decimal(25,0)") * F.lit(_PLACES)).cast("decimal(38,0)")
 
-    Equal counts are ordered by first appearance, so ``rank`` must number the
-    texts uniquely (a whole number of at most 82 bits). Counts, document counts
-    and first places come from a single pass. All three are plain numbers, which
-    lets Spark combine them in a hash table before the shuffle; only the top
-    ``size`` terms leave the sort.
+
+def statistics(docs: DataFrame, rank: Column, text: str = "text") -> DataFrame:
+    """For every term how often it occurs (``n``), in how many texts (``df``), and its ``first`` place.
+
+    Counts, document counts and first places come from a single pass. All three
+    are plain numbers, which lets Spark combine them in a hash table before the
+    shuffle.
     """
-    at = (rank.cast("decimal(25,0)") * F.lit(_PLACES)).cast("decimal(38,0)")
-    words = docs.select(at.alias("at"), tokens(F.col(text)).alias("words"))
+    words = docs.select(places(rank).alias("at"), tokens(F.col(text)).alias("words"))
     both = F.array(F.col("words"), F.array_distinct("words"))
     rows = words.select("at", F.posexplode_outer(both).alias("distinct", "words")).select(
         "at", "distinct", F.posexplode_outer("words").alias("pos", "term")
     )
     every = F.col("distinct") == 0
-    stats = (
+    return (
         rows.filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(
@@ -60,6 +60,10 @@ def fit(
             F.min(F.when(every, (F.col("at") + F.col("pos")).cast("decimal(38,0)"))).alias("first"),
         )
     )
+
+
+def leading(stats: DataFrame, corpus_size: int, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
+    """The ``size`` leading terms of term statistics: technical terms first, then by count, then by first place."""
     tech = F.col("term").isin(fv.TECH_TERMS)
     top = stats.orderBy(F.desc(tech), F.desc("n"), "first").limit(size)
     # at most ``size`` rows from here on
@@ -67,10 +71,20 @@ def fit(
     ranked = top.agg(F.sort_array(F.collect_list(entry)).alias("terms")).select(
         F.posexplode("terms").alias("idx", "v")
     )
-    corpus_size = docs.agg(F.count("*")).scalar()
-    return ranked.select(
-        "idx", "v.term", "v.n", "v.df", idf(corpus_size, F.col("v.df")).alias("idf")
-    )
+    weight = idf(F.lit(corpus_size), F.col("v.df"))
+    return ranked.select("idx", "v.term", "v.n", "v.df", weight.alias("idf"))
+
+
+def fit(
+    docs: DataFrame, rank: Column, text: str = "text", size: int = fv.VOCABULARY_SIZE
+) -> DataFrame:
+    """The ``size`` leading terms: technical terms first, then by count.
+
+    Equal counts are ordered by first appearance, so ``rank`` must number the
+    texts uniquely (a whole number of at most 82 bits). Only the top ``size``
+    terms leave the sort.
+    """
+    return leading(statistics(docs, rank, text), docs.count(), size)
 
 
 def freeze(vocabulary: DataFrame, size: int = fv.VOCABULARY_SIZE) -> Vocabulary:

@@ -12,7 +12,7 @@ from driftline.functions.terms import Vocabulary
 from driftline.operators import commit_index, search, term_index, vocabulary
 from driftline.plans.views import VIEWS, quote, with_views
 from driftline.session import scratch_path
-from driftline.sources import gram_store, index_store
+from driftline.sources import gram_store, index_store, term_store
 from driftline.sources.derived import labelled_ids, raw_commits
 from driftline.sources.tables import text_table
 
@@ -269,6 +269,18 @@ def _patterns(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.unionByName(ends).unionByName(few)
 
 
+def vocabulary_by_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches: some commits with other texts than they have in the end, the rest, and the first ones as they are."""
+    commits = commit_index.latest(commit_index.projection(raw_commits(spark, sf)), F.struct("repo", "ts"))
+    kind = F.pmod(F.conv(F.left("commit_hash", F.lit(4)), 16, 10).cast("bigint"), F.lit(4))
+    early = commits.withColumn("message", F.when(kind == 0, F.reverse(F.left("message", F.lit(300)))).otherwise(F.col("message")))
+    path = scratch_path(spark, "terms")
+    term_store.add_batch(early.filter(kind < 2), path, 0)
+    term_store.add_batch(commits.filter(kind >= 2), path, 1)
+    term_store.add_batch(commits.filter(kind == 0), path, 2)
+    return term_store.vocabulary_after(spark, path, 2).withColumn("idf", F.round("idf", 6))
+
+
 def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     """All patterns at once, from a stored index."""
     path = scratch_path(spark, "grams")
@@ -313,6 +325,7 @@ QUERIES = {
             similar_all_terms,
             similar_to_many,
             substring_search,
+            vocabulary_by_batches,
         )
     },
 }
@@ -662,4 +675,7 @@ ORACLE = {
              OR (field = 'path' AND len(list_filter(files, lambda f: contains(lower(f), pattern))) > 0)
            WHERE pattern <> ''""",
     ),
+    "vocabulary_by_batches": with_views(
+        ["words"], "SELECT CAST(idx AS INTEGER) AS idx, term, n, df, round(idf, 6) AS idf FROM words"
+    ),
 }

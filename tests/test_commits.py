@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -14,7 +15,7 @@ from driftline.functions import joins
 from driftline.operators import search, term_index
 from driftline.operators import vocabulary as voc
 from driftline.session import settings
-from driftline.sources import gram_store, index_store
+from driftline.sources import gram_store, index_store, term_store
 
 RAW = (
     "sha string, message string, author string, repo string, committed_at bigint, "
@@ -294,6 +295,27 @@ def test_a_pattern_reads_few_folders(spark, grams):
     assert {r.gram for r in read.collect()} == {"log", "ogi"}
 
 
+# --- statistics by batches ----------------------------------------------------------
+
+
+def test_statistics_by_batches_equal_a_full_fit(spark, tmp_path):
+    draw, path, now = random.Random(6), str(tmp_path / "terms"), {}
+    words = ["fix", "bug", "alpha", "beta", "gamma", "delta", "Zeta", "x1"]
+    for batch in range(4):
+        chosen = draw.sample(range(40), 15)
+        rows = [
+            (hashlib.md5(str(i).encode()).hexdigest(), " ".join(draw.choices(words, k=draw.randrange(6))), "x", "r", draw.choice([5, 60 * i]), [], 1, 1)
+            for i in chosen
+        ]
+        now |= {r[0]: r for r in rows}
+        term_store.add_batch(ci.projection(spark.createDataFrame(rows, RAW)), path, batch)
+        live = ci.projection(spark.createDataFrame(list(now.values()), RAW))
+        want = ci.fit(live, 100).collect()
+        assert term_store.vocabulary_after(spark, path, batch, 100).collect() == want
+    term_store.add_batch(ci.projection(spark.createDataFrame(rows, RAW)), path, 3)  # run again
+    assert term_store.vocabulary_after(spark, path, 3, 100).collect() == want
+
+
 # --- all terms ------------------------------------------------------------------
 
 
