@@ -7,9 +7,11 @@
    lines that share an entry are candidates if their lengths, the entry's
    places and the parities of their words allow enough common words.
 4. First it is only asked which classes have a candidate at all. Their words are
-   read again, as 64-bit hashes; groups of copies are settled by comparing each class with the
-   first one that shares a minimum of a hash of its words; what is left is
-   joined on the index and every pair verified by its words.
+   read again, as 64-bit hashes. The classes of an entry stand in the order of
+   their first lines; every class is compared with the first one of each of its
+   entries, what is still open with the next two, then the next four and so on,
+   and every pair is verified by its words. So a group of similar lines is
+   settled by its first lines, without all its pairs.
 5. A line goes if an earlier line has the same words or enough of them.
 
 Everything is a DataFrame operation.
@@ -19,19 +21,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.columns import BLANK, join_checked, pick
+from driftline.llm.ranks import row_numbers
 from driftline.llm.tables import byte_at, byte_table
 from driftline.session import materialise
 
-#: Entries of the word-count table.
-COUNTS = 2**20
-#: Bits of a word's hash in the index.
-_HASH_BITS = 24
-#: Rounds in which groups of copies are settled, each by the minimum of another hash.
-ROUNDS = 6
+#: Entries of the word-count table. It stands in the plan of one stage, so it is kept small; frequent words show in it
+#: at any size of the corpus, and among the rare ones the order decides nothing but speed.
+COUNTS = 2**18
+
+#: Words from which on a line has a second number of 64 parities.
+LONG = 32
+#: Numbers of 64 parities each in which the words of a candidate are told apart; long lines fill 64.
+WIDE = 4
 
 _CLASS = ["c1", "c2"]
 _LINE = ["doc_id", "row", "line_no"]
@@ -97,19 +102,26 @@ def _lines(rows: DataFrame, counts: bytes, alike: Similarity) -> DataFrame:
     # the test on the text keeps the costly words from being made a second time for a filter on them
     lines = _exploded(rows).filter(F.col("line").rlike(f"[^{BLANK[1:-1]}]")).select(*_LINE, words.alias("words"))
     # each word turns one of 64 bits over, so two lines differ in no more bits than words
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(bit(w)))
+    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_bit(w)))
+    # of long lines, which fill 64 bits, also the share of every second word in them
+    half = F.aggregate(
+        "words", F.lit(0).cast("bigint"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) != 0, a.bitwiseXOR(_bit(w))).otherwise(a)
+    )
     n = F.size("words")
-    entries = F.transform(F.slice("words", F.lit(1), alike.prefix(n)), lambda w: F.shiftright(w, 56 - _HASH_BITS).cast("int"))
     return lines.select(
         *_LINE,
         F.xxhash64("words").alias("c1"),
         parity.alias("c2"),
+        F.when(n > LONG, half).alias("half"),
         n.alias("n"),
-        entries.alias("prefix"),
+        F.slice("words", F.lit(1), alike.prefix(n)).alias("prefix"),
     )
 
 
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), word.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def _order() -> Column:
     """The order of lines: by document key (null last), for equal keys by the row's hash, then by place."""
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "line_no")
@@ -119,86 +131,105 @@ def _low(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(2**32 - 1))
 
 
-def _index(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each entry: half of the class's hash, the number of words and the entry's place share a number."""
+def _index(classes: DataFrame) -> DataFrame:
+    """A row for each entry of each class: half of the class's hash and the number of words share a number."""
     return classes.select(
-        "c2", _low(F.col("c1")).alias("low"), F.col("n").alias("n"), *more, F.posexplode("prefix").alias("at", "entry")
-    ).select("entry", "c2", (F.call_function("shiftleft", "low", F.lit(32)) + F.col("n")).alias("low_n"), "at", *more)
+        "c2", "half", _low(F.col("c1")).alias("low"), "n", F.posexplode("prefix").alias("at", "entry")
+    ).select("entry", "c2", "half", (F.call_function("shiftleft", "low", F.lit(32)) + F.col("n")).alias("low_n"), "at")
+
 
+def _enough(a: dict[str, Column], b: dict[str, Column], odd: Column, alike: Similarity) -> Column:
+    """What the numbers of words, an entry's places and the bits that differ must be for two lines to be similar."""
+    common = alike.common(a["n"], b["n"])
+    reach = F.least(a["n"] - a["at"], b["n"] - b["at"])
+    return alike.lengths(a["n"], b["n"]) & (reach >= common) & (odd <= a["n"] + b["n"] - 2 * common)
 
-def _may_match(a: str, b: str, alike: Similarity) -> Column:
-    """What two index rows with the same entry must fulfil if their lines are similar but not the same."""
-    n, m = (F.col(f"{s}.low_n").bitwiseAND(F.lit(2**32 - 1)).cast("int") for s in (a, b))
-    common = alike.common(n, m)
-    odd = F.bit_count(F.col(f"{a}.c2").bitwiseXOR(F.col(f"{b}.c2")))
-    other = (odd != 0) | (F.col(f"{a}.low_n") != F.col(f"{b}.low_n"))
-    reach = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
-    return (F.col(f"{a}.entry") == F.col(f"{b}.entry")) & other & alike.lengths(n, m) & (reach >= common) & (odd <= n + m - 2 * common)
+
+def _sides(n, *names: str) -> list[dict[str, Column]]:
+    return [{"n": n(s), **{name: F.col(f"{s}.{name}") for name in names}} for s in ("a", "b")]
 
 
 def _candidates(classes: DataFrame, alike: Similarity) -> DataFrame:
     """``c2`` and ``low`` of the classes that share an entry with another one that may be similar."""
     index = _index(classes)
-    found = index.alias("a").join(index.alias("b"), _may_match("a", "b", alike), "left_semi")
+    a, b = _sides(lambda s: F.col(f"{s}.low_n").bitwiseAND(F.lit(2**32 - 1)).cast("int"), "entry", "c2", "half", "low_n", "at")
+    both, half = a["c2"].bitwiseXOR(b["c2"]), a["half"].bitwiseXOR(b["half"])
+    odd = F.coalesce(F.bit_count(half) + F.bit_count(both.bitwiseXOR(half)), F.bit_count(both))
+    other = (both != 0) | (a["low_n"] != b["low_n"])
+    found = index.alias("a").join(index.alias("b"), (a["entry"] == b["entry"]) & other & _enough(a, b, odd, alike), "left_semi")
     return found.select("c2", F.shiftrightunsigned("low_n", 32).alias("low")).distinct()
 
 
-def _verified(pairs: DataFrame, words: DataFrame, alike: Similarity) -> DataFrame:
-    """The later class of each pair (``c1``, ``c2`` and the earlier ``e1``, ``e2``) that is similar."""
-    ends = pairs.select(*_CLASS).union(pairs.select("e1", "e2")).distinct()
-    words = join_checked(words, materialise(ends, "line-ends"), _CLASS, "left_semi").select(*_CLASS, "words")
-    sides = pairs.join(words.withColumnRenamed("words", "late"), _CLASS)
-    sides = sides.join(words.toDF("e1", "e2", "early"), ["e1", "e2"])
+def _words_of(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """The words of each class, by its ``number``, read from its first line, and their parities in 256 bits."""
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.line_no") == F.col("y.line_no"))
+    again = join_checked(_exploded(rows).alias("x"), known.select("number", *_LINE).alias("y"), same)
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    found = again.select("number", hashes.alias("words")).dropDuplicates(["number"])
+    own = lambda w, i: F.shiftright(w, 6).bitwiseAND(F.lit(WIDE - 1)) == i
+    parity = lambda i: F.aggregate(
+        "words", F.lit(0).cast("bigint"), lambda a, w: F.when(own(w, i), a.bitwiseXOR(_bit(w))).otherwise(a)
+    )
+    return found.select("number", "words", F.array(*[parity(i) for i in range(WIDE)]).alias("parities"))
+
+
+def _similar(pairs: DataFrame, words: DataFrame, alike: Similarity) -> DataFrame:
+    """The later class of each pair (``number`` and the ``earlier`` one) that is similar."""
+    ends = materialise(pairs.select("number").union(pairs.select("earlier")).distinct(), "line-ends")
+    words = join_checked(words, ends, "number", "left_semi")
+    sides = pairs.join(words.withColumnRenamed("words", "late"), "number").join(words.toDF("earlier", "early"), "earlier")
     common = F.size(F.array_intersect("early", "late"))
-    return sides.filter(alike.reached(common, F.size("early"), F.size("late"))).select(*_CLASS).distinct()
+    return sides.filter(alike.reached(common, F.size("early"), F.size("late"))).select("number").distinct()
 
 
-def _settled(words: DataFrame, gone: DataFrame | None, alike: Similarity, turn: int) -> DataFrame:
-    """Classes, besides those that are gone, similar to the first class with which they share a minimum of a hash of their words."""
-    low = F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(turn))))
-    lows = materialise(words.select(*_CLASS, "first", low.alias("low")), "line-minima")
-    least = lows.groupBy("low").agg(F.min(F.struct("first", "c1", "c2")).alias("one"), F.count(F.lit(1)).alias("size"))
-    least = least.filter("size > 1").select("low", F.col("one.c1").alias("e1"), F.col("one.c2").alias("e2"))
-    least = materialise(least, "line-firsts")
-    other = (F.col("c1") != F.col("e1")) | (F.col("c2") != F.col("e2"))
-    late = lows if gone is None else lows.join(gone, _CLASS, "left_anti")
-    pairs = late.join(least, "low").filter(other).select(*_CLASS, "e1", "e2")
-    return _verified(materialise(pairs, "line-pairs"), words, alike)
+def _settled(index: DataFrame, words: DataFrame, alike: Similarity) -> DataFrame:
+    """The numbers of classes that are similar to an earlier one.
+
+    ``index`` has the classes of each entry in their order. A round compares the
+    open classes with the next places of each entry, twice as many as before, so
+    there are as many rounds as the longest list has bits.
+    """
+    of_entry = Window.partitionBy("entry")
+    index = index.withColumn("size", F.count(F.lit(1)).over(of_entry)).filter("size > 1").drop("size")
+    index = materialise(index.withColumn("place", F.row_number().over(of_entry.orderBy("number")) - 1), "line-index")
+    longest = index.agg(F.max("place")).first()[0] or 0
+    gone = index.sparkSession.createDataFrame([], "number bigint")
+    begin = 0
+    while begin < longest:
+        end = 2 * begin + 1
+        late = join_checked(index.filter(F.col("place") > begin), gone, "number", "left_anti")
+        early = index.filter((F.col("place") >= begin) & (F.col("place") < end))
+        a, b = _sides(lambda s: F.col(f"{s}.n"), "entry", "number", "at")
+        odd = sum(F.bit_count(F.col("a.parities")[i].bitwiseXOR(F.col("b.parities")[i])) for i in range(WIDE))
+        meet = (a["entry"] == b["entry"]) & (b["number"] < a["number"]) & _enough(a, b, odd, alike)
+        pairs = late.alias("a").join(early.alias("b"), meet)
+        pairs = materialise(pairs.select("a.number", F.col("b.number").alias("earlier")).distinct(), "line-pairs")
+        gone = materialise(gone.unionByName(_similar(pairs, words, alike)), "line-gone")
+        begin = end
+    return gone
 
 
 def removed_lines(rows: DataFrame, alike: Similarity) -> DataFrame:
     """``doc_id``, ``row``, ``line_no`` of every line that an earlier line makes superfluous."""
     lines = materialise(_lines(rows, word_counts(rows), alike), "lines")
-    indexed = lines.filter(F.size("prefix") > 0)
-    contents = [F.first("n").alias("n"), F.first("prefix").alias("prefix")]
-    candidates = materialise(_candidates(indexed.groupBy(*_CLASS).agg(*contents), alike), "line-candidates")
+    classes = lines.groupBy(*_CLASS).agg(
+        F.min(_order()).alias("first"), F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in ("half", "n", "prefix")]
+    )
+    classes = materialise(classes, "line-classes")
+    candidates = materialise(_candidates(classes, alike), "line-candidates")
 
     # only classes of several lines and candidates are of interest from here on
-    counted = lines.groupBy(*_CLASS).agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("size"))
-    counted = join_checked(
-        counted.withColumn("low", _low(F.col("c1"))), candidates.withColumn("candidate", F.lit(True)), ["c2", "low"], "left"
-    )
-    classes = materialise(counted.filter("candidate or size > 1").select(*_CLASS, "first", "candidate"), "line-classes")
-    known = materialise(classes.filter("candidate").select(*_CLASS, "first", "first.*"), "line-origins")
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.line_no") == F.col("y.line_no"))
-    again = join_checked(_exploded(rows).alias("x"), known.alias("y"), same)
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    words = again.select(*_CLASS, "first", hashes.alias("words"))
-    words = materialise(words.dropDuplicates(_CLASS), "line-words")
-
-    gone = None
-    for turn in range(ROUNDS):
-        found = _settled(words, gone, alike, turn)
-        gone = materialise(found if gone is None else gone.unionByName(found).distinct(), "line-gone")
-    index = join_checked(indexed, known.select(*_CLASS, "first"), _CLASS).groupBy(*_CLASS).agg(*contents, F.first("first").alias("first"))
-    index = materialise(index.join(gone.withColumn("gone", F.lit(True)), _CLASS, "left"), "line-open")
-    late, early = (_index(side, "first", "c1") for side in (index.filter(F.col("gone").isNull()), index))
-    pairs = late.alias("a").join(early.alias("b"), _may_match("a", "b", alike) & (F.col("b.first") < F.col("a.first")))
-    pairs = pairs.select("a.c1", "a.c2", F.col("b.c1").alias("e1"), F.col("b.c2").alias("e2")).distinct()
-    gone = materialise(gone.unionByName(_verified(materialise(pairs, "line-pairs"), words, alike)), "line-gone")
-
-    state = classes.join(gone.withColumn("gone", F.lit(True)), _CLASS, "left")
-    state = materialise(state.select(*_CLASS, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-state")
+    marked = candidates.withColumn("candidate", F.lit(True))
+    known = join_checked(classes.withColumn("low", _low(F.col("c1"))), marked, ["c2", "low"]).select(*_CLASS, "first.*", "n", "prefix")
+    known = materialise(row_numbers(known, [F.col(c) for c in ("unnamed", *_LINE)], "number"), "line-known")
+    words = materialise(_words_of(known, rows), "line-words")
+    index = join_checked(known.select("number", "n", F.posexplode("prefix").alias("at", "entry")), words.select("number", "parities"), "number")
+    gone = _settled(index, words.select("number", "words"), alike)
+
+    gone = join_checked(known, gone, "number", "left_semi").select(*_CLASS, F.lit(True).alias("gone"))
+    several = classes.filter("size > 1").select(*_CLASS, "first")
+    state = several.join(gone, _CLASS, "full").select(*_CLASS, "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    state = materialise(state, "line-state")
     placed = join_checked(lines.select(*_LINE, *_CLASS), state, _CLASS)
     return placed.filter(F.col("gone") | (F.col("first") != _order())).select(*_LINE)
 
