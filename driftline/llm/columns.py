@@ -26,6 +26,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select([F.col(f"_{i}").alias(name) for i, name in zip(places, names, strict=True)])
 
 
+def with_whole_row(df: DataFrame, *names: str) -> DataFrame:
+    """The whole rows as a struct ``doc`` whose fields are numbered, and the named columns beside it."""
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    named = [F.col(f"_{df.columns.index(name)}").alias(name) for name in names]
+    return numbered.select(F.struct(*numbered.columns).alias("doc"), *named)
+
+
+def whole_rows(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows that ``doc`` holds, under the names of the table they came from."""
+    return df.select([F.col(f"doc._{i}").alias(name) for i, name in enumerate(like.columns)])
+
+
 def arrow_type(kind: DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
