@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.columns import BLANK, pick
+from driftline.llm.columns import BLANK, join_checked, pick, whole_rows, with_whole_row
 from driftline.llm.ranks import row_numbers
 from driftline.session import materialise
 
 #: Bits of the hash, bits by which each level splits a bucket, and the number of levels.
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 10, 3
+#: Parts in which a group of equal rows is numbered.
+SALTS = 64
 _SOURCE = ["source", "unnamed"]
 
 
@@ -27,12 +29,49 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(runs, f"^{BLANK}+", "")).cast("bigint")
 
 
-def document_hash(key: Column, seed: str = "") -> Column:
-    """60 bits of the MD5 of a key; the same on every run."""
-    text = F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))
+def _bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
+def document_hash(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of a key and the MD5 of a text, nulls counting as empty; the same on every run."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return _bits(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), digest))
+
+
+def _numbered(rows: DataFrame, same: list[str]) -> DataFrame:
+    """Add ``copy``: 0, 1, 2 and so on for the rows that agree in ``same``; which row gets which number is open.
+
+    Rows are numbered within SALTS parts of a group, and each part begins where
+    the ones before it end, so a group of very many rows is spread.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    within = Window.partitionBy(*same, "salt").orderBy(F.lit(0))
+    salted = materialise(salted.withColumn("copy", F.row_number().over(within) - 1), "mix-copies")
+    counts = salted.groupBy(*same, "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*same).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select(*same, "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = salted.join(shifts, [*same, "salt"])
+    return joined.select(*rows.columns, (F.col("copy") + F.col("before")).alias("copy"))
+
+
+def _repeated(sized: DataFrame) -> DataFrame:
+    """Sources and hashes of rows that agree in source, key and text with others."""
+    counts = sized.groupBy(*_SOURCE, "hash").agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counts.filter("n > 1").select(*_SOURCE, "hash"), "mix-repeated")
+
+
+def _told_apart(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` with a hash of its own for each of equal rows: the first keeps the one they share."""
+    same = [*_SOURCE, "hash"]
+    if repeated.isEmpty():
+        return rows
+    single = join_checked(rows, repeated, same, "left_anti").select(*rows.columns)
+    several = _numbered(join_checked(rows, repeated, same, "left_semi").select(*rows.columns), same)
+    own = F.when(F.col("copy") == 0, F.col("hash")).otherwise(_bits(F.concat_ws(":", "hash", "copy")))
+    return single.unionByName(several.withColumn("hash", own).select(*rows.columns))
+
+
 def water_level(sources: DataFrame, share: float, most: float) -> float:
     """The words for each unit of weight once no source's target is above its limit.
 
@@ -127,18 +166,24 @@ def mix(
     and again. Together they get ``share`` of all words; a target stops at
     ``most`` times its source's words, and what is over goes to the others by
     weight. ``taken`` is how many of a document's words the mix takes, repeats
-    counted: 0, 1 or more times its size. A null text has 0 words. Rows that
-    repeat a key are taken alike. A source's sum is off its target by half of
-    what shares the last bucket of 30 bits at most: mostly half a document.
+    counted: 0, 1 or more times its size. A null text has 0 words. Each row
+    counts by itself, also where others agree with it in key, text and source;
+    which of equal rows is taken more often is open. A source's sum is off its
+    target by half of what shares the last bucket of 30 bits at most: mostly
+    half a document.
     """
-    rows = pick(docs, key, text, source).toDF("doc_id", "text", "source")
-    sized = rows.select("doc_id", *_named(F.col("source")), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"))
-    sized = materialise(sized, "mix-sizes")
+    sized = _sized(pick(docs, key, text, source).toDF("doc_id", "text", "source"), "doc_id")
+    sized = materialise(_told_apart(sized, _repeated(sized)), "mix-told")
     joined = sized.withColumn("bucket", _bucket(0)).join(_plan(sized, weights, share, most), [*_SOURCE, "bucket"])
     taken = (_copies(F.col("hash")) * F.col("size")).cast("bigint")
     return joined.select("doc_id", "size", "plan.source_size", "plan.target", taken.alias("taken"))
 
 
+def _sized(rows: DataFrame, *more: str) -> DataFrame:
+    size, hashed = word_count(F.col("text")), document_hash(F.col("doc_id"), F.col("text"))
+    return materialise(rows.select(*more, *_named(F.col("source")), size.alias("size"), hashed.alias("hash")), "mix-sizes")
+
+
 def take_mix(
     docs: DataFrame,
     weights: list[int],
@@ -148,15 +193,18 @@ def take_mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it; texts without words go."""
-    sized = pick(docs, key, text, source).toDF("doc_id", "text", "source")
-    sized = sized.select(*_named(F.col("source")), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"))
-    sized = materialise(sized, "mix-sizes")
-    hashed = document_hash(F.col(key))
-    place = F.struct(*_named(F.col(source)), F.shiftright(hashed, HASH_BITS - LEVEL_BITS).alias("bucket"))
-    worded = F.coalesce(F.col(text), F.lit("")).rlike(f"[^{BLANK[1:-1]}]")
-    marked = docs.filter(worded).select(F.struct(*docs.columns).alias("doc"), hashed.alias("hash"), place.alias("place"))
-    plan = _plan(sized, weights, share, most).select(F.struct(*_SOURCE, "bucket").alias("place"), "plan")
-    joined = marked.join(plan, "place")
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it; texts without words go.
+
+    Columns may have any names, also such that differ from the named ones only in case.
+    """
+    sized = _sized(pick(docs, key, text, source).toDF("doc_id", "text", "source"))
+    repeated = _repeated(sized)
+    plan = _plan(materialise(_told_apart(sized, repeated), "mix-told"), weights, share, most)
+    rows = with_whole_row(docs, key, text, source).toDF("doc", "key", "text", "source")
+    rows = rows.filter(F.coalesce("text", F.lit("")).rlike(f"[^{BLANK[1:-1]}]"))
+    rows = rows.select("doc", *_named(F.col("source")), document_hash(F.col("key"), F.col("text")).alias("hash"))
+    # rows without words have no size, so which of equal rows they are does not matter above
+    marked = _told_apart(rows, repeated).withColumn("bucket", _bucket(0))
+    joined = marked.join(plan, [*_SOURCE, "bucket"])
     copies = joined.select("doc", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")).cast("int"))))
-    return copies.select("doc.*")
+    return whole_rows(copies, docs)

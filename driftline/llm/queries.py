@@ -170,10 +170,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (
+WITH h AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) >> 30 AS bucket
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
   FROM documents),
+d AS (
+  SELECT doc_id, source, size,
+         CASE WHEN copy = 0 THEN hash ELSE CAST('0x' || substr(md5(hash || ':' || copy), 1, 15) AS BIGINT) END >> 30 AS bucket
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, hash) - 1 AS copy FROM h)),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -211,8 +215,8 @@ LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 
 
 def held_out(key: Column) -> Column:
-    """A fifth of the documents, from which nothing is learned."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """A fifth of the documents, from which nothing is learned; rows without a key are among them."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
