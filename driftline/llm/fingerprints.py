@@ -5,7 +5,9 @@ terms of a text that do are sorted and hashed, not all together but as far as
 they lie in a random subset of the lexicon, for many subsets of six sizes. An
 edit changes only the hashes of subsets that hold a changed term, so the share
 of equal hashes tells how near two texts are: among the sparsest subsets of
-which enough hold a term at all.
+which enough hold a term at all. A text may have no term in the band, so a
+fingerprint has a second part over all terms; two fingerprints of which either
+has an empty first part are compared by the second.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from driftline.llm.columns import arrow_type, map_texts, pick, slices
 from driftline.session import materialise
 
 #: The band: terms in at least the one and at most the other share of all documents, ln(1/share) being their IDF.
-RAREST, COMMONEST = 1e-5, 0.05
-#: The lexicon never holds more terms; the band is narrowed from its rare end for that.
-MOST_TERMS = 4_000_000
-#: Subsets of each size, and the sizes: a subset of size s holds 1 in 2 ** s terms.
+#: So the lexicon has at most 20,000 times as many terms as a text has distinct ones on average.
+RAREST, COMMONEST = 5e-5, 0.05
+#: Subsets of each size, and the sizes: a subset of size s holds 1 in 2 ** s terms. The second part of a
+#: fingerprint, over all terms, has fewer subsets.
 SUBSETS, SIZES = 32, (1, 3, 5, 7, 9, 11)
+WHOLE_SUBSETS = 16
+BAND_BYTES = len(SIZES) * SUBSETS
 #: Subsets of one size that must hold a term of one of two texts for their share to count.
 ENOUGH = 8
 #: Terms gathered in a task before their counts are sent on.
@@ -74,27 +78,37 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return pick(docs, text).mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commonest: float = COMMONEST, most: int = MOST_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms in the band, at most ``most``.
-
-    Where more terms are in the band, those in the fewest documents go, a whole
-    document frequency at a time, so what is sent around has a fixed bound.
-    """
+def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> np.ndarray:
+    """Sorted hashes of the terms in the band."""
     n = docs.count()
     upper = max(1, int(commonest * n))
     counted = document_frequencies(docs, text).filter(F.col("df").between(rarest * n, max(upper, 1)))
-    counted = materialise(counted, "document-frequencies")
-    size, least = counted.count(), 0.0
-    while size > most:  # on to the frequency that about half as many terms as allowed exceed
-        left = counted.filter(F.col("df") > least)
-        least = max(least + 1, float(left.agg(F.percentile_approx("df", 1 - most / size / 2, 10_000)).first()[0]))
-        size = counted.filter(F.col("df") > least).count()
-    found = counted.filter(F.col("df") > least).select("term").toArrow().column(0).to_numpy()
-    return np.sort(np.ascontiguousarray(found).view(np.uint64))
+    counted = materialise(counted.select("term"), "lexicon")
+    return np.sort(np.ascontiguousarray(counted.toArrow().column(0).to_numpy()).view(np.uint64))
+
+
+def _subset_hashes(h: np.ndarray, owner: np.ndarray, n: int, subsets: int) -> np.ndarray:
+    """A byte for each of n texts and subset, 0 where it holds no term; ``h`` are terms, sorted within their ``owner``."""
+    out = np.zeros((n, len(SIZES) * subsets), dtype=np.uint8)
+    value = _mix(h + np.uint64(0x9E3779B97F4A7C15))
+    for j, seed in enumerate(_SEEDS[:subsets]):
+        draw = _mix(h ^ seed)
+        at = np.arange(len(h))
+        for level, size in enumerate(SIZES):
+            at = at[(draw[at] & np.uint64(2**size - 1)) == 0]
+            if not len(at):
+                break
+            who = owner[at]
+            begins = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+            weights = (rank.astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+            hashed = _mix(np.add.reduceat(value[at] * weights, begins))
+            out[who[begins], level * subsets + j] = (hashed >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
+    return out
 
 
 class Fingerprints:
-    """Fingerprints by one lexicon: a byte for each subset, 0 where it holds no term."""
+    """Fingerprints by one lexicon: bytes over the terms in the band, then bytes over all terms."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -112,57 +126,24 @@ class Fingerprints:
         return known
 
     def of(self, texts: list[str]) -> np.ndarray:
-        """A row of bytes for each text. A text without a term in the band counts with all its terms."""
-        return self.marks(texts)[0]
-
-    def marks(self, texts: list[str], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """A row of bytes for each text and whether it has no term in the band. With ``whole`` all terms of all texts count."""
-        out = np.zeros((len(texts), len(SIZES) * SUBSETS), dtype=np.uint8)
-        each = [terms(t) for t in texts]
+        """A row of bytes for each text; it depends on the text and the lexicon alone."""
+        each = [np.sort(terms(t)) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(e) for e in each])
-        if not len(owner):
-            return out, np.ones(len(texts), dtype=bool)
-        h = np.concatenate(each)
+        h = np.concatenate(each) if each else np.zeros(0, np.uint64)
         known = self._known(h)
-        bare = np.bincount(owner[known], minlength=len(texts)) == 0
-        chosen = known | bare[owner] | whole
-        h, owner = h[chosen], owner[chosen]
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        value = _mix(h + np.uint64(0x9E3779B97F4A7C15))
-        for j, seed in enumerate(_SEEDS):
-            draw = _mix(h ^ seed)
-            at = np.arange(len(h))
-            for level, size in enumerate(SIZES):
-                at = at[(draw[at] & np.uint64(2**size - 1)) == 0]
-                if not len(at):
-                    break
-                who = owner[at]
-                begins = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
-                weights = (rank.astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-                hashed = _mix(np.add.reduceat(value[at] * weights, begins))
-                out[who[begins], level * SUBSETS + j] = (hashed >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
-        return out, bare
-
-    def alike(self, left: tuple, right: tuple) -> np.ndarray:
-        """The likeness of pairs of texts, each side as texts, rows of bytes and who is bare.
-
-        If either text of a pair has no term in the band, both are compared by all their terms.
-        """
-        sides = []
-        for (texts, rows, bare), (_, _, other) in ((left, right), (right, left)):
-            at = np.flatnonzero(other & ~bare)
-            if len(at):
-                rows = rows.copy()
-                rows[at] = self.marks([texts[i] for i in at], whole=True)[0]
-            sides.append(rows)
-        return likeness(*sides)
+        band = _subset_hashes(h[known], owner[known], len(texts), SUBSETS)
+        return np.hstack([band, _subset_hashes(h, owner, len(texts), WHOLE_SUBSETS)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """From 0 to 1 for each pair of rows: equal hashes among the sparsest subsets of which ENOUGH hold a term."""
-    shape = (len(a), len(SIZES), SUBSETS)
+    """From 0 to 1 for each pair of fingerprints, by their first parts where both have one, else by their second."""
+    first, second = (_share(a[:, part], b[:, part]) for part in (slice(0, BAND_BYTES), slice(BAND_BYTES, None)))
+    return np.where(a[:, :BAND_BYTES].any(axis=1) & b[:, :BAND_BYTES].any(axis=1), first, second)
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal hashes among the sparsest subsets of which ENOUGH hold a term of either; 1 for nothing at all."""
+    shape = (len(a), len(SIZES), a.shape[1] // len(SIZES))
     a, b = a.reshape(shape), b.reshape(shape)
     telling = ((a != 0) | (b != 0)).sum(axis=2)
     equal = ((a == b) & (a != 0)).sum(axis=2)
@@ -225,8 +206,7 @@ def compare_with_next(docs: DataFrame, words: np.ndarray, key: str = "doc_id", t
     first row of each range goes to the range before as well, so each task sees
     every neighbour it needs. Gives ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
-    A fingerprint depends on its text alone; where one of two texts has no term
-    in the band, their likeness is that of all their terms.
+    Likeness is a function of two fingerprints.
     """
     spark = docs.sparkSession
     rows = pick(docs, key, text).toDF("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -262,25 +242,25 @@ def compare_with_next(docs: DataFrame, words: np.ndarray, key: str = "doc_id", t
         for batch in slices(batches, 500):
             some = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             left, right, texts = [], [], []
-            for row, mark, bare in zip(some, *prints.marks([r[1] for r in some]), strict=True):
+            for row, mark in zip(some, prints.of([r[1] for r in some]), strict=True):
                 if waiting is not None and waiting[0][2] == row[2]:
                     left.append(waiting)
-                    right.append((row, mark, bare))
+                    right.append((row, mark))
                     texts.append(edited(waiting[0][1], row[1]))
-                waiting = None if row[3] else (row, mark, bare)  # an extra row is only somebody's neighbour
+                waiting = None if row[3] else (row, mark)  # an extra row is only somebody's neighbour
             if not left:
                 continue
-            own, nexts = (([r[1] for r, _, _ in side], np.array([m for _, m, _ in side]), np.array([b for _, _, b in side])) for side in (left, right))
-            changed = (texts, *prints.marks(texts))
+            own, nexts = (np.array([m for _, m in side]) for side in (left, right))
+            changed = prints.of(texts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r, _, _ in left], schema.field("doc_id").type),
-                    pa.array([len(t) for t in own[0]], pa.int64()),
+                    pa.array([r[0] for r, _ in left], schema.field("doc_id").type),
+                    pa.array([len(r[1]) for r, _ in left], pa.int64()),
                     pa.array([sha256(t.encode()).hexdigest() for t in texts]),
-                    pa.array(as_hex(own[1])),
-                    pa.array(as_hex(changed[1])),
-                    pa.array(prints.alike(own, changed)),
-                    pa.array(prints.alike(own, nexts)),
+                    pa.array(as_hex(own)),
+                    pa.array(as_hex(changed)),
+                    pa.array(likeness(own, changed)),
+                    pa.array(likeness(own, nexts)),
                 ],
                 schema=schema,
             )
