@@ -110,9 +110,105 @@ def test_a_large_group_of_near_copies(spark):
     assert {(r["class_id"], r["class_size"]) for r in found} == {(0, 251)}
 
 
+def probability_jaccard(a, b):
+    """By its definition: for each common shingle the sum over all shingles of the larger ratio."""
+    every = a.keys() | b.keys()
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in every) for i in a.keys() & b.keys())
+
+
+def test_similarity_is_probability_jaccard():
+    import random
+
+    draw = random.Random(4)
+    for _ in range(300):
+        a, b = ({s: draw.choice([1, 1, 2, 5]) for s in draw.sample(range(12), draw.randrange(1, 10))} for _ in range(2))
+        assert near_dedup.similarity(a, b) == pytest.approx(probability_jaccard(a, b))
+        both = sum(min(a[s] / sum(a.values()), b[s] / sum(b.values())) for s in a.keys() & b.keys())
+        assert near_dedup.similarity(a, b) <= both + 1e-9  # what the rarest shingles rely on
+        u, v = (1 - sum(x[s] for s in a.keys() & b.keys()) / sum(x.values()) for x in (a, b))
+        if u < 1:
+            assert near_dedup.similarity(a, b) <= 1 / (1 / (1 - u) + 1 / (1 - v) - 1) + 1e-9  # and what comes before them
+    assert near_dedup.similarity({}, {}) == 0.0
+
+
+def repeated_passages(n):
+    """Texts of which some passages are repeated, and copies with other numbers of repeats or with words changed."""
+    import random
+
+    draw = random.Random(12)
+    texts = []
+    for _ in range(n):
+        passage, rest = ([f"w{draw.randrange(5_000)}" for _ in range(draw.randrange(6, 40))] for _ in range(2))
+        for _ in range(4):
+            again, own = draw.choice([1, 2, 8]), list(rest)
+            if draw.random() < 0.5:
+                own[draw.randrange(len(own))] = f"v{draw.randrange(5_000)}"
+            texts.append(" ".join(passage * again + own))
+    return texts
+
+
+def test_weights_count_in_classes(spark):
+    texts = repeated_passages(60)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    roots = near_brute(rows)
+    found = near_dedup.near_dedup(docs_of(spark, texts)).filter("doc_id is not null").collect()
+    least = {root: min(i for i, r in enumerate(roots) if r == root) for root in roots}
+    assert {r["doc_id"]: r["class_id"] for r in found} == {i: least[root] for i, root in enumerate(roots)}
+    assert 60 < len(set(roots)) < 240
+
+
+def test_texts_less_alike_than_linked_ones_need_no_pairs(spark, monkeypatch):
+    """A group of copies of a missing origin: what is not linked is told apart by rare shingles, without all pairs."""
+    import random
+
+    draw = random.Random(5)
+    origin = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(200):
+        words = list(origin)
+        for at in draw.sample(range(150), 5):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    texts += [t + " more" for t in texts[:5]]
+    tested = []
+    whole = near_dedup._verified
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    roots = near_brute([(i, t) for i, t in enumerate(texts)])
+    found = near_dedup.near_dedup(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    assert len({r["class_id"] for r in found}) == len(set(roots)) == 200
+    assert sum(tested) < 205 * 204 / 2 / 10
+
+
+def test_rare_shingles_hold_a_common_one_of_similar_texts(spark):
+    texts = repeated_passages(20)
+    table_ = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "node binary, text string")
+    held = defaultdict(set)
+    for r in near_dedup._rare_shingles(table_, 0.8).collect():
+        held[r["node"][0]].add(r["shingle"])
+    sets = [near_dedup.shingles(near_dedup.words(t)) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if 0.8 <= near_dedup.similarity(sets[i], sets[j])]
+    assert len(alike) > 20 and all(held[i] & held[j] for i, j in alike)
+
+
+def test_keep_one_stands_clashing_columns(spark):
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "other words of a text"], extra=True)
+    rows = [(*r, "T", 1, 2, "n") for r in docs.collect()]
+    kinds = [f"`{n}` {k.dataType.simpleString()}" for n, k in zip(docs.columns, docs.schema, strict=True)]
+    clashing = spark.createDataFrame(rows, ", ".join([*kinds, "`TEXT` string, `_key` int, `_row` int, `key` string"]))
+    kept = near_dedup.keep_one(clashing)
+    assert kept.columns == clashing.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert set(got) <= set(rows) and {r[0] for r in got} >= {0, 2}
+
+
 def test_registers_agree_as_often_as_probability_jaccard():
     words = [f"w{i}" for i in range(60)]
-    texts = [words, words[:45] + [f"v{i}" for i in range(15)]]
+    texts = [words * 3, words[:45] + [f"v{i}" for i in range(15)] + words[:30]]
     sets = [near_dedup.shingles(t) for t in texts]
     held = near_dedup.prob_minhash(*near_dedup.weighted_shingles(texts), 2, registers=20_000)
     assert abs((held[0] == held[1]).mean() - near_dedup.similarity(*sets)) < 0.02
@@ -130,15 +226,16 @@ def test_registers_agree_by_what_links_are_verified_by():
         texts = [near_dedup.words(t) for t in repeated(0, 300, both)]
         held = near_dedup.prob_minhash(*near_dedup.weighted_shingles(texts), 2, registers=20_000)
         want = near_dedup.similarity(*(near_dedup.shingles(t) for t in texts))
-        assert want > 0.8 and abs((held[0] == held[1]).mean() - want) < 0.02
+        assert abs((held[0] == held[1]).mean() - want) < 0.02
 
 
 def test_pairs_with_repeated_passages_equal_brute_force(spark):
-    texts = [t for i in range(30) for t in repeated(i, 300, both=i % 2 == 0)]
+    # a passage that weighs more than all else makes texts differ, once it does not
+    texts = [t for i in range(30) for t in repeated(i, 300 if i % 3 == 0 else 1, both=i % 2 == 0)]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(table(spark, rows)).collect()}
     roots = near_brute([(r[0], r[1]) for r in rows])
-    assert len(set(roots)) == 30
+    assert len(set(roots)) == 40
     assert found == {i: roots.index(root) for i, root in enumerate(roots)}
 
 
@@ -260,9 +357,6 @@ def test_lexicon_is_the_band(spark):
     counts = Counter(int(h) for r in docs.collect() for h in fingerprints.terms(r["text"] or ""))
     want = sorted(t for t, c in counts.items() if 0.05 * n <= c <= int(0.3 * n))
     assert fingerprints.lexicon(docs, rarest=0.05, commonest=0.3).tolist() == want
-    least = fingerprints.lexicon(docs, rarest=0.0, commonest=0.3, most=100)
-    assert 0 < len(least) <= 100
-    assert min(counts[int(t)] for t in least) > min(counts.values())
 
 
 def test_fingerprints_of_equal_near_and_other_texts(spark):
@@ -286,13 +380,15 @@ def test_subsets_hash_what_they_hold():
     mix = lambda x: int(fingerprints._mix(np.array([x], dtype=np.uint64))[0])
     for text, row in zip(texts, made, strict=True):
         own = sorted(int(t) for t in fingerprints.terms(text))
-        known = [t for t in own if t in set(words.tolist())] or own
-        for j in range(0, fingerprints.SUBSETS, 5):
-            for level, size in enumerate(fingerprints.SIZES):
-                held = [t for t in known if mix(t ^ int(fingerprints._SEEDS[j])) % 2**size == 0]
-                total = sum(mix((t + 0x9E3779B97F4A7C15) & mask) * (2 * i + 1) for i, t in enumerate(held)) & mask
-                want = (mix(total) >> 32) % 255 + 1 if held else 0
-                assert row[level * fingerprints.SUBSETS + j] == want
+        known = [t for t in own if t in set(words.tolist())]
+        parts = [(known, fingerprints.SUBSETS, 0), (own, fingerprints.WHOLE_SUBSETS, fingerprints.BAND_BYTES)]
+        for of, subsets, begin in parts:
+            for j in range(0, subsets, 5):
+                for level, size in enumerate(fingerprints.SIZES):
+                    held = [t for t in of if mix(t ^ int(fingerprints._SEEDS[j])) % 2**size == 0]
+                    total = sum(mix((t + 0x9E3779B97F4A7C15) & mask) * (2 * i + 1) for i, t in enumerate(held)) & mask
+                    want = (mix(total) >> 32) % 255 + 1 if held else 0
+                    assert row[begin + level * subsets + j] == want
 
 
 def test_neighbours_over_many_ranges(spark):
@@ -335,8 +431,15 @@ def test_edited_copies_of_a_large_group_stay_alike(spark):
 
 def test_a_pair_is_compared_by_all_terms_if_either_is_bare():
     a, b = " ".join(f"a{i}" for i in range(90)), " ".join([f"a{i}" for i in range(90)] + ["rare"])
-    prints = fingerprints.Fingerprints(fingerprints.terms("rare"))
-    left, right = ([a], *prints.marks([a])), ([b], *prints.marks([b]))
-    assert left[2].tolist() == [True] and right[2].tolist() == [False]
-    assert prints.alike(left, right)[0] == prints.alike(right, left)[0] > 0.8
-    assert (prints.marks([b], whole=True)[0] != prints.of([b])).any()
+    left, right = fingerprints.Fingerprints(fingerprints.terms("rare")).of([a, b])[:, None]
+    assert not left[0, : fingerprints.BAND_BYTES].any() and right[0, : fingerprints.BAND_BYTES].any()
+    assert fingerprints.likeness(left, right)[0] == fingerprints.likeness(right, left)[0] > 0.8
+
+
+def test_likeness_follows_from_two_fingerprints(spark):
+    docs = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(invented(50) + ["", "x", "x y"])])
+    found = fingerprints.compare_with_next(docs, fingerprints.lexicon(docs)).orderBy("doc_id").collect()
+    rows = lambda name: np.array([list(bytes.fromhex(r[name])) for r in found], dtype=np.uint8)
+    own = rows("fingerprint")
+    assert fingerprints.likeness(own, rows("edited_fingerprint")).tolist() == [r["near_edited"] for r in found]
+    assert fingerprints.likeness(own, np.roll(own, -1, axis=0)).tolist() == [r["near_next"] for r in found]

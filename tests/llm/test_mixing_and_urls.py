@@ -1,9 +1,11 @@
 """Mixing by hash thresholds, and the URL filter."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from fixtures import AWKWARD, docs_of, invented, table
 from pyspark.sql import functions as F
 
@@ -78,6 +80,39 @@ def test_rows_are_taken_as_often_as_the_mix_says(spark):
     assert {k: n for k, n in want.items() if n} == dict(got)
 
 
+def test_rows_without_a_key_and_equal_rows_are_dealt_one_by_one(spark):
+    texts = invented(200)
+    rows = [(i if i % 2 else None, t, "en", f"s{i % 2}", 1) for i, t in enumerate(texts)]
+    rows += [(7, "one two three four", "en", "s1", 1)] * 90 + [(None, "five six", "en", None, 1)] * 70
+    docs = table(spark, rows).repartition(3)
+    sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += words(r[1])
+        largest[r[3]] = max(largest[r[3]], words(r[1]))
+    by_size = {sizes[s]: s for s in sizes}
+    found = mixing.mix(docs, WEIGHTS).collect()
+    for r in found:
+        taken[by_size[r["source_size"]]] += r["taken"]
+    for source, target in fill(sizes).items():
+        assert abs(taken[source] - target) <= largest[source]
+    assert Counter(map(tuple, mixing.mix(docs.repartition(7), WEIGHTS).collect())) == Counter(map(tuple, found))
+    whole = mixing.take_mix(docs, WEIGHTS).collect()
+    assert sum(words(r["text"]) for r in whole) == sum(taken.values())
+
+
+def test_take_mix_stands_clashing_columns(spark):
+    texts = invented(40)
+    docs = docs_of(spark, texts, extra=True)
+    names = [*docs.columns, "Source", "_key", "_row", "hash", "doc", "bucket"]
+    rows = [(*r, "S", 1, 2, 3, "d", 4) for r in docs.collect()]
+    kinds = [f"`{n}` {k.dataType.simpleString()}" for n, k in zip(docs.columns, docs.schema, strict=True)]
+    clashing = spark.createDataFrame(rows, ", ".join([*kinds, "`Source` string, `_key` int, `_row` int, `hash` int, `doc` string, `bucket` int"]))
+    taken = mixing.take_mix(clashing, WEIGHTS)
+    assert taken.columns == names
+    got = {tuple(r) for r in taken.collect()}
+    assert got and got <= set(rows)
+
+
 def test_words_equal_the_pattern(spark):
     texts = AWKWARD + ["  lead", "trail  ", "a\x0bb\x0cc", " ", "x y"]
     found = docs_of(spark, texts).select("text", mixing.word_count(F.col("text")).alias("n")).collect()
@@ -123,6 +158,42 @@ def test_hosts_paths_and_rules(spark):
             assert (r["verdict"], r["score"]) == ("allow", 0.0)
 
 
+def plain_log_likelihood(train, text):
+    """Witten-Bell by its definition, counted anew for every character."""
+    order, start = url_filter.ORDER, url_filter._START * url_filter.ORDER
+    padded = [start + t for t in train]
+
+    def chance(c, context):
+        after = Counter(t[i] for t in padded for i in range(order, len(t)) if t[i - len(context) : i] == context)
+        if not after:
+            return chance(c, context[1:]) if context else 1 / url_filter.ALPHABET
+        shorter = chance(c, context[1:]) if context else 1 / url_filter.ALPHABET
+        return (after[c] + len(after) * shorter) / (sum(after.values()) + len(after))
+
+    whole = start + text
+    return sum(math.log(chance(whole[i], whole[i - order : i])) for i in range(order, len(whole)))
+
+
+def test_scores_equal_plain_counts(spark):
+    draw = random.Random(9)
+    ends = ["com/fr/", "com/de/", "org/", "net/", "example.org/es/"]
+    urls = [f"http://{draw.choice('abc')}{draw.choice(['.', 'x.'])}{draw.choice(ends)}{draw.choice('pqr') * draw.randrange(4)}" for _ in range(60)]
+    urls += [urls[0]] * 40 + ["http://net/" + "z" * 700]  # copies count once, the last one is too long to learn from
+    rows = [(i, u) for i, u in enumerate(urls)]
+    found = url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), URL_RULES).collect()
+    texts = {(r["verdict"], r["host"] + r["path"]) for r in found if r["rule"]}
+    is_held = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (xxhash.xxh64_intdigest(t.encode(), 42) >> 63 << 64)
+    train = {v: [t for w, t in texts if w == v and is_held(t) % url_filter.HELD_OUT] for v in ("allow", "block")}
+    held = {v: [t for w, t in texts if w == v and not is_held(t) % url_filter.HELD_OUT] for v in ("allow", "block")}
+    assert all(train.values()) and all(held.values())
+    score = lambda t: (plain_log_likelihood(train["allow"], t) - plain_log_likelihood(train["block"], t)) / len(t)
+    by_text = {r["host"] + r["path"]: r for r in found}
+    for text in [t for t in by_text if len(t) < 100]:
+        assert by_text[text]["score"] == pytest.approx(score(text))
+    bound = url_filter.best_bound(*([score(t) for t in held[v]] for v in ("allow", "block")))
+    assert all(r["verdict"] == ("allow" if r["score"] > bound else "block") for r in found if not r["rule"])
+
+
 def test_no_pages_and_no_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (None, None)], "page_id bigint, url string")
     assert url_filter.url_filter(pages.limit(0), URL_RULES).collect() == []

@@ -1,11 +1,18 @@
 """The stages of the pipeline, and the queries of the operators against their SQL."""
 
+from collections import Counter, defaultdict
+from hashlib import md5, sha256
+
 import corpus_pipeline
+import public_tokenizers
 import pytest
+import tiktoken
 from compare import compare, connect
-from fixtures import docs_of, invented
+from fixtures import docs_of, invented, table
+from test_dedup import lines_brute, near_brute
+from test_mixing_and_urls import fill, words
 
-from driftline.llm import queries
+from driftline.llm import bpe, queries
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,3 +59,56 @@ def test_run_leaves_no_near_copies_and_no_repeated_lines(spark):
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in final} <= {r["doc_id"] for r in kept}
     assert len({r["doc_id"] for r in final}) > len(kept) / 2
+
+
+def mixed_brute(rows):
+    """How often each row (key, text, source) is taken: whole copies, then the lowest hashes up to what is left."""
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += words(text)
+    targets, taken = fill(sizes), Counter()
+    for source, target in targets.items():
+        copies = int(target // sizes[source])
+        budget, total = target - copies * sizes[source], 0
+        buckets = defaultdict(list)
+        for key, text, own in rows:
+            if own == source:
+                taken[key] += copies
+                digest = md5(f"{key}:{md5(text.encode()).hexdigest()}".encode()).hexdigest()
+                buckets[int(digest[:15], 16) >> 30].append((key, words(text)))
+        for bucket in sorted(buckets):
+            size = sum(n for _, n in buckets[bucket])
+            if total + size > budget and not total + size - budget < budget - total:
+                break
+            taken.update(key for key, _ in buckets[bucket])
+            if total + size > budget:
+                break
+            total += size
+    return +taken
+
+
+def test_final_documents_equal_brute_force(spark):
+    texts = invented(120, seed=21, words=120)
+    texts += [t + " and more" for t in texts[:10]] + [texts[3], texts[4] + "\n" + texts[5]]
+    docs = table(spark, [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)])
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    known = stages[0](spark, docs, SF).collect()
+    assert len(known) > 100  # languages have a test of their own
+    source = {r["doc_id"]: r["source"] for r in known}
+    cut = lines_brute([(r["doc_id"], r["text"]) for r in known])
+    left = [(key, text) for (key, _), (text, n, _) in cut.items() if not n or text.strip()]
+    roots = near_brute(left)
+    first = {root: min(k for (k, _), r in zip(left, roots, strict=True) if r == root) for root in roots}
+    kept = [(k, t, source[k]) for (k, t), root in zip(left, roots, strict=True) if k == first[root]]
+    assert len(kept) < len(left) < len(known)
+    want = mixed_brute(kept)
+    found = spark.createDataFrame(known, docs.schema)
+    for stage in stages[1:]:
+        found = stage(spark, found, SF)
+    rows = found.collect()
+    assert Counter(r["doc_id"] for r in rows) == want and max(want.values()) == 2
+    path, texts_of = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), {k: t for k, t, _ in kept}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for r in rows:
+        assert list(r["ids"]) == library.encode_ordinary(texts_of[r["doc_id"]])
+        assert r["decoded_sha256"] == sha256(texts_of[r["doc_id"]].encode()).hexdigest()

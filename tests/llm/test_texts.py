@@ -167,6 +167,19 @@ def test_keywords_skip_only_rules_that_cannot_match():
         assert scanner.scan(text) == every.scan(text)
 
 
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: f"{r.number}-{r.label}")
+def test_each_rule_finds_what_no_other_does(rule):
+    """Without the rule some place of a text that it matches is missed, or gets another label or confidence."""
+    draw = random.Random(rule.number)
+    rest = license_scan.Scanner([r for r in RULES if r.number != rule.number])
+    scanner = license_scan.Scanner()
+    for _ in range(60):
+        text = f" {spoken(draw, _parser.parse(rule.pattern.pattern.decode())).strip()} ".encode()
+        if scanner.scan(text)[2] != rest.scan(text)[2]:
+            return
+    raise AssertionError(rule)
+
+
 def test_joined_versions_and_both_spellings_are_found():
     scan = license_scan.Scanner().scan
     labels = lambda text: [p[2] for p in scan(text.encode())[2]]
