@@ -90,6 +90,12 @@ def mixed_brute(rows):
 def test_final_documents_equal_brute_force(spark):
     texts = invented(120, seed=21, words=120)
     texts += [t + " and more" for t in texts[:10]] + [texts[3], texts[4] + "\n" + texts[5]]
+    # near copies of which no line is like another's: the same words, some changed, in lines of other lengths
+    for i in range(12):
+        own = [f"{w}{i}" for w in " ".join(texts[i : i + 3]).split()][:60]
+        for size in (20, 7, 30):
+            own = own if size == 20 else own[:size] + ["other"] + own[size + 1 :]
+            texts.append("\n".join(" ".join(own[at : at + size]) for at in range(0, len(own), size)))
     docs = table(spark, [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)])
     stages = [stage for _, stage in corpus_pipeline.STAGES]
     known = stages[0](spark, docs, SF).collect()
