@@ -78,3 +78,15 @@ def test_hot_repositories_are_salted(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert all("__salt" in keys for keys in re.findall(r"hashpartitioning\((.*?)\)", text))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_a_side_that_repetition_makes_large_is_not_broadcast(spark):
+    # the estimate knows 2 numbers for each of 30,000 rows; repeated with their texts they are far over Spark's limit
+    changes = spark.range(30_000).select(F.col("id").alias("repo"), F.lit("a.py").alias("path"))
+    files = spark.range(30_000).select(F.col("id").alias("repo"), F.concat(F.lit("*.p"), F.col("id").cast("string")).alias("content"))
+    out = flow.without_ignored(changes, files)
+    text = plan(out)
+    assert "BroadcastHashJoin" not in text and "BroadcastExchange" not in text and "SortMergeJoin" in text
+    assert out.count() == 30_000
+    few = flow.without_ignored(changes, files.filter("repo < 100"))
+    assert "BroadcastHashJoin" in plan(few) and few.count() == 30_000
