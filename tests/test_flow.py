@@ -189,3 +189,17 @@ def test_config_updates(spark):
         assert (r.success, r.max_minutes_without_commit, r.max_lines_uncommitted) == (ok, minutes, lines)
         if not ok:
             assert r.error == (fv.CONFIG_BAD_VALUE % key if key else fv.CONFIG_NO_KEYS)
+
+
+def test_patterns_with_wildcards_inside_are_looked_up_by_their_heads(spark):
+    patterns = [f"s?c{i}*y" for i in range(300)] + ["ab?[0-9]*x", "é?é*z", "a?c[", "?*?", "#a?b*c", "a b?c*d"]
+    rows = spark.createDataFrame([("r", p) for p in patterns] + [(None, "src*y?")], "repo string, pattern string")
+    paths = ["src7.py", "s?c8y", "src300.px", "src12", "ab+5.x", "ab+a.x", "é😀é.z", "a?c[", "a?c[/b", "ac", "x", "", None]
+    changes = spark.createDataFrame([(r, p) for r in ("r", "s", None) for p in paths], "repo string, path string")
+    kinds = ignore_rules._kinds(rows)
+    assert ignore_rules._rest(kinds).count() == 1 and kinds.filter("head IS NOT NULL").count() == 304
+    some = rows.filter("pattern != '?*?'")
+    got = sorted(map(repr, ignore_rules.without_matches(changes, some).collect()))
+    files = spark.createDataFrame([("r", "\n".join(p for p in patterns if p != "?*?"))], "repo string, content string")
+    want = flow.without_ignored(changes.filter("path IS NOT NULL"), files).unionByName(changes.filter("path IS NULL"))
+    assert got == sorted(map(repr, want.collect())) and len(got) == 39 - 6
