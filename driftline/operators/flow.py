@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
 from driftline.functions.globs import ignore_regex
-from driftline.functions.joins import salted_left_join
+from driftline.functions.joins import measured, salted_left_join
 from driftline.operators.ancestry import commits_behind_main
 
 METRICS = [
@@ -163,12 +163,12 @@ def flow_state(metrics: DataFrame, thresholds: DataFrame, flags: DataFrame | Non
     ``flags`` has repo and security_flags, at most one row per repository.
     """
     limits = _limits()
-    rows = metrics.join(thresholds, "repo", "left")
+    rows = metrics.join(measured(thresholds), "repo", "left")
     none = F.array().cast("array<string>")
     if flags is None:
         rows = rows.withColumn("security_flags", none)
     else:
-        rows = rows.join(flags.select("repo", "security_flags"), "repo", "left")
+        rows = rows.join(measured(flags.select("repo", "security_flags"), "repo"), "repo", "left")
     rows = rows.withColumns(
         {
             "status": status(

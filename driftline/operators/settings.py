@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
+from driftline.functions.joins import measured
 
 _LAYERS = "map<string,struct<value:string,layer:string>>"
 
@@ -47,7 +48,7 @@ def effective_config(
 
     ``repo_files`` has repo and content, at most one row per repository.
     """
-    merged = repos.join(repo_files, "repo", "left").withColumn(
+    merged = repos.join(measured(repo_files), "repo", "left").withColumn(
         "settings", _over(_defaults(), _layer(F.lit(global_text), "global"))
     )
     merged = merged.withColumn("settings", _over(F.col("settings"), _layer(F.col("content"), "repo")))
@@ -105,7 +106,7 @@ def config_updates(requests: DataFrame, current: DataFrame, request: str = "requ
     error = F.when(F.coalesce(F.size("named"), F.lit(0)) <= 0, fv.CONFIG_NO_KEYS).when(
         F.col("bad").isNotNull(), F.format_string(fv.CONFIG_BAD_VALUE, "bad")
     )
-    rows = rows.withColumn("error", error).join(current, "repo", "left")
+    rows = rows.withColumn("error", error).join(measured(current), "repo", "left")
     accepted = F.col("error").isNull()
     merged = [
         F.when(accepted, F.coalesce(F.col(f"new_{k}").cast("double"), F.col(k))).otherwise(F.col(k)).alias(k)

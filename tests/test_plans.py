@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from test_activity import EVENT, random_events
 from test_commits import RAW, ROWS
 
+from driftline import fixed_values as fv
 from driftline.operators import commit_index as ci
-from driftline.operators import flow, injection, intent, search, sensitive
+from driftline.operators import flow, injection, intent, search, sensitive, settings
 from driftline.operators import sessions as ses
 from driftline.operators import vocabulary as voc
 
@@ -90,3 +91,18 @@ def test_a_side_that_repetition_makes_large_is_not_broadcast(spark):
     assert out.count() == 30_000
     few = flow.without_ignored(changes, files.filter("repo < 100"))
     assert "BroadcastHashJoin" in plan(few) and few.count() == 30_000
+
+
+def test_settings_and_thresholds_of_many_repositories_are_not_broadcast(spark):
+    # Spark takes 300,000 rows of a number for 2 MB; their texts and values have more
+    repos = spark.range(300_000).select(F.col("id").alias("repo"))
+    files = repos.select("repo", F.format_string('{"max_lines_uncommitted": %d}', F.col("repo") + 1).alias("content"))
+    limits = repos.select("repo", *[F.lit(9.0).alias(k) for k in fv.CONFIG_KEYS])
+    metrics = repos.select("repo", F.lit("b").alias("branch_name"), *[F.lit(1).alias(m) for m in flow.METRICS])
+    flags = repos.select("repo", F.array(F.lit("x")).alias("security_flags"))
+    big = lambda out: "BroadcastHashJoin" not in plan(out) and "BroadcastExchange" not in plan(out)
+    assert big(settings.effective_config(repos, files))
+    assert big(flow.flow_state(metrics, limits))
+    assert big(settings.config_updates(repos.withColumn("request", F.lit("{}")), limits))
+    few = [t.filter("repo < 100") for t in (limits, flags)]
+    assert plan(flow.flow_state(metrics, *few)).count("BroadcastHashJoin") == 2
