@@ -235,3 +235,25 @@ def test_models_tell_held_out_urls_apart(spark):
 @pytest.mark.parametrize("accepted,rejected,low,high", [([1, 2, 3], [-3, -2], -2, 1), ([1.0], [], 0, 0), ([0.0, 5], [1, -1], -1, 5)])
 def test_bound(accepted, rejected, low, high):
     assert low <= url_filter.best_bound(accepted, rejected) <= high
+
+
+def test_every_judged_url_trains_the_models(spark):
+    # URLs of 700 characters were left out, and of each class all but a number of the others
+    urls = [f"http://{c}.org/{c * 700}{i}" for i, c in enumerate("abcd" * 3)] + [f"http://{c}.com/de/{i}" for i, c in enumerate("vwxy" * 3)] + ["http://q.net/abab"]
+    found = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), URL_RULES).collect()
+    is_held = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) % url_filter.HELD_OUT == 0
+    train = {v: [r["host"] + r["path"] for r in found if r["rule"] and r["verdict"] == v and not is_held(r["host"] + r["path"])] for v in ("allow", "block")}
+    (new,) = (r for r in found if not r["rule"])
+    text = new["host"] + new["path"]
+    likelihood = {v: plain_log_likelihood(train[v], text) for v in train}
+    assert any(len(t) > 512 for t in train["allow"])
+    assert new["score"] == pytest.approx((likelihood["allow"] - likelihood["block"]) / len(text))
+
+
+def test_the_bound_over_ranges_is_the_best_bound(spark):
+    draw = random.Random(12)
+    for size, of in ((0, 5), (1, 1), (7, 5), (300, 40), (2_000, 1_000)):
+        rows = [(draw.choice(["allow", "block", "allow"]), draw.randrange(-of, of) / 7) for _ in range(size)]
+        sides = [[s for v, s in rows if v == verdict] for verdict in ("allow", "block")]
+        held = spark.createDataFrame(rows, "verdict string, score double")
+        assert url_filter.bound_of(held) == pytest.approx(url_filter.best_bound(*sides), abs=1e-12)
