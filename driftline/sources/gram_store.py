@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.arrays import explode_rows
+from driftline.functions.arrays import explode_rows, let
 from driftline.operators import commit_index
 from driftline.session import materialise
 
@@ -30,12 +30,16 @@ def _bucket(*names: str) -> Column:
     return F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int")
 
 
-def _runs(value: Column, size: Column) -> Column:
-    """The distinct runs of ``size`` code points of a text, made from its list of code points in one pass."""
-    points = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    places = lambda p: F.when(F.size(p) >= size, F.sequence(F.lit(1), F.size(p) - size + 1)).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(F.array(points), lambda p: F.array_distinct(F.transform(places(p), lambda i: F.array_join(F.slice(p, i, size), ""))))
-    return cut[0]
+def _runs(value: Column, sizes: list[int]) -> Column:
+    """The distinct runs of each of some numbers of code points of a text, made from its list of code points in one pass."""
+
+    def of_size(p: Column, n: int) -> Column:
+        # the places that have a whole run after them; those of an empty text have none
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(p) - n, F.lit(0))), lambda i: i + n <= F.size(p))
+        return F.array_distinct(F.transform(places, lambda i: F.concat(*[F.get(p, i + k) for k in range(n)])))
+
+    points = F.filter(F.split(value, ""), lambda c: c != "")
+    return let(points, lambda p: F.flatten(F.array(*[of_size(p, n) for n in sizes])))
 
 
 def searched(commits: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def write(commits: DataFrame, path: str) -> None:
     """
     rows = materialise(searched(commits), "searched")
     _store(rows.withColumn("bucket", _bucket("commit_hash")), "commit_hash", f"{path}/texts")
-    every = F.flatten(F.array(*[_runs(F.col("value"), F.lit(n)) for n in range(1, SIZE + 1)]))
+    every = _runs(F.col("value"), list(range(1, SIZE + 1)))
     grams = explode_rows(rows, ["field", "commit_hash"], every, "gram").select("field", "gram", "commit_hash").distinct()
     grams = materialise(grams.withColumn("bucket", _bucket("field", "gram")), "grams")
     _store(grams, "gram", f"{path}/grams")
@@ -79,8 +83,9 @@ def _only(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def pattern_runs(patterns: DataFrame) -> DataFrame:
     """The runs of each pattern (``field``, ``pattern``, lower case): those of three characters, or a shorter pattern itself."""
-    size = F.least(F.length("pattern"), F.lit(SIZE))
-    runs = explode_rows(patterns, ["field", "pattern"], _runs(F.col("pattern"), size), "gram")
+    pattern = F.col("pattern")
+    cut = F.when(F.length(pattern) >= SIZE, _runs(pattern, [SIZE])).otherwise(F.array(pattern))
+    runs = explode_rows(patterns, ["field", "pattern"], cut, "gram")
     return runs.select("field", "pattern", "gram", _bucket("field", "gram").alias("bucket"))
 
 
