@@ -20,11 +20,10 @@ def tokens(text: Column) -> Column:
     """Lower-case words of 2 to 21 ASCII letters, digits and underscores.
 
     A token is a whole word, so words that are longer or hold other letters
-    give none; the token starts and ends inside the word, which makes a plain
-    look to either side enough.
+    give none: each match takes a whole word, and one that is no token is empty.
     """
-    whole = f"(?<!{WORD}){fv.TOKEN}+(?!{WORD})"
-    return F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({fv.TOKEN}+)(?!{WORD})|{WORD}++"), F.lit(1))
+    return F.filter(words, lambda w: w != "")
 
 
 def _runs(s: Column, same: Column, entry) -> Column:

@@ -25,6 +25,8 @@ from driftline.operators import commit_index, search
 from driftline.session import materialise, scratch_path
 
 VECTOR = "array<struct<term:string,weight:double>>"
+#: Texts from which a term is broadcast, as most terms of a text are; their number stays bounded.
+FREQUENT_TERM = 200
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,7 @@ def vectorise(commits: DataFrame, statistics: TermStatistics) -> DataFrame:
     Commit hashes must be unique. A term that is everywhere does not land in
     one task: the most frequent ones, whose number is bounded, are broadcast.
     """
-    known = join_frequent(_term_rows(commits), statistics.table, "term", "df")
+    known = join_frequent(_term_rows(commits), statistics.table, "term", "df", FREQUENT_TERM)
     entry = F.struct("term", (F.col("n") * statistics.idf_of(F.col("df"))).alias("weight"))
     gathered = known.groupBy("commit_hash").agg(F.sort_array(F.collect_list(entry)).alias("vector"))
     vectors = gathered.withColumn("vector", unit(F.col("vector"), "term"))
@@ -94,11 +96,12 @@ def index_full(
 ) -> DataFrame:
     """Index the newest commits of every repository over an existing index, as the form with leading terms does."""
     batch = commit_index.newest_per_repo(commit_index.projection(history), max_commits)
-    new = commit_index.latest(batch, F.struct("repo", "ts"))
-    new = vectorise(new, statistics or fit(new))
+    rows = commit_index.latest(batch, F.struct("repo", "ts"))
+    new = vectorise(rows, statistics or fit(rows))
     if existing is None:
         return new
-    return existing.join(new.select("commit_hash"), "commit_hash", "left_anti").unionByName(new)
+    # the hashes of the rows without their vectors, which would be made a second time for them
+    return existing.join(rows.select("commit_hash"), "commit_hash", "left_anti").unionByName(new)
 
 
 def index_incremental(
@@ -163,8 +166,12 @@ def _scan(block: list, top_k: int, min_score: float):
         for column, (_, vector) in enumerate(block):
             for entry in vector:
                 matrix[terms[entry["term"]], column] = entry["weight"]
-        names = np.array([name for name, _ in block])
+        own: dict[str, list[int]] = {}
+        for column, (name, _) in enumerate(block):
+            own.setdefault(name, []).append(column)
         best: list[list] = [[] for _ in block]
+        # what a score must exceed to change the best of its source; equal scores are told apart by the heap
+        least = np.full(len(block), float(min_score))
         for batch in batches:
             hashes, times = batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist()
             vectors = batch.column(2)
@@ -178,12 +185,16 @@ def _scan(block: list, top_k: int, min_score: float):
                 if not hit.any():
                     continue
                 scores = weights[offsets[i] : offsets[i + 1]][hit] @ matrix[here[hit]]
-                for column in np.flatnonzero((scores > min_score) & (names != name)):
+                scores[own.get(name, [])] = -np.inf
+                for column in np.flatnonzero(scores > least):
                     # the order of the result: score, then newest, then hash
                     rank = (round(float(scores[column]), 9), -1 if times[i] is None else times[i], _backwards(name))
                     row = (rank, name, float(scores[column]), times[i])
                     heap = best[column]
                     (heappush if len(heap) < top_k else heappushpop)(heap, row)
+                    if len(heap) == top_k:
+                        # ranks are rounded: a score less by under 1e-9 may have the same rank
+                        least[column] = max(min_score, heap[0][0][0] - 1e-9)
         rows = [(block[c][0], name, score, at) for c, heap in enumerate(best) for _, name, score, at in heap]
         columns = [*zip(*rows, strict=True)] or [[]] * 4
         kinds = [pa.string(), pa.string(), pa.float64(), pa.timestamp("us", tz="UTC")]
