@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from driftline.operators import commit_index as ci
 from driftline.functions import joins
 from driftline.operators import search, term_index
 from driftline.operators import vocabulary as voc
-from driftline.session import settings
+from driftline.session import materialise, settings
 from driftline.sources import gram_store, index_store, term_store
 
 RAW = (
@@ -407,3 +408,27 @@ def test_many_sources_equal_all_pairs(spark, wide, monkeypatch, block_terms):
         want |= {(names[i], names[j], rank + 1) for rank, (score, j) in enumerate(best) if score > 0.1}
     assert {(r.source_hash, r.commit_hash, r.rank) for r in found} == want
     assert len(found) == len(want)
+
+
+def test_only_scores_that_can_enter_are_ranked(monkeypatch):
+    ranked = []
+    push = term_index.heappushpop
+    monkeypatch.setattr(term_index, "heappushpop", lambda heap, row: ranked.append(row) or push(heap, row))
+    vector = lambda w: [{"term": "a", "weight": w}]
+    rows = [("s", 9, vector(1.0)), *((f"c{i:03}", i, vector(1 - i // 2 / 400)) for i in range(300))]
+    kinds = pa.schema([("h", pa.string()), ("t", pa.timestamp("us")), ("v", pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)
+    (found,) = term_index._scan([("s", vector(1.0))], 3, 0.1)([batch])
+    # of equal scores the newer one stays
+    assert sorted(found.column(1).to_pylist()) == ["c000", "c001", "c003"]
+    assert len(ranked) <= 3
+
+
+def test_the_full_index_makes_its_vectors_once(wide):
+    _, history, index = wide
+    rows = ci.projection(history)
+    statistics = term_index.fit(rows)
+    statistics = term_index.TermStatistics(materialise(statistics.table, "statistics"), statistics.docs)
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("posexplode")
+    existing = materialise(index, "existing")
+    assert count(term_index.index_full(history, statistics, existing)) == count(term_index.index_full(history, statistics))
