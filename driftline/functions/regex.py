@@ -54,3 +54,13 @@ def folded(text: Column) -> Column:
     the pattern matches; a plain substring test is far cheaper than a regex.
     """
     return F.translate(F.lower(text), "\u017f\u0131\u0307", "si")
+
+
+def stripped(text: Column) -> Column:
+    """Text without the whitespace at its ends.
+
+    An expression for the end of a text is tried at each of its characters, so
+    it only runs where the first or the last character is whitespace.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(F.regexp_like(ends, F.lit(WHITESPACE)), F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")).otherwise(text)

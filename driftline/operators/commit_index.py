@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
-from driftline.functions.regex import WHITESPACE
+from driftline.functions.regex import stripped
 from driftline.functions.terms import VECTOR, Vocabulary
 from driftline.operators import vocabulary as voc
 
@@ -20,7 +20,7 @@ def projection(
 
     Messages and file lists are whole unless a limit is asked for.
     """
-    message = F.regexp_replace("message", f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
+    message = stripped(F.col("message"))
     return history.select(
         F.left("sha", F.lit(fv.HASH_CHARS)).alias("commit_hash"),
         (message if message_chars is None else F.left(message, F.lit(message_chars))).alias("message"),

@@ -57,6 +57,14 @@ def test_projection(history):
     assert len(cut["d" * 12, "r2"].message) == 500
 
 
+def test_messages_lose_the_whitespace_at_their_ends(spark):
+    blanks = ["", " ", "\n", "\t\r\x0b\x0c", "\x1c\x1f", "\x85\xa0", "\u1680\u2028", "\u3000", "\u200b"]
+    texts = [a + t + b for a in blanks for b in blanks for t in ("", "x", "x \n y", "\U0001f600", "\u200b z")]
+    rows = [(f"{i:012d}", t, None, "r", i, [], 0, 0) for i, t in enumerate([*texts, None])]
+    found = {r.commit_hash: r.message for r in ci.projection(spark.createDataFrame(rows, RAW)).collect()}
+    assert found == {name: None if t is None else t.strip() for name, t, *_ in rows}
+
+
 def test_last_write_wins_across_repos(built):
     rows = {r.commit_hash: r for r in built[0].collect()}
     assert len(rows) == 4 and rows["a" * 12].repo == "r2"

@@ -62,6 +62,12 @@ def test_search_keeps_a_running_top_k(spark):
     assert "TakeOrderedAndProject" in text and "Exchange" not in text.split("Subquery")[0]
 
 
+def test_only_messages_with_whitespace_at_an_end_are_trimmed(spark):
+    message = ci.projection(spark.createDataFrame(ROWS, RAW)).select("message")
+    text = message._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN RLIKE\(concat\(.*THEN regexp_replace", text, re.S)
+
+
 def test_events_are_shuffled_by_agent_and_time(spark):
     events = spark.createDataFrame(random_events(50, 1), EVENT)
     text = plan(ses.session_stamp(events))
