@@ -25,10 +25,17 @@ def _candidates(index: DataFrame, repo: str | None, newest: int | None) -> DataF
     return index if repo is None else index.filter(F.col("repo") == repo)
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
+def _top(scored: DataFrame, k: int, counts: Column) -> DataFrame:
+    """The best ``k`` rows of those that count.
+
+    Rows that do not count come last and are dropped at the end: a filter before
+    the limit would be pushed below the projections, and every vector and score
+    be made once for it and once more for the result.
+    """
+    marked = scored.withColumn("counts", F.coalesce(counts, F.lit(False)))
     # equal scores: newest first, as a stable sort over newest-first rows gives
-    order = [F.desc(F.round("score", 9)), F.desc("ts"), F.asc("commit_hash")]
-    return scored.orderBy(*order).limit(k).select(*RESULT)
+    order = [F.desc("counts"), F.desc(F.round("score", 9)), F.desc("ts"), F.asc("commit_hash")]
+    return marked.orderBy(*order).limit(k).filter("counts").select(*RESULT)
 
 
 def _query_weights(spark, vocabulary: Vocabulary, query: str) -> Column:
@@ -73,15 +80,14 @@ def ranked(
     max_terms: int | None,
 ) -> DataFrame:
     """A search whose query is a map from ``field`` of the vectors' entries to its weight."""
-    rows = _candidates(index, repo, candidates).filter(F.col("vector").isNotNull())
-    rows = rows.withColumns(
+    rows = _candidates(index, repo, candidates).withColumns(
         {"weights": weights, "matched_terms": matched_terms(query, commit_index.index_text(), max_terms)}
     )
     cosine = dot(F.col("vector"), F.col("weights"), field)
     boost = F.size("matched_terms") * fv.TERM_BOOST
     score = F.when(boost > 0, F.least(F.lit(1.0), cosine + boost)).otherwise(cosine)
-    scored = rows.withColumn("score", score).filter(F.col("score") >= min_score)
-    return _top(scored, top_k)
+    scored = rows.withColumn("score", F.when(F.col("vector").isNotNull(), score))
+    return _top(scored, top_k, F.col("score") >= min_score)
 
 
 def similar_commits(
@@ -98,16 +104,14 @@ def similar_commits(
     source = named.orderBy(F.desc("ts"), "commit_hash").limit(1)
     weights = F.map_from_entries("vector").alias("weights")
     found = rows.withColumn("source", source.select(F.struct("commit_hash", weights)).scalar())
-    others = found.filter(
-        (F.col("commit_hash") != F.col("source.commit_hash")) & F.col("vector").isNotNull()
-    )
+    others = found.filter(F.col("commit_hash") != F.col("source.commit_hash"))
     scored = others.withColumns(
         {
             "score": dot(F.col("vector"), F.col("source.weights"), field),
             "matched_terms": F.array().cast("array<string>"),
         }
-    ).filter(F.col("score") > fv.MIN_SCORE)
-    return _top(scored, top_k)
+    )
+    return _top(scored, top_k, F.col("score") > fv.MIN_SCORE)
 
 
 def search_by_files(
@@ -127,13 +131,13 @@ def search_by_files(
         )
     )
     rows = _candidates(index, repo, candidates).withColumn("hits", hits)
-    scored = rows.filter(F.size("hits") > 0).withColumns(
+    scored = rows.withColumns(
         {
             "score": F.least(F.lit(1.0), F.size("hits") * fv.FILE_SCORE),
             "matched_terms": F.col("hits") if max_terms is None else F.slice("hits", 1, max_terms),
         }
     )
-    return _top(scored, top_k)
+    return _top(scored, top_k, F.size("hits") > 0)
 
 
 def search_or_index(

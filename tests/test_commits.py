@@ -65,6 +65,18 @@ def test_messages_lose_the_whitespace_at_their_ends(spark):
     assert found == {name: None if t is None else t.strip() for name, t, *_ in rows}
 
 
+def test_scores_on_the_bound_and_missing_vectors(spark):
+    entry = [{"idx": 0, "weight": 1.0}]
+    rows = [(f"{i:012d}", f"m{i}", [], 100 + i, [{"idx": 0, "weight": w}] if w is not None else None) for i, w in enumerate([fv.MIN_SCORE, 0.5, None, 0.05])]
+    rows.append(("f" * 12, "source", [], 50, entry))
+    schema = "commit_hash string, message string, files array<string>, at bigint, vector array<struct<idx:int,weight:double>>"
+    index = spark.createDataFrame(rows, schema).select("*", F.timestamp_seconds("at").alias("ts"), F.lit("a").alias("author"), F.lit("r").alias("repo"))
+    assert [r.message for r in search.similar_commits(index, "f" * 12, top_k=10).collect()] == ["m1"]
+    words = voc.Vocabulary(["login"], [1.0])
+    assert [r.message for r in search.search(index, words, "login", top_k=10).collect()] == ["source", "m1", "m0"]
+    assert [r.message for r in search.search(index, words, "login m2", top_k=10, min_score=0.0).collect()][-1] == "m3"
+
+
 def test_last_write_wins_across_repos(built):
     rows = {r.commit_hash: r for r in built[0].collect()}
     assert len(rows) == 4 and rows["a" * 12].repo == "r2"

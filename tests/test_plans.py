@@ -62,6 +62,18 @@ def test_search_keeps_a_running_top_k(spark):
     assert "TakeOrderedAndProject" in text and "Exchange" not in text.split("Subquery")[0]
 
 
+def test_a_search_makes_each_vector_once(spark):
+    # a filter on the score below the limit would be pushed to the scan, and make texts into vectors for itself
+    commits = ci.projection(spark.createDataFrame(ROWS, RAW))
+    words = voc.freeze(ci.fit(commits))
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    vectors = ci.vectorise(commits, words)
+    assert made(vectors) == 1
+    # the query and the source of a comparison have a vector of their own
+    assert made(search.search(vectors, words, "login")) == 2
+    assert made(search.similar_commits(vectors, "a" * 12)) == 3
+
+
 def test_only_messages_with_whitespace_at_an_end_are_trimmed(spark):
     message = ci.projection(spark.createDataFrame(ROWS, RAW)).select("message")
     text = message._jdf.queryExecution().optimizedPlan().toString()
