@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_activity import EVENT, random_events, walk
 from test_commits import RAW, ROWS
@@ -177,6 +178,43 @@ def test_stateful_sessions_take_events_out_of_order_and_go_on_after_a_stop(spark
     assert sum(side.values()) == len(late)
 
 
+class Kept:
+    """Keyed state and timers of one agent."""
+
+    def __init__(self):
+        self.values, self.timers = [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def appendList(self, rows):
+        self.values += rows
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 5
+
+
+def test_session_keeper_takes_and_gives_plain_rows():
+    event = Row("agent_id", "event_id", "micros", "kind", "metadata")
+    rows = [event("a", 1, 9_000, "start", None), event("a", 2, 7_000, "call", "{}"), event("a", 3, None, "call", None)]
+    rows.append(event("a", None, 5_000, "end", None))
+    keeper, state = stateful_sessions.SessionKeeper(), Kept()
+    keeper.init(state)
+    given = list(keeper.handleInputRows(("a",), iter(rows), state))
+    assert [(r.outcome, r.event_id, r.started, r.session_id) for r in given] == [("untimed", 3, None, None), ("late", None, 5_000, None)]
+    assert state.values == [([9_000, 7_000], [1, 2], ["start", "call"], [None, "{}"])] and state.timers == [7]
+    assert list(keeper.handleInputRows(("a",), iter(rows[:1]), state)) == []  # nothing is made for an agent whose events wait
+
+
 @pytest.fixture
 def arrived(spark, tmp_path):
     """Runs a roll-up over arriving rows: the windows it writes and the late rows it counts."""
