@@ -153,25 +153,28 @@ def sanitized(text: Column, patterns: list[Pattern], with_entropy: bool = True)
 
 # A word needs this many characters before its entropy can reach the threshold.
 _SHORTEST = int(2**fv.ENTROPY_THRESHOLD) + 1
+# A run of so many of a word's characters; it is looked for only where a run begins.
+_LONG = r"(?<![a-zA-Z0-9_\-/+=])[a-zA-Z0-9_\-/+=]{%d}" % _SHORTEST
 
 
 def high_entropy_words(text: Column) -> Column:
     """Array of (line_number, value) of high-entropy words in text order."""
     word = jvm(fv.ENTROPY_WORD)
 
+    none = F.array().cast("array<struct<line_number:int,value:string>>")
+
     def in_line(line: Column, i: Column) -> Column:
         hits = F.filter(
             F.regexp_extract_all(line, F.lit(word), F.lit(0)),
             lambda v: (F.length(v) >= _SHORTEST) & (entropy(v) >= fv.ENTROPY_THRESHOLD),
         )
-        return F.transform(
+        found = F.transform(
             hits, lambda v: F.struct((i + 1).alias("line_number"), v.alias("value"))
         )
+        return F.when(F.regexp_like(line, F.lit(_LONG)), found).otherwise(none)
 
     found = F.flatten(F.transform(F.split(text, "\n"), in_line))
-    possible = F.regexp_like(text, F.lit("[a-zA-Z0-9_\\-/+=]{%d}" % _SHORTEST))
-    none = F.array().cast("array<struct<line_number:int,value:string>>")
-    return F.when(possible, found).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(_LONG)), found).otherwise(none)
 
 
 def replace_words(text: Column, words: Column, first_number: Column) -> Column:

@@ -1,9 +1,13 @@
+import random
 import re
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from driftline import fixed_values as fv
+from driftline.functions import redaction
+from driftline.functions.regex import jvm
 from driftline.operators import sensitive
 from driftline.sources.derived import SALTS
 
@@ -116,3 +120,23 @@ def test_salts_hit_every_pattern():
     for _, pattern, _ in fv.INJECTION_PATTERNS:
         # a line feed in a pattern is only met by the scan of a whole text
         assert any(re.search(pattern, text) for text in (SALTS if r"\n" in pattern else lines)), pattern
+
+
+def test_cheaper_forms_find_the_same(spark):
+    draw = random.Random(25)
+    pieces = ["604-773-2081", "+1 (604) 773.2081", "x+15551234567", "731-24-6650", "a731246650", "4111111111111111", "9" * 16]
+    pieces += ["203.0.113.77", "10.0.0.1", "Hk4vR9xTq2LmZ7wBc5YsN8dPj3FgU6aE", "k" * 22, "=" * 23, "é", "(", "+", " ", " ", "\n", "-", "_"]
+    texts = ["".join(draw.choices(pieces, k=12)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for i, first in sensitive._FIRST.items():
+        plain = jvm(fv.SENSITIVE_PATTERNS[i][1])
+        assert sensitive.PATTERNS[i].regex != plain and first in sensitive.PATTERNS[i].regex
+        found = rows.select(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("now", sensitive.PATTERNS[i].regex), ("plain", plain))])
+        assert found.filter("now != plain").isEmpty() and (i == 16 or not found.filter("size(now) > 0").isEmpty())
+    run = "[a-zA-Z0-9_\\-/+=]{23}"
+    both = rows.select(F.regexp_like("text", F.lit(redaction._LONG)).alias("now"), F.regexp_like("text", F.lit(run)).alias("plain"))
+    assert {tuple(r) for r in both.collect()} == {(True, True), (False, False)}
+    words = rows.select("text", redaction.high_entropy_words(F.col("text")).alias("words")).collect()
+    for r in words:
+        want = [(i + 1, v) for i, line in enumerate(r.text.split("\n")) for v in re.findall(fv.ENTROPY_WORD, line) if brute.entropy(v) >= fv.ENTROPY_THRESHOLD]
+        assert [tuple(w) for w in r.words] == want
