@@ -112,6 +112,11 @@ class Vocabulary:
         # one literal, folded to an array at planning time
         return F.split(F.lit(" ".join(self.terms)), " ")
 
+    def _sorted(self) -> list[int]:
+        """The numbers of the terms, the first of equal ones, in the order of the terms."""
+        first = {term: i for i, term in reversed(list(enumerate(self.terms)))}
+        return [first[term] for term in sorted(first)]
+
     def vector(self, text: Column) -> Column:
         """Unit vector of a text as (idx, weight) entries, ordered by idx.
 
@@ -120,19 +125,26 @@ class Vocabulary:
         if not self.terms:
             return F.lit(None).cast(VECTOR)
         known = F.filter(tokens(text), lambda w: w.isin(list(self.terms)))
-        places = self._places()
-        weights = F.from_json(F.lit(json.dumps(list(self.idfs))), "array<double>")
+        order = self._sorted()
+        ascending = F.split(F.lit(" ".join(self.terms[i] for i in order)), " ")
+        numbers = F.from_json(F.lit(json.dumps(order)), "array<int>")
+        weights = F.from_json(F.lit(json.dumps([self.idfs[i] for i in order])), "array<double>")
+        halves = F.array(*[F.lit(2**b) for b in reversed(range(len(order).bit_length()))])
 
-        def entry(t: Column, idx: Column) -> Column:
-            weight = t["n"] * F.get(weights, idx)
-            return F.struct(idx.alias("idx"), weight.alias("weight"))
+        def place(term: Column) -> Column:
+            """Where a known term stands among the ascending ones, by halving."""
 
-        entries = F.transform(
-            term_counts(known),
-            lambda t: let(
-                (F.array_position(places, t["term"]) - 1).cast("int"), lambda idx: entry(t, idx)
-            ),
-        )
+            def half(at: Column, step: Column) -> Column:
+                further = F.coalesce(F.get(ascending, at + step) <= term, F.lit(False))
+                return F.when(further, at + step).otherwise(at)
+
+            return F.aggregate(halves, F.lit(0), half)
+
+        def entry(t: Column, at: Column) -> Column:
+            weight = t["n"] * F.get(weights, at)
+            return F.struct(F.get(numbers, at).alias("idx"), weight.alias("weight"))
+
+        entries = F.transform(term_counts(known), lambda t: let(place(t["term"]), lambda at: entry(t, at)))
         return unit(F.sort_array(entries))
 
     def term(self, idx: Column) -> Column:

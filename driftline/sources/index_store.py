@@ -33,11 +33,20 @@ def _bucket() -> Column:
     return F.left("commit_hash", F.lit(BUCKET_CHARS))
 
 
-def _write(index: DataFrame, rows: str, keys: str) -> None:
-    """Rows in ranges of (repo, ts), so that a search in one repository skips most files; keys by hash."""
-    ranged = index.repartitionByRange("repo", "ts").sortWithinPartitions("repo", "ts")
+def _write(index: DataFrame, path: str, name: str) -> None:
+    """Rows in ranges of (repo, ts), so that a search in one repository skips most files; keys by hash.
+
+    The rows are written as they come first: the ranges are found in a sample, for
+    which every vector would be made a second time. What is needed of that folder
+    until the ranges are written is one batch; it is left empty.
+    """
+    reader = index.sparkSession.read.schema(index.schema)
+    rows, keys, unsorted = f"{path}/{name}", f"{path}/keys/{name}", f"{path}/unsorted/{name}"
+    index.write.mode("overwrite").parquet(unsorted)
+    ranged = reader.parquet(unsorted).repartitionByRange("repo", "ts").sortWithinPartitions("repo", "ts")
     ranged.write.mode("overwrite").parquet(rows)
-    written = index.sparkSession.read.schema(index.schema).parquet(rows)
+    index.limit(0).write.mode("overwrite").parquet(unsorted)
+    written = reader.parquet(rows)
     hashes = written.select("commit_hash", F.col("vector").isNotNull().alias("fitted"), _bucket().alias("bucket"))
     hashes = hashes.repartitionByRange("bucket", "commit_hash").sortWithinPartitions("bucket", "commit_hash")
     (
@@ -51,7 +60,7 @@ def _write(index: DataFrame, rows: str, keys: str) -> None:
 
 def write_batch(index: DataFrame, path: str, batch: int) -> None:
     """Write the rows of one batch and their keys."""
-    _write(index, f"{path}/batch={batch}", f"{path}/keys/batch={batch}")
+    _write(index, path, f"batch={batch}")
 
 
 def _read(spark: SparkSession, path: str, schema: str, base: str | None = None) -> DataFrame:
@@ -132,7 +141,7 @@ def fold(spark: SparkSession, path: str, upto: int) -> None:
     rows = read_batches(spark, path, before=upto + 1)
     last = rows.groupBy("commit_hash").agg(F.max("batch").alias("batch"))
     kept = rows.join(last, ["commit_hash", "batch"], "left_semi").drop("batch")
-    _write(kept, f"{path}/base={upto}", f"{path}/keys/base={upto}")
+    _write(kept, path, f"base={upto}")
     spark.createDataFrame([(upto,)], _FOLDED).coalesce(1).write.mode("append").parquet(f"{path}/folded")
 
 

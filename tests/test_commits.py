@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftline import fixed_values as fv
 from driftline.operators import commit_index as ci
 from driftline.functions import joins
+from driftline.functions.terms import Vocabulary
 from driftline.operators import search, term_index
 from driftline.operators import vocabulary as voc
 from driftline.session import materialise, settings
@@ -185,6 +186,34 @@ def test_empty_index(spark, built):
     assert search.search(built[0].limit(0), built[1], "login").collect() == []
 
 
+def test_a_batch_is_made_once_when_it_is_written(tmp_path, spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(message):
+        made.add(1)
+        return message
+
+    rows = spark.range(200).selectExpr(
+        "lpad(string(id), 12, '0') AS commit_hash", "'m' AS message", "'a' AS author", "timestamp_seconds(id) AS ts",
+        "array('f') AS files", "'' AS diff_summary", "string(id % 3) AS repo", "array(struct(1 AS idx, 1D AS weight)) AS vector",
+    )
+    index_store.write_batch(rows.withColumn("message", F.udf(count)("message")), str(tmp_path), 0)
+    assert made.value == 200  # not once more for a sample of the keys
+    assert index_store.read(spark, str(tmp_path)).count() == 200
+    assert spark.read.schema(rows.schema).parquet(f"{tmp_path}/unsorted/batch=0").isEmpty()
+
+
+def test_terms_are_found_by_halving(spark):
+    for n in (1, 2, 3, 7, 8, 9, 500):
+        terms = [f"t{i * 7919 % 1009}" for i in range(n)]
+        words = Vocabulary(terms, [1.0 + i for i in range(n)])
+        vector = spark.range(1).select(words.vector(F.lit(" ".join([*terms, "t2000", terms[0]])))).first()[0]
+        weights = [2.0 if not i else 1.0 + i for i in range(n)]
+        length = math.sqrt(sum(w * w for w in weights))
+        assert [v.idx for v in vector] == list(range(n))
+        assert [v.weight for v in vector] == pytest.approx([w / length for w in weights])
+
+
 def test_store_keeps_the_last_write(history, built, tmp_path, spark):
     path = str(tmp_path / "index")
     assert index_store.read(spark, path).count() == 0
