@@ -14,6 +14,7 @@ from heapq import heappush, heappushpop
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,53 +150,122 @@ def similar_to(index: DataFrame, commit_hash: str, repo: str | None = None, top_
 # --- many sources at once --------------------------------------------------------------------------------------------
 
 #: Sources that are compared with all commits in one scan, and the most terms they may have together.
-BLOCK, BLOCK_TERMS = 64, 1_000_000
+BLOCK, BLOCK_TERMS = 2_048, 1_000_000
+#: A term is multiplied as a row of a dense matrix if one in so many sources of a block has it, and by its list of sources otherwise.
+DENSE_SHARE = 12
+#: Numbers that a task multiplies at a time.
+CELLS = 2_000_000
 _PAIR = "source_hash string, commit_hash string, score double, ts timestamp"
 _RANKED = _PAIR + ", rank int"
 
 
+@dataclass(frozen=True)
+class _Block:
+    """The vectors of some sources: terms of many of them as a dense matrix, the others as lists of sources.
+
+    ``terms`` has the dense ones first; ``starts`` says where the list of each other term begins in ``columns`` and ``weights``.
+    """
+
+    names: list[str]
+    terms: list[str]
+    dense: np.ndarray
+    starts: np.ndarray
+    columns: np.ndarray
+    weights: np.ndarray
+
+
+def _block(sources: list) -> _Block:
+    found: dict[str, list[tuple[int, float]]] = {}
+    for column, (_, vector) in enumerate(sources):
+        for entry in vector:
+            found.setdefault(entry["term"], []).append((column, entry["weight"]))
+    terms = sorted(found, key=lambda t: -len(found[t]))
+    often = sum(len(found[t]) * DENSE_SHARE >= len(sources) for t in terms)
+    dense = np.zeros((often, len(sources)))
+    for row, term in enumerate(terms[:often]):
+        for column, weight in found[term]:
+            dense[row, column] = weight
+    rest = [pair for t in terms[often:] for pair in found[t]]
+    starts = np.cumsum([0, *(len(found[t]) for t in terms[often:])])
+    columns, weights = (np.array([pair[i] for pair in rest], dtype=kind) for i, kind in enumerate((np.int64, np.float64)))
+    return _Block([name for name, _ in sources], terms, dense, starts, columns, weights)
+
+
+def _scores(block: _Block, places: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The dot products of some commits (rows) and all sources of a block; ``places`` are those of the commits' terms in the block, -1 for others."""
+    commits, sources, often = len(offsets) - 1, len(block.names), len(block.dense)
+    rows = np.repeat(np.arange(commits), np.diff(offsets))
+    near = (places >= 0) & (places < often)
+    own = np.bincount(rows[near] * often + places[near], weights[near], commits * often).reshape(commits, often)
+    scores = own @ block.dense
+    far = places >= often
+    rows, places, weights = rows[far], places[far] - often, weights[far]
+    sizes = block.starts[places + 1] - block.starts[places]
+    ends = np.cumsum(sizes)
+    flat, begin = scores.reshape(-1), 0
+    while begin < len(places):
+        # so many lists that they have CELLS entries, one list at least
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+        size = sizes[begin:end]
+        at = np.arange(size.sum()) + np.repeat(block.starts[places[begin:end]] - (ends[begin:end] - size - before), size)
+        cells = np.repeat(rows[begin:end] * sources, size) + block.columns[at]
+        # rows ascend, so the piece lies in these commits
+        low, high = rows[begin] * sources, (rows[end - 1] + 1) * sources
+        flat[low:high] += np.bincount(cells - low, np.repeat(weights[begin:end], size) * block.weights[at], high - low)
+        begin = end
+    return scores
+
+
 def _scan(block: list, top_k: int, min_score: float):
     """A function over batches of commits that keeps the best ``top_k`` of its task for every source of a block."""
+    sources = _block(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: dict[str, int] = {}
-        for _, vector in block:
-            for entry in vector:
-                terms.setdefault(entry["term"], len(terms))
-        matrix = np.zeros((len(terms), len(block)))
-        for column, (_, vector) in enumerate(block):
-            for entry in vector:
-                matrix[terms[entry["term"]], column] = entry["weight"]
+        terms = pa.array(sources.terms, type=pa.string())
         own: dict[str, list[int]] = {}
-        for column, (name, _) in enumerate(block):
+        for column, name in enumerate(sources.names):
             own.setdefault(name, []).append(column)
-        best: list[list] = [[] for _ in block]
+        best: list[list] = [[] for _ in sources.names]
         # what a score must exceed to change the best of its source; equal scores are told apart by the heap
-        least = np.full(len(block), float(min_score))
+        least = np.full(len(best), float(min_score))
+        together = max(1, CELLS // (len(best) + len(sources.dense)))
+
+        def keep(hashes: list, times: list, scores: np.ndarray) -> None:
+            enters = scores > least
+            if np.count_nonzero(enters) > top_k * len(best) and len(hashes) > top_k:
+                # of so many, those below the last of the best of these commits alone cannot stay
+                enters &= scores >= np.partition(scores, -top_k, axis=0)[-top_k] - 1e-9
+            for i, column in zip(*(x.tolist() for x in np.nonzero(enters)), strict=True):
+                score, heap = float(scores[i, column]), best[column]
+                if score <= least[column]:
+                    continue
+                # the order of the result: score, then newest, then hash
+                rank = (round(score, 9), -1 if times[i] is None else times[i], _backwards(hashes[i]))
+                row = (rank, hashes[i], score, times[i])
+                (heappush if len(heap) < top_k else heappushpop)(heap, row)
+                if len(heap) == top_k:
+                    # ranks are rounded: a score less by under 1e-9 may have the same rank
+                    least[column] = max(min_score, heap[0][0][0] - 1e-9)
+
         for batch in batches:
             hashes, times = batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist()
             vectors = batch.column(2)
             offsets = vectors.offsets.to_numpy()
             entries = vectors.values
-            words, weights = entries.field("term").to_pylist(), entries.field("weight").to_numpy()
-            places = np.fromiter((terms.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-            for i, name in enumerate(hashes):
-                here = places[offsets[i] : offsets[i + 1]]
-                hit = here >= 0
-                if not hit.any():
-                    continue
-                scores = weights[offsets[i] : offsets[i + 1]][hit] @ matrix[here[hit]]
-                scores[own.get(name, [])] = -np.inf
-                for column in np.flatnonzero(scores > least):
-                    # the order of the result: score, then newest, then hash
-                    rank = (round(float(scores[column]), 9), -1 if times[i] is None else times[i], _backwards(name))
-                    row = (rank, name, float(scores[column]), times[i])
-                    heap = best[column]
-                    (heappush if len(heap) < top_k else heappushpop)(heap, row)
-                    if len(heap) == top_k:
-                        # ranks are rounded: a score less by under 1e-9 may have the same rank
-                        least[column] = max(min_score, heap[0][0][0] - 1e-9)
-        rows = [(block[c][0], name, score, at) for c, heap in enumerate(best) for _, name, score, at in heap]
+            weights = entries.field("weight").to_numpy()
+            places = pc.fill_null(pc.index_in(entries.field("term"), value_set=terms), -1).to_numpy().astype(np.int64)
+            for first in range(0, len(hashes), together):
+                last = min(first + together, len(hashes))
+                low, high = offsets[first], offsets[last]
+                scores = _scores(sources, places[low:high], weights[low:high], offsets[first : last + 1] - low)
+                hits = np.concatenate([[0], np.cumsum(places[low:high] >= 0)])[offsets[first : last + 1] - low]
+                scores[np.diff(hits) == 0] = -np.inf
+                for i, name in enumerate(hashes[first:last]):
+                    if name in own:
+                        scores[i, own[name]] = -np.inf
+                keep(hashes[first:last], times[first:last], scores)
+        rows = [(sources.names[c], name, score, at) for c, heap in enumerate(best) for _, name, score, at in heap]
         columns = [*zip(*rows, strict=True)] or [[]] * 4
         kinds = [pa.string(), pa.string(), pa.float64(), pa.timestamp("us", tz="UTC")]
         yield pa.RecordBatch.from_arrays(
@@ -215,17 +285,19 @@ def similar_to_many(
 ) -> DataFrame:
     """For every commit of ``sources`` (``commit_hash``) the closest ``top_k`` of all commits: source_hash, commit_hash, score, rank.
 
-    Exact: sources are dealt into blocks of about ``block``, every commit is
-    compared with a whole block in one scan, and each task keeps the best of its
-    commits, so what is shuffled is ``top_k`` rows for a source and task. Only
-    one block's vectors are on the driver at a time; they go out in parts of
+    Exact: sources are dealt into blocks of about ``block`` and at most about
+    BLOCK_TERMS entries, every commit is compared with a whole block in one
+    scan, as products of matrices, and each task keeps the best of its commits,
+    so what is shuffled is ``top_k`` rows for a source and task. Only one
+    block's vectors are on the driver at a time; they go out in parts of
     BLOCK_TERMS entries, or of one source.
     """
     spark = index.sparkSession
     rows = index.filter(F.col("vector").isNotNull())
     chosen = rows.join(sources.select("commit_hash").distinct(), "commit_hash", "left_semi").select("commit_hash", "vector")
     chosen = materialise(chosen, "sources")
-    blocks = -(-chosen.count() // block)
+    total = chosen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("terms")).first()
+    blocks = max(-(-total["rows"] // block), -(-total["terms"] // BLOCK_TERMS))
     path = scratch_path(spark, "similar")
     order = Window.partitionBy("source_hash").orderBy(F.desc(F.round("score", 9)), F.desc("ts"), "commit_hash")
     spark.createDataFrame([], _RANKED).write.parquet(path)

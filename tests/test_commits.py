@@ -459,6 +459,27 @@ def test_many_sources_equal_all_pairs(spark, wide, monkeypatch, block_terms):
     assert len(found) == len(want)
 
 
+@pytest.mark.parametrize(("share", "cells"), [(1, 40), (12, 700), (10**9, 2_000_000)])
+def test_many_sources_meet_all_commits_in_one_scan(spark, wide, monkeypatch, share, cells):
+    monkeypatch.setattr(term_index, "DENSE_SHARE", share)
+    monkeypatch.setattr(term_index, "CELLS", cells)
+    scans, scan = [], term_index._scan
+    monkeypatch.setattr(term_index, "_scan", lambda part, *rest: scans.append(len(part)) or scan(part, *rest))
+    texts, _, index = wide
+    vectors = unit_vectors(texts)
+    names = [hashlib.md5(str(i).encode()).hexdigest()[:12] for i in range(len(texts))]
+    sources = spark.createDataFrame([(names[i],) for i in range(150)], "commit_hash string")
+    found = {(r.source_hash, r.commit_hash, r.rank): r.score for r in term_index.similar_to_many(index, sources, top_k=4).collect()}
+    want = {}
+    for i in range(150):
+        scores = [(round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 9), j) for j in range(len(texts)) if j != i]
+        for rank, (score, j) in enumerate(sorted(scores, reverse=True)[:4]):
+            if score > 0.1:
+                want[names[i], names[j], rank + 1] = score
+    assert found.keys() == want.keys() and found == pytest.approx(want)
+    assert scans == [150]
+
+
 def test_only_scores_that_can_enter_are_ranked(monkeypatch):
     ranked = []
     push = term_index.heappushpop
