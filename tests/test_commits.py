@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -345,6 +346,63 @@ def test_a_pattern_reads_few_folders(spark, grams):
     assert {r.gram for r in read.collect()} == {"log", "ogi"}
 
 
+@pytest.mark.parametrize("together", [3, 50_000])
+def test_runs_are_packed_and_pairs_are_only_made_where_found(spark, tmp_path, monkeypatch, together):
+    monkeypatch.setattr(gram_store, "TOGETHER", together)
+    draw, path = random.Random(3), str(tmp_path / "g")
+    texts = ["".join(draw.choices("aB é😀\0", k=draw.randrange(40))) + " common" for _ in range(300)]
+    rows = history_of(texts)
+    rows += [(*rows[5][:1], "other aab text", *rows[5][2:5], ["Other/a.py", None], 1, 1), (None, *rows[6][1:])]
+    commits = ci.projection(spark.createDataFrame(rows, RAW).repartition(3))
+    gram_store.write(commits, path)
+    table = spark.read.schema(gram_store.GRAM).parquet(f"{path}/grams")
+    # a row for a run and block, not one for each text that has it
+    assert table.count() < table.agg(F.sum("n")).first()[0] / 2
+    lower = lambda t: spark.range(1).select(F.lower(F.lit(t))).first()[0]
+    values = [(r.commit_hash, r.text) for r in commits.select("commit_hash", F.lower(ci.index_text()).alias("text")).collect() if r.commit_hash]
+    patterns = ["a", "b\0", "aab", "common", "é😀", "on", "other/a", "zz"] + [lower(t[3:12]) for t in texts[::20]]
+    asked = spark.createDataFrame([("text", p) for p in patterns] + [("path", "R/A")], "field string, pattern string")
+    want = {("text", p, h) for p in patterns if p for h, t in values if p in t} | {("path", "r/a", rows[5][0][:12])}
+    found = [tuple(r) for r in gram_store.find(spark, path, asked).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize(("chars", "pairs"), [(1, 1), (50, 400), (10**6, 10**6)])
+def test_packed_runs_are_those_of_the_texts(monkeypatch, chars, pairs):
+    monkeypatch.setattr(gram_store, "CHARS", chars)
+    monkeypatch.setattr(gram_store, "PAIRS", pairs)
+    draw = random.Random(4)
+    rows = [(i // 900, i % 900, ["".join(draw.choices("ab😀\0", k=draw.randrange(6))) for _ in range(i % 3)]) for i in range(1_200)]
+    batches = [
+        pa.record_batch([pa.array(["text"] * len(part)), *(pa.array(c) for c in zip(*part, strict=True))], names=["field", "block", "place", "values"])
+        for part in (rows[:500], rows[500:])
+    ]
+    want, got = set(), []
+    for block, place, values in rows:
+        want |= {(block, v[i : i + n], place) for v in values for n in (1, 2, 3) for i in range(len(v) - n + 1)}
+    for batch in gram_store._postings(iter(batches)):
+        for field, gram, block, n, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bits = gram_store._bits(held)
+            places = [p for p in range(gram_store.PLACES) if bits[p // 8] >> p % 8 & 1]
+            assert field == "text" and len(places) == n and len(held) == min(2 * n, 512)
+            got += [(block, gram, p) for p in places]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_patterns_are_matched_by_their_heads(monkeypatch):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("ab\0é", k=30)) for _ in range(20)]
+    patterns = [t[i : i + n] for t in texts[:4] for i in range(0, 20, 3) for n in (1, 3, 8, 9, 12)] + ["zz", texts[0], texts[0] + "a"]
+    values = [texts[i : i + 2] for i in range(0, 20, 2)]
+    batch = pa.record_batch([pa.array(["text"] * 10), pa.array(list("0123456789")), pa.array(values)], names=["field", "commit_hash", "values"])
+    want = {("text", p, str(i)) for p in patterns for i, v in enumerate(values) if any(p in t for t in v)}
+    for few in (0, 10**6):
+        monkeypatch.setattr(gram_store, "FEW", few)
+        asked = [("text", p) for p in set(patterns)] + [("path", "a")]
+        found = [r for out in gram_store._match(asked)(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns))]
+        assert set(found) == want and len(found) == len(want)
+
+
 # --- statistics by batches ----------------------------------------------------------
 
 
@@ -459,10 +517,25 @@ def test_many_sources_equal_all_pairs(spark, wide, monkeypatch, block_terms):
     assert len(found) == len(want)
 
 
-@pytest.mark.parametrize(("share", "cells"), [(1, 40), (12, 700), (10**9, 2_000_000)])
-def test_many_sources_meet_all_commits_in_one_scan(spark, wide, monkeypatch, share, cells):
+@pytest.mark.parametrize(("share", "cells"), [(1, 1), (4, 70), (12, 10**6), (10**9, 10**6)])
+def test_products_of_matrices_are_dot_products(monkeypatch, share, cells):
     monkeypatch.setattr(term_index, "DENSE_SHARE", share)
     monkeypatch.setattr(term_index, "CELLS", cells)
+    draw = random.Random(7)
+    vectors = [{f"t{draw.randrange(60) // draw.randrange(1, 30)}": draw.random() for _ in range(draw.randrange(12))} for _ in range(60)]
+    block = term_index._block([(str(i), [{"term": t, "weight": w} for t, w in v.items()]) for i, v in enumerate(vectors[:25])])
+    terms = [block.terms.index(t) if t in block.terms else -1 for v in vectors for t in v]
+    weights, offsets = [w for v in vectors for w in v.values()], [0]
+    for v in vectors:
+        offsets.append(offsets[-1] + len(v))
+    scores = term_index._scores(block, *(np.array(x) for x in (terms, weights, offsets)))
+    for i, row in enumerate(vectors):
+        assert list(scores[i]) == pytest.approx([sum(x * v.get(t, 0) for t, x in row.items()) for v in vectors[:25]])
+
+
+@pytest.mark.parametrize("share", [1, 12, 10**9])
+def test_many_sources_meet_all_commits_in_one_scan(spark, wide, monkeypatch, share):
+    monkeypatch.setattr(term_index, "DENSE_SHARE", share)
     scans, scan = [], term_index._scan
     monkeypatch.setattr(term_index, "_scan", lambda part, *rest: scans.append(len(part)) or scan(part, *rest))
     texts, _, index = wide
