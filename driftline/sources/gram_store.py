@@ -34,6 +34,8 @@ IN_FILTER = 1_000
 PLACES, CHARS, PAIRS = 4_096, 1_000_000, 4_000_000
 #: Patterns that are looked for together and their characters; by how many a text is looked up, if more than a few patterns begin differently.
 TOGETHER, PATTERN_CHARS, HEAD, FEW = 50_000, 5_000_000, 8, 64
+#: Heads are told from other characters by a hash of so many bits first.
+HASH_BITS = 20
 
 TEXT = "field string, commit_hash string, values array<string>, block bigint, place int, bucket int"
 GRAM = "field string, gram string, block bigint, n int, held binary, bucket int"
@@ -120,7 +122,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """The runs of texts and the places of these, each pair once; a run is the code points, plus one, of its characters in 21 bits each."""
     lengths = [len(value) for _, value in texts]
-    points = np.frombuffer("".join(value for _, value in texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) + 1
+    points = _points("".join(value for _, value in texts)).astype(np.int64) + 1
     number = np.repeat(np.arange(len(texts)), lengths)
     key, keys, numbers = np.zeros(len(points), dtype=np.int64), [], []
     for n in range(SIZE):
@@ -136,7 +138,9 @@ def _pairs(texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
 def _distinct(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs once each, those of a key together and by place."""
     codes = pa.array(keys).dictionary_encode()
-    cells = np.unique(codes.indices.to_numpy().astype(np.int64) * PLACES + places)
+    # sorted: np.unique hashes, which is slower where most are distinct
+    cells = np.sort(codes.indices.to_numpy().astype(np.int64) * PLACES + places)
+    cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
     return codes.dictionary.to_numpy()[cells // PLACES], cells % PLACES
 
 
@@ -283,14 +287,19 @@ def _match(asked: list):
         head = pattern[:HEAD]
         heads.setdefault(field, {}).setdefault(len(head), {}).setdefault(head, []).append(pattern)
 
+    marks = {(field, size): _marks(known) for field, sizes in heads.items() for size, known in sizes.items() if len(known) > FEW}
+
     def held(field: str, values: list[str]) -> set[str]:
         found = set()
-        for size, known in heads.get(field, {}).items():
-            for value in values:
+        for value in values:
+            points = None
+            for size, known in heads.get(field, {}).items():
                 if len(known) <= FEW:
                     here = [head for head in known if head in value]
                 else:
-                    here = known.keys() & {value[i : i + size] for i in range(len(value) - size + 1)}
+                    points = _points(value) if points is None else points
+                    places = np.flatnonzero(marks[field, size][_hashes(points, size)]).tolist()
+                    here = known.keys() & {value[i : i + size] for i in places}
                 for head in here:
                     found.update(p for p in known[head] if len(p) == size or p in value)
         return found
@@ -308,6 +317,29 @@ def _match(asked: list):
     return run
 
 
+def _points(value: str) -> np.ndarray:
+    return np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A number below 2^HASH_BITS for every run of ``size`` characters."""
+    count = max(0, len(points) - size + 1)
+    hashes = np.zeros(count, dtype=np.uint32)
+    for i in range(size):
+        hashes *= np.uint32(2_654_435_761)
+        hashes += points[i : i + count]
+    hashes *= np.uint32(2_654_435_761)
+    return hashes >> np.uint32(32 - HASH_BITS)
+
+
+def _marks(heads: dict[str, list[str]]) -> np.ndarray:
+    """Which hashes the heads, all of one length, have."""
+    marks = np.zeros(1 << HASH_BITS, dtype=bool)
+    for head in heads:
+        marks[_hashes(_points(head), len(head))] = True
+    return marks
+
+
 def _strings(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
     columns = [*zip(*rows, strict=True)] or [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["field", "pattern", "commit_hash"])
