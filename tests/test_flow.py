@@ -203,3 +203,21 @@ def test_patterns_with_wildcards_inside_are_looked_up_by_their_heads(spark):
     files = spark.createDataFrame([("r", "\n".join(p for p in patterns if p != "?*?"))], "repo string, content string")
     want = flow.without_ignored(changes.filter("path IS NOT NULL"), files).unionByName(changes.filter("path IS NULL"))
     assert got == sorted(map(repr, want.collect())) and len(got) == 39 - 6
+
+
+@pytest.mark.parametrize("repos", [1, 8_192])
+def test_only_patterns_that_some_piece_may_equal_are_joined(spark, monkeypatch, repos):
+    monkeypatch.setattr(ignore_rules, "_REPOS", repos)
+    asked, keys = [], ignore_rules._keys
+    monkeypatch.setattr(ignore_rules, "_keys", lambda *args: asked.append(keys(*args)) or asked[-1])
+    patterns = [w for i in range(500) for w in (f"p{i}.py", f"*{i}.py", f"src/p{i}*", f"p?{i}*y", f"?{i}?*[x-z]")] + ["*", "x y*z", "p[0-9]", "", None]
+    rows = [(r, p) for r in ("a", "b", "none", None) for p in patterns if (r, p) != ("b", "*")]
+    paths = ["p7.py", "p499.py", "p500.py", "src/p12/x", "px33.y", "q", "p5", "x yz", "x1000.y", None]
+    changes = spark.createDataFrame([(r, p) for r in ("a", "b", "other", None) for p in paths], "repo string, path string")
+    got = ignore_rules.without_matches(changes, spark.createDataFrame(rows, "repo string, pattern string")).collect()
+    assert sum(part.count() for part in asked) < len(rows) / 20
+    files = [(r, "\n".join(p for q, p in rows if q == r and p)) for r in ("a", "b")]
+    some = changes.filter("path IS NOT NULL")
+    want = flow.without_ignored(some, spark.createDataFrame(files, "repo string, content string")).unionByName(changes.filter("path IS NULL"))
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect()))
+    assert len(asked) == (2 if repos == 1 else 1)
